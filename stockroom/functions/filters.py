@@ -44,7 +44,7 @@ def search_any(cols: list[str], term: str | None) -> Column | None:
     """
     if not term:
         return None
-    pattern = F.lit(f"%{term}%")
+    pattern = f"%{term}%"
     return reduce(lambda a, b: a | b, [F.col(c).ilike(pattern) for c in cols])
 
 

@@ -22,12 +22,47 @@ def sql(body: str, local: list[tuple[str, str]] | None = None) -> str:
     local_names = {n for n, _ in local}
     refs = sorted({r for s in texts for r in fixture_sql.references(s)} - local_names)
     names = fixture_sql.closure(refs)
-    parts = [f"{n} AS ({fixture_sql.render(fixture_sql.MAPPING[n], 'duckdb').strip()})" for n in names]
+    parts = [f"{n} AS ({_conformed(n)})" for n in names]
     parts += [f"{n} AS ({fixture_sql.render(s, 'duckdb').strip()})" for n, s in local]
     head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
     return head + fixture_sql.render(body, "duckdb").strip()
 
 
+def _duck_type(t) -> str:
+    from pyspark.sql import types as T
+    if isinstance(t, T.DecimalType):
+        return f"DECIMAL({t.precision},{t.scale})"
+    return {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.StringType: "VARCHAR",
+            T.TimestampNTZType: "TIMESTAMP", T.DateType: "DATE", T.DoubleType: "DOUBLE",
+            T.BooleanType: "BOOLEAN"}[type(t)]
+
+
+def _conformed(name: str) -> str:
+    """Mapping text of ``name``; canonical tables get every declared column.
+
+    Input conformance only (typed columns in canonical order, declared
+    defaults for columns the mapping does not give), so that ``t.*`` has the
+    same columns in both engines.
+    """
+    from ..sources.schemas import DEFAULTS, SCHEMAS
+    body = fixture_sql.render(fixture_sql.MAPPING[name], "duckdb").strip()
+    if name not in SCHEMAS:
+        return body
+    from pyspark.sql import types as T
+    given = set()
+    for line in fixture_sql.MAPPING[name].split("AS ")[1:]:
+        given.add(line.split()[0].strip(",").strip())
+    cols = []
+    for f in SCHEMAS[name].fields:
+        if f.name in given:
+            cols.append(f"cast(m.{f.name} as {_duck_type(f.dataType)}) AS {f.name}")
+        else:
+            d = DEFAULTS.get(name, {}).get(f.name)
+            lit = "NULL" if d is None else (f"'{d}'" if isinstance(d, str) else str(d))
+            cols.append(f"cast({lit} as {_duck_type(f.dataType)}) AS {f.name}")
+    return f"SELECT {', '.join(cols)} FROM ({body}) m"
+
+
 def oracle(name: str, body: str, local: list[tuple[str, str]] | None = None) -> None:
     ORACLE[name] = sql(body, local)
 

@@ -23,13 +23,13 @@ FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey
 """
 
 MAPPING["users"] = """
-SELECT DISTINCT user_id, concat('user', cast(user_id as string)) AS name,
+SELECT DISTINCT user_id AS user_id, concat('user', cast(user_id as string)) AS name,
        concat('user', cast(user_id as string), '@example.com') AS email
 FROM {events}
 """
 
 MAPPING["user_store"] = """
-SELECT m.user_id, m.store_id,
+SELECT m.user_id AS user_id, m.store_id AS store_id,
        CASE m.user_id % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'manager' WHEN 2 THEN 'cashier' ELSE 'staff' END AS role
 FROM (SELECT user_id, user_id % 25 AS store_id FROM {users}
       UNION
@@ -373,6 +373,18 @@ SELECT id, product_id,
 FROM {product_reviews}
 """
 
+# Key sets for detail lookups: a third of the rows with their own store,
+# some with the next store (not found there), and one unknown id.
+for _name, _src in (("product_keys", "products"), ("supplier_keys", "suppliers"),
+                    ("category_keys", "categories")):
+    MAPPING[_name] = f"""
+SELECT store_id, id FROM {{{_src}}} WHERE id % 3 = 0
+UNION ALL
+SELECT (store_id + 1) % 25, id FROM {{{_src}}} WHERE id % 7 = 1
+UNION ALL
+SELECT cast(1 as bigint), cast(-1 as bigint)
+"""
+
 _REF = re.compile(r"\{(\w+)\}")
 
 JSON_K = {
