@@ -106,24 +106,38 @@ SELECT event_id AS id, cast({json_k} as bigint) AS product_id,
 FROM {events} WHERE event_type <> 'error'
 """
 
-# Line change records (flat): one 'I' per line; a 'D' as well for lines of
-# sales with payment_status 'P' and of purchases whose supplier_id % 10 = 1.
-# The header's store and acting user travel with the record.
+# Line change records (flat before/after images): one 'I' per line; a 'U'
+# for lines with id % 3 = 0 of the headers the update batches touch (sales
+# id % 10 = 2: quantity + 1; purchases id % 10 = 4: quantity + 1, price + 1);
+# a 'D' for lines of sales with payment_status 'P' and of purchases whose
+# supplier_id % 10 = 1. The header's store and acting user travel along.
 MAPPING["line_changes"] = """
 SELECT si.id * 10 + 1 AS change_id, 'sale_items' AS tbl, 'I' AS op, si.id AS line_id, si.sale_id AS order_id,
-       si.product_id, si.quantity, si.unit_price, s.store_id, s.user_id, s.created_at AS ts
+       si.product_id AS product_id,
+       cast(NULL as int) AS b_quantity, cast(NULL as decimal(10,2)) AS b_unit_price,
+       si.quantity AS a_quantity, si.unit_price AS a_unit_price,
+       s.store_id AS store_id, s.user_id AS user_id, s.created_at AS ts
 FROM {sale_items} si JOIN {sales} s ON si.sale_id = s.id
 UNION ALL
+SELECT si.id * 10 + 3, 'sale_items', 'U', si.id, si.sale_id, si.product_id, si.quantity, si.unit_price,
+       si.quantity + 1, si.unit_price, s.store_id, s.user_id, s.created_at + INTERVAL 12 HOUR
+FROM {sale_items} si JOIN {sales} s ON si.sale_id = s.id WHERE s.id % 10 = 2 AND si.id % 3 = 0
+UNION ALL
 SELECT si.id * 10 + 2, 'sale_items', 'D', si.id, si.sale_id, si.product_id, si.quantity, si.unit_price,
-       s.store_id, s.user_id, s.created_at + INTERVAL 1 DAY
+       NULL, NULL, s.store_id, s.user_id, s.created_at + INTERVAL 1 DAY
 FROM {sale_items} si JOIN {sales} s ON si.sale_id = s.id WHERE s.payment_status = 'P'
 UNION ALL
-SELECT pi.id * 10 + 1, 'purchase_items', 'I', pi.id, pi.purchase_id, pi.product_id, pi.quantity, pi.unit_price,
-       p.store_id, p.user_id, p.created_at
+SELECT pi.id * 10 + 1, 'purchase_items', 'I', pi.id, pi.purchase_id, pi.product_id, NULL, NULL,
+       pi.quantity, pi.unit_price, p.store_id, p.user_id, p.created_at
 FROM {purchase_items} pi JOIN {purchases} p ON pi.purchase_id = p.id
 UNION ALL
+SELECT pi.id * 10 + 3, 'purchase_items', 'U', pi.id, pi.purchase_id, pi.product_id, pi.quantity, pi.unit_price,
+       pi.quantity + 1, pi.unit_price + cast(1 as decimal(10,2)), p.store_id, p.user_id,
+       p.created_at + INTERVAL 12 HOUR
+FROM {purchase_items} pi JOIN {purchases} p ON pi.purchase_id = p.id WHERE p.id % 10 = 4 AND pi.id % 3 = 0
+UNION ALL
 SELECT pi.id * 10 + 2, 'purchase_items', 'D', pi.id, pi.purchase_id, pi.product_id, pi.quantity, pi.unit_price,
-       p.store_id, p.user_id, p.created_at + INTERVAL 1 DAY
+       NULL, NULL, p.store_id, p.user_id, p.created_at + INTERVAL 1 DAY
 FROM {purchase_items} pi JOIN {purchases} p ON pi.purchase_id = p.id WHERE p.supplier_id % 10 = 1
 """
 
@@ -132,20 +146,20 @@ FROM {purchase_items} pi JOIN {purchases} p ON pi.purchase_id = p.id WHERE p.sup
 # headers whose lines are deleted above. Suppliers: 'I' for all, 'U' for
 # id % 3 = 0, 'D' for id % 10 = 0 (suppliers without purchases).
 MAPPING["header_changes"] = """
-SELECT id * 10 + 1 AS change_id, 'sales' AS tbl, 'I' AS op, id AS header_id, store_id, user_id,
-       created_at AS ts FROM {sales}
+SELECT id * 10 + 1 AS change_id, 'sales' AS tbl, 'I' AS op, id AS header_id, store_id AS store_id,
+       user_id AS user_id, customer_id AS party_id, created_at AS ts FROM {sales}
 UNION ALL
-SELECT id * 10 + 3, 'sales', 'U', id, store_id, user_id, created_at + INTERVAL 12 HOUR FROM {sales} WHERE id % 10 = 2
+SELECT id * 10 + 3, 'sales', 'U', id, store_id, user_id, customer_id, created_at + INTERVAL 12 HOUR FROM {sales} WHERE id % 10 = 2
 UNION ALL
-SELECT id * 10 + 2, 'sales', 'D', id, store_id, user_id, created_at + INTERVAL 1 DAY FROM {sales}
+SELECT id * 10 + 2, 'sales', 'D', id, store_id, user_id, customer_id, created_at + INTERVAL 1 DAY FROM {sales}
 WHERE payment_status = 'P'
 UNION ALL
-SELECT id * 10 + 1, 'purchases', 'I', id, store_id, user_id, created_at FROM {purchases}
+SELECT id * 10 + 1, 'purchases', 'I', id, store_id, user_id, supplier_id, created_at FROM {purchases}
 UNION ALL
-SELECT id * 10 + 3, 'purchases', 'U', id, store_id, user_id, created_at + INTERVAL 12 HOUR FROM {purchases}
+SELECT id * 10 + 3, 'purchases', 'U', id, store_id, user_id, supplier_id, created_at + INTERVAL 12 HOUR FROM {purchases}
 WHERE id % 10 = 4
 UNION ALL
-SELECT id * 10 + 2, 'purchases', 'D', id, store_id, user_id, created_at + INTERVAL 1 DAY FROM {purchases}
+SELECT id * 10 + 2, 'purchases', 'D', id, store_id, user_id, supplier_id, created_at + INTERVAL 1 DAY FROM {purchases}
 WHERE supplier_id % 10 = 1
 """
 
@@ -157,6 +171,18 @@ UNION ALL
 SELECT id * 10 + 2, 'D', id, store_id, name, id % 10 FROM {suppliers} WHERE id % 10 = 0
 """
 
+# Direct quantity changes of products (id % 4 = 0), half with a note; plus
+# requests naming a product of another store.
+MAPPING["quantity_changes"] = """
+SELECT p.store_id AS store_id, p.id AS product_id, cast(p.id % 9 - 4 as int) AS quantity, p.price AS unit_price,
+       'adjustment' AS type, cast(p.store_id as bigint) AS user_id, cast(NULL as bigint) AS reference_id,
+       CASE WHEN p.id % 8 = 0 THEN 'counted' END AS notes
+FROM {products} p WHERE p.id % 4 = 0
+UNION ALL
+SELECT (p.store_id + 1) % 25, p.id, 1, p.price, 'adjustment', cast(p.store_id as bigint), NULL, NULL
+FROM {products} p WHERE p.id % 50 = 1
+"""
+
 # ---- request batches (FIXTURES.md §2.1) ------------------------------------
 
 # The first member of each store acts for it.
