@@ -324,6 +324,13 @@ MAPPING["supplier_deletes"] = """
 SELECT s.store_id, s.id, a.user_id FROM {suppliers} s JOIN {store_actor} a ON s.store_id = a.store_id
 """
 
+MAPPING["category_inserts"] = """
+SELECT store_id, id + 100000 AS id,
+       CASE WHEN id % 3 = 0 THEN lower(name) WHEN id % 3 = 2 THEN repeat(concat(name, ' '), 15) END AS name,
+       concat('about ', name) AS description
+FROM {categories}
+"""
+
 MAPPING["category_updates"] = """
 SELECT store_id, id, upper(name) AS name, cast(NULL as string) AS description
 FROM {categories} WHERE id % 2 = 0
@@ -334,7 +341,8 @@ SELECT store_id, id FROM {categories} WHERE id % 4 = 1
 """
 
 MAPPING["store_creates"] = """
-SELECT a.user_id, s.id + 100 AS new_id, concat(s.name, ' annex') AS name, s.location,
+SELECT a.user_id, s.id + 100 AS new_id, concat(s.name, ' annex') AS name,
+       CASE WHEN s.id % 5 = 0 THEN ' ' ELSE s.location END AS location,
        cast(NULL as string) AS owner_name
 FROM {store} s JOIN {store_actor} a ON s.id = a.store_id
 """
