@@ -183,6 +183,19 @@ SELECT (p.store_id + 1) % 25, p.id, 1, p.price, 'adjustment', cast(p.store_id as
 FROM {products} p WHERE p.id % 50 = 1
 """
 
+# Action requests: each (user, store) pair of store_pairs asks for three of
+# the guarded actions, chosen by an equi-join on a rotating index.
+def _actions_values() -> str:
+    from ..operators.access import PERMISSIONS
+    rows = ", ".join(f"({i}, '{a}')" for i, a in enumerate(PERMISSIONS))
+    return f"(VALUES {rows}, ({len(PERMISSIONS)}, 'launch_rocket')) AS a(k, action)"
+
+
+MAPPING["action_requests"] = "\nUNION ALL\n".join(
+    f"""SELECT q.user_id * 1000 + q.store_id * 3 + {j} AS request_id, q.user_id, q.store_id, a.action
+FROM {{store_pairs}} q JOIN {_actions_values()} ON a.k = (q.user_id + q.store_id + {j * 12}) % 35"""
+    for j in range(3))
+
 # ---- request batches (FIXTURES.md §2.1) ------------------------------------
 
 # The first member of each store acts for it.
@@ -378,9 +391,12 @@ SELECT cast(-1 as bigint), cast(1 as bigint), 'staff'
 """
 
 MAPPING["role_updates"] = """
-SELECT user_id, user_id % 25 AS store_id, 'staff' AS role FROM {users}
+SELECT user_id * 10 + 1 AS request_id, user_id, user_id % 25 AS store_id, 'staff' AS role FROM {users}
+UNION ALL
+SELECT user_id * 10 + 2, user_id, (user_id + 2) % 25, CASE WHEN user_id % 2 = 0 THEN 'manager' ELSE 'owner' END
+FROM {users}
 UNION ALL
-SELECT user_id, (user_id + 2) % 25, CASE WHEN user_id % 2 = 0 THEN 'manager' ELSE 'owner' END FROM {users}
+SELECT user_id * 10 + 3, user_id, user_id % 25, 'manager' FROM {users} WHERE user_id % 3 = 0
 """
 
 MAPPING["user_imports"] = """
@@ -432,19 +448,19 @@ def references(sql: str) -> list[str]:
 
 
 def closure(names: list[str]) -> list[str]:
-    """Mapping entries needed (in dependency order) to define ``names``."""
-    need: set[str] = set()
+    """Mapping entries needed to define ``names``, dependencies first."""
+    order: list[str] = []
 
     def visit(n: str) -> None:
-        if n in need or n not in MAPPING:
+        if n in order or n not in MAPPING:
             return
         for r in references(MAPPING[n]):
             visit(r)
-        need.add(n)
+        order.append(n)
 
     for n in names:
         visit(n)
-    return [n for n in MAPPING if n in need]
+    return order
 
 
 def render(sql: str, engine: str) -> str:
