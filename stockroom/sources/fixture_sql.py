@@ -308,10 +308,11 @@ WHERE p.id % 7 = 0
 """
 
 MAPPING["product_patches"] = """
-SELECT p.store_id, p.id, p.price + cast(1 as decimal(10,2)) AS price, 'patched' AS description
+SELECT p.store_id, p.id, p.price + cast(1 as decimal(10,2)) AS price, 'patched' AS description,
+       CASE WHEN p.id % 15 = 0 THEN p.category_id + 1 END AS category_id
 FROM {products} p WHERE p.id % 5 = 0
 UNION ALL
-SELECT cast(1 as bigint), cast(-1 as bigint), cast(NULL as decimal(10,2)), cast(NULL as string)
+SELECT cast(1 as bigint), cast(-1 as bigint), cast(NULL as decimal(10,2)), cast(NULL as string), cast(NULL as bigint)
 """
 
 MAPPING["product_deletes"] = """
@@ -320,6 +321,13 @@ UNION ALL
 SELECT cast(1 as bigint), cast(-1 as bigint)
 """
 
+MAPPING["review_requests"] = """
+SELECT r.id + 5000000 AS request_id,
+       CASE WHEN r.id % 8 = 4 THEN (r.product_id + 1) % 25 ELSE r.product_id % 25 END AS store_id,
+       r.product_id, coalesce(r.user_id, 0) AS user_id, cast(r.id % 7 as int) AS rating, r.review_text
+FROM {product_reviews} r WHERE r.id % 4 = 0
+"""
+
 MAPPING["supplier_requests"] = """
 SELECT s.store_id, a.user_id, s.id AS request_id,
        CASE WHEN s.id % 2 = 0 THEN upper(s.name) ELSE concat('New ', s.name) END AS name,
