@@ -221,6 +221,19 @@ SELECT h.request_id,
 FROM {sale_request_headers} h JOIN {lineitem} l ON h.request_id = l.l_orderkey
 """
 
+# The single-line slice: the first line of each request, and per product the
+# lowest request -- one line per order and one order per product.
+MAPPING["single_sale_request_lines"] = """
+SELECT l.* FROM {sale_request_lines} l
+JOIN (SELECT product_id, min(request_id) AS request_id FROM {sale_request_lines} WHERE line_no = 1
+      GROUP BY product_id) f ON l.request_id = f.request_id AND l.product_id = f.product_id
+WHERE l.line_no = 1
+"""
+
+MAPPING["single_sale_request_headers"] = """
+SELECT h.* FROM {sale_request_headers} h WHERE h.request_id IN (SELECT request_id FROM {single_sale_request_lines})
+"""
+
 MAPPING["purchase_request_headers"] = """
 SELECT p.id AS request_id, p.store_id, a.user_id,
        CASE WHEN p.id % 50 = 3 THEN p.supplier_id + 1 ELSE p.supplier_id END AS supplier_id,
