@@ -147,3 +147,7 @@ WHERE NOT EXISTS (SELECT 1 FROM {products} p WHERE p.id = q.product_id AND p.sto
 """)
 oracle("list_transactions", "SELECT * FROM {ledger} WHERE store_id = 7", [("ledger", STOCK_LEDGER)])
 oracle("product_transactions", "SELECT * FROM {ledger} WHERE product_id = 107", [("ledger", STOCK_LEDGER)])
+
+# The streaming keys must equal their batch counterparts.
+oracle("stream_stock_ledger", STOCK_LEDGER)
+oracle("stream_stock_on_hand", _ON_HAND, [("ledger", STOCK_LEDGER)])
