@@ -47,6 +47,5 @@ def _load_all() -> None:
 
 
 def queries() -> dict[str, QueryFn]:
-    if not REGISTRY:
-        _load_all()
+    _load_all()  # imports are idempotent; a plan module imported alone must not hide the rest
     return dict(REGISTRY)
