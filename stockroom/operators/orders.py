@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.prefix import sum_before
-from ..session import ensure_checkpoint_dir
 from ..sources.changes import LINE_CHANGE
 from ..sources.schemas import MONEY, evolve_schema
 from ..sources.tables import Tables
@@ -96,13 +96,12 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     least one request and the loop ends; the verdicts equal one-by-one
     posting (for positive quantities, an order's lines of one product pass
     in turn iff their sum fits). The driver only counts open requests per
-    round; the state is checkpointed each round to cut the lineage.
+    round; the state is checkpointed each round
+    (:func:`~stockroom.functions.lineage.cut`) to cut the lineage.
 
     Returns ``rows`` = new sales, ``extra`` = line change records ('I' per
     new line), ``ledger`` = new sale lines, ``rejects`` = (request_id, reason).
     """
-    spark = requests.sparkSession
-    ensure_checkpoint_dir(spark)
     key = "request_id"
     heads = requests.select(key, "store_id", "user_id", "customer_id", "payment_method", "notes",
                             "requested_at", F.col("items").isNull().alias("_no_items"))
@@ -125,7 +124,7 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     lines = (_lines(requests, key, ["store_id", "requested_at"])
              .join(prod.withColumn("_found", F.lit(True)), ["product_id", "store_id"], "left"))
     static_bad = F.col("_found").isNull() | F.col("quantity").isNull() | (F.col("quantity") <= 0)
-    lines = lines.withColumn("_static_bad", static_bad).checkpoint()
+    lines = cut(lines.withColumn("_static_bad", static_bad))
 
     bad_req = lines.filter("_static_bad").select(key).distinct()
     state0 = (heads.join(bad_req.withColumn("_lb", F.lit(True)), key, "left")
@@ -136,13 +135,13 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     demand = (lines.filter(~F.col("_static_bad"))
               .groupBy(key, "product_id", "requested_at").agg(F.sum("quantity").cast("bigint").alias("q"))
               .join(prod.select("product_id", "stock"), "product_id"))
-    demand = demand.join(state0.filter("status = 'open'"), key, "left_semi").checkpoint()
+    demand = demand.join(state0.filter("status = 'open'"), key, "left_semi").persist()
 
     # requests in play with no demand (an empty item list) need no stock
     has_demand = demand.select(key).distinct().withColumn("_d", F.lit(True))
-    state = (state0.join(has_demand, key, "left")
-             .select(key, F.when((F.col("status") == "open") & F.col("_d").isNull(), "accepted")
-                     .otherwise(F.col("status")).alias("status")).checkpoint())
+    state = cut(state0.join(has_demand, key, "left")
+                .select(key, F.when((F.col("status") == "open") & F.col("_d").isNull(), "accepted")
+                        .otherwise(F.col("status")).alias("status")))
     rounds = 0
     while True:
         n_open = state.filter("status = 'open'").count()
@@ -158,10 +157,12 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
         verdict = (d.filter("status = 'open'").groupBy(key)
                    .agg(F.max(sure_fail.cast("int")).alias("_f"), F.min(sure_pass.cast("int")).alias("_p")))
         new = F.when(F.col("_f") == 1, "rejected").when(F.col("_p") == 1, "accepted")
-        state = (state.join(verdict, key, "left")
-                 .select(key, F.when(F.col("status") == "open", F.coalesce(new, F.lit("open")))
-                         .otherwise(F.col("status")).alias("status"))
-                 .checkpoint())
+        nxt = (state.join(verdict, key, "left")
+               .select(key, F.when(F.col("status") == "open", F.coalesce(new, F.lit("open")))
+                       .otherwise(F.col("status")).alias("status")))
+        # each round's state is checkpointed (a plan leaf in the shared folder)
+        state = cut(nxt)
+    demand.unpersist()
 
     # -- reasons of rejected requests: first failing line at the stock the order saw
     st = state.join(heads.select(key, "head_reason"), key)
@@ -307,9 +308,8 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
 
     # line diff for requests with items. The accepted batch is checkpointed
     # once, so the branches below share it instead of re-deriving it.
-    with_items = (ok.filter(F.col("items").isNotNull())
-                  .select(key, "store_id", "user_id", F.col("requested_at").alias("ts"), "items")
-                  .checkpoint())
+    with_items = cut(ok.filter(F.col("items").isNotNull())
+                     .select(key, "store_id", "user_id", F.col("requested_at").alias("ts"), "items"))
     new = _lines(with_items, key, [])
     with_items = with_items.drop("items")
     old = lines_t.join(with_items.select(key), key, "left_semi")
