@@ -151,3 +151,7 @@ oracle("product_transactions", "SELECT * FROM {ledger} WHERE product_id = 107",
 # The streaming keys must equal their batch counterparts.
 oracle("stream_stock_ledger", STOCK_LEDGER)
 oracle("stream_stock_on_hand", _ON_HAND, [("ledger", STOCK_LEDGER)])
+
+# Sources and sinks: what is read back must equal what went in.
+oracle("append_ledger", SALE + "\nUNION ALL\n" + PURCHASE)
+oracle("load_tables", "SELECT * FROM {products}")

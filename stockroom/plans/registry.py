@@ -38,7 +38,7 @@ def register(name: str):
 def _load_all() -> None:
     # Importing the plan modules fills REGISTRY.
     for optional in ("report_plans", "listing_plans", "ledger_plans", "catalog_plans", "order_plans",
-                     "check_plans", "access_plans", "stream_plans"):
+                     "check_plans", "access_plans", "stream_plans", "source_plans"):
         try:
             __import__(f"{__package__}.{optional}")
         except ModuleNotFoundError as e:
