@@ -19,6 +19,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key even where that costs one more shuffle (a join feeding
+    # an aggregate on the same key): one key may hold a third of the rows
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # Broadcast only small sides; dimension tables of this model (stores,
     # categories, roles) are far below this, fact tables never are.
