@@ -53,6 +53,23 @@ def _lines(req: DataFrame, key: str, extra: list[str]) -> DataFrame:
         F.col("item.quantity").alias("quantity"), F.col("item.unit_price").alias("unit_price"))
 
 
+SEVERAL = "Several requests for one order in a batch"
+
+
+def single_requests(requests: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requests whose ``key`` is unique in the batch, and rejects for the rest.
+
+    The source applies requests one at a time; a batch carries no order among
+    several requests for one order, so all of them are rejected (with the
+    reason) rather than one chosen arbitrarily. Counted with a partial
+    aggregate and joined back -- no window over a hot key.
+    """
+    n = requests.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    r = requests.join(n, key)
+    return (r.filter("_n = 1").drop("_n"),
+            r.filter("_n > 1").select(*cols, F.lit(SEVERAL).alias("reason")))
+
+
 def _truthy(c: Column) -> Column:
     """A JavaScript-truthy id: given and not 0."""
     return c.isNotNull() & (c != 0)
@@ -103,6 +120,7 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     new line), ``ledger`` = new sale lines, ``rejects`` = (request_id, reason).
     """
     key = "request_id"
+    requests, several = single_requests(requests, key, [key])
     heads = requests.select(key, "store_id", "user_id", "customer_id", "payment_method", "notes",
                             "requested_at", F.col("items").isNull().alias("_no_items"))
     # -- header checks
@@ -187,7 +205,8 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
                  .groupBy(key).agg(F.min(F.struct("pos", "lr")).alias("_m"))
                  .select(key, F.col("_m.lr").alias("line_reason")))
     rejected = (st.filter("status = 'rejected'").join(first_bad, key, "left")
-                .select(key, F.coalesce("head_reason", "line_reason", F.lit("Rejected")).alias("reason")))
+                .select(key, F.coalesce("head_reason", "line_reason", F.lit("Rejected")).alias("reason"))
+                .unionByName(several))
 
     # -- accepted output
     acc_heads = heads.join(acc, key, "left_semi")
@@ -220,6 +239,7 @@ def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None
     order) gives the reason. Prices come from the request; stock rises.
     """
     key = "request_id"
+    requests, several = single_requests(requests, key, [key])
     heads = requests.select(key, "store_id", "user_id", "supplier_id", "notes", "requested_at",
                             F.col("items").isNull().alias("_no_items"))
     if user_store is not None:
@@ -242,7 +262,7 @@ def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None
         reason = F.when(cond, msg) if reason is None else reason.when(cond, msg)
     heads = heads.withColumn("reason", reason)
     ok = heads.filter(F.col("reason").isNull())
-    rejects = heads.filter(F.col("reason").isNotNull()).select(key, "reason")
+    rejects = heads.filter(F.col("reason").isNotNull()).select(key, "reason").unionByName(several)
     purchases = evolve_schema(ok.select(F.col(key).alias("id"), "store_id", "supplier_id", "user_id", "notes",
                                         F.col("requested_at").alias("created_at"),
                                         _ts(as_of).alias("updated_at")), "purchases")
@@ -276,6 +296,7 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
     party, party_t, party_msg = (("customer_id", t.customers, INVALID_CUSTOMER) if sale
                                  else ("supplier_id", t.suppliers, INVALID_SUPPLIER))
     action = "update_sale" if sale else "update_purchase"
+    requests, several = single_requests(requests, key, [key, "store_id"])
     req = requests
     reason = None
     if user_store is not None:
@@ -296,7 +317,7 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
         reason = F.when(cond, F.lit(msg)) if reason is None else reason.when(cond, F.lit(msg))
     req = req.withColumn("reason", reason)
     ok = req.filter(F.col("reason").isNull())
-    rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason")
+    rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason").unionByName(several)
 
     # header patch
     h = heads_t.join(ok.select(F.col(key).alias("id"), F.col(party).alias("_np"),
@@ -370,6 +391,7 @@ def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame |
     sale = kind == "sale"
     key, heads_t, lines_t = (("sale_id", t.sales, t.sale_items) if sale
                              else ("purchase_id", t.purchases, t.purchase_items))
+    requests, several = single_requests(requests, key, [key, "store_id"])
     req = requests
     reason = None
     if user_store is not None:
@@ -383,8 +405,8 @@ def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame |
     reason = F.when(F.col("_head").isNull(), F.lit(msg)) if reason is None else reason.when(
         F.col("_head").isNull(), F.lit(msg))
     req = req.withColumn("reason", reason)
-    ok = req.filter(F.col("reason").isNull()).select(key, "store_id", "user_id").dropDuplicates([key])
-    rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason")
+    ok = req.filter(F.col("reason").isNull()).select(key, "store_id", "user_id")
+    rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason").unionByName(several)
     remaining_heads = heads_t.join(ok.select(F.col(key).alias("id")), "id", "left_anti")
     gone_lines = lines_t.join(ok.select(key), key, "left_semi")
     remaining_lines = lines_t.join(ok.select(key), key, "left_anti")
