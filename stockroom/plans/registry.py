@@ -16,6 +16,8 @@ from ..sources.tables import Tables, from_testdata
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
+# the same queries over a Tables bundle (e.g. stored canonical tables)
+OPS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 # Fixed parameters of the registered queries (shared with the oracle text).
 RANGE_START, RANGE_END = "1996-01-01", "1998-12-31"
@@ -29,6 +31,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 def register(name: str):
     def deco(fn: Callable[[Tables], DataFrame]):
+        OPS[name] = fn
         REGISTRY[name] = lambda spark, sf_dir: fn(tables(spark, sf_dir))
         REGISTRY[name].__doc__ = fn.__doc__
         return fn
@@ -46,6 +49,11 @@ def _load_all() -> None:
                 raise
 
 
+def ops() -> dict[str, Callable[[Tables], DataFrame]]:
+    _load_all()
+    return dict(OPS)
+
+
 def queries() -> dict[str, QueryFn]:
     _load_all()  # imports are idempotent; a plan module imported alone must not hide the rest
     return dict(REGISTRY)

@@ -105,3 +105,25 @@ def write_tables(t: Tables, root: str, tables: list[str] | None = None) -> None:
         if "store_id" in df.columns and name in ("products", "sales", "purchases", "inventory_transactions"):
             writer = writer.partitionBy("store_id")
         writer.parquet(os.path.join(root, name))
+
+
+def stage_inputs(t: Tables, root: str, names: list[str] | None = None) -> Tables:
+    """Write every input frame of ``t`` (canonical tables and request batches)
+    as parquet under ``root`` and return a bundle that reads them back.
+
+    This is the production shape: operators read stored tables instead of
+    re-deriving them. Raw source tables are not copied.
+    """
+    from . import fixture_sql
+    names = names or [n for n in t.names() if n not in fixture_sql.RAW_TABLES]
+    for n in names:
+        t[n].write.mode("overwrite").parquet(os.path.join(root, n))
+
+    def reader(name: str):
+        return lambda tt: tt.spark.read.parquet(os.path.join(root, name))
+
+    builders = {n: reader(n) for n in names}
+    for raw in fixture_sql.RAW_TABLES:
+        if raw in t:
+            builders[raw] = t._builders[raw]
+    return Tables(t.spark, builders)
