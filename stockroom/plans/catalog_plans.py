@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as K
+from ..sources.schemas import evolve_schema
 from .registry import register
 
 AS_OF = "2024-06-30 00:00:00"  # NOW() of the batch
@@ -40,6 +41,5 @@ _reg("create_stores", lambda t: K.create_stores(t.store_creates, AS_OF), [("", "
 _reg("update_stores", lambda t: K.update_stores(t.store_updates, t, AS_OF), [("", "rows"), ("_rejects", "rejects")])
 _reg("delete_stores", lambda t: K.delete_stores(t.store_deletes, t),
      [("", "rows"), ("_categories", "extra"), ("_rejects", "rejects")])
-register("evolve_schema")(lambda t: __import__("stockroom.sources.schemas", fromlist=["evolve_schema"])
-                          .evolve_schema(t.orders.select(F.col("o_orderkey").alias("id"),
-                                                         F.col("o_orderdate").alias("created_at")), "sales"))
+register("evolve_schema")(lambda t: evolve_schema(
+    t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")), "sales"))
