@@ -286,7 +286,7 @@ MAPPING["purchase_update_lines"] = """
 SELECT x.purchase_id, x.line_no, x.product_id, x.quantity, x.unit_price FROM (
   SELECT pi.purchase_id, pi.id AS line_no, pi.product_id,
          CASE WHEN pi.id % 3 = 0 THEN pi.quantity + 1 ELSE pi.quantity END AS quantity,
-         CASE WHEN pi.id % 3 = 0 THEN pi.unit_price + cast(1 as decimal(10,2)) ELSE pi.unit_price END AS unit_price
+         cast(CASE WHEN pi.id % 3 = 0 THEN pi.unit_price + 1 ELSE pi.unit_price END as decimal(10,2)) AS unit_price
   FROM {purchase_items} pi JOIN {purchase_update_headers} h ON pi.purchase_id = h.purchase_id
   JOIN (SELECT min(id) AS first_id FROM {purchase_items} GROUP BY purchase_id, product_id) f ON pi.id = f.first_id
   WHERE pi.id % 3 <> 1
@@ -321,7 +321,7 @@ WHERE p.id % 7 = 0
 """
 
 MAPPING["product_patches"] = """
-SELECT p.store_id, p.id, p.price + cast(1 as decimal(10,2)) AS price, 'patched' AS description,
+SELECT p.store_id, p.id, cast(p.price + 1 as decimal(10,2)) AS price, 'patched' AS description,
        CASE WHEN p.id % 15 = 0 THEN p.category_id + 1 END AS category_id
 FROM {products} p WHERE p.id % 5 = 0
 UNION ALL

@@ -70,13 +70,20 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     if sql is None:
         out["status"] = "rows-only"
         return out
-    res = con.execute(sql)
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    d_types = {c: str(t).replace('"', "") for c, t in zip(d_cols, rel.types)}
+    d_rows = rel.fetchall()
     out["duck_rows"] = len(d_rows)
     if sorted(s_cols) != sorted(d_cols):
         out["status"] = f"COLUMNS spark={sorted(s_cols)} duck={sorted(d_cols)}"
         return out
+    from type_compare import spark_type
+    s_types = {f.name: spark_type(f.dataType) for f in df.schema.fields}
+    bad_types = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]}
+    if bad_types:
+        out["status"] = f"TYPES {bad_types}"
+        return out
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if a == b:
         out["status"] = "ok"
