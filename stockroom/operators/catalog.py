@@ -265,8 +265,9 @@ def create_stores(req: DataFrame, as_of=None) -> Outcome:
     """New stores (id = ``new_id``) and an 'admin' membership for each creator (``extra``)."""
     stores = evolve_schema(req.withColumn("id", F.col("new_id")).withColumn("updated_at", _ts(as_of)), "store")
     members = req.select("user_id", F.col("new_id").alias("store_id"), F.lit("admin").alias("role"))
-    empty = req.limit(0).select(F.col("new_id").alias("id"), F.lit(None).cast("string").alias("reason"))
-    return Outcome(stores, empty, extra=members)
+    # creating a store has no failure mode of its own: no rejects
+    none = req.sparkSession.createDataFrame([], "id bigint, reason string")
+    return Outcome(stores, none, extra=members)
 
 
 def _admin_requests(req: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -24,9 +24,20 @@ RANGE_START, RANGE_END = "1996-01-01", "1998-12-31"
 BOUND_START, BOUND_END = "1996-01-01", "2000-12-31"
 
 
+_TABLES: dict[tuple, Tables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The bundle for ``sf_dir``, shared by queries of one session.
+
+    Frames are lazy and immutable, so sharing only saves re-building and
+    re-analysing the mapping; every query still reads the files when it runs.
+    """
     apply_result_conf(spark)
-    return from_testdata(spark, sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = from_testdata(spark, sf_dir)
+    return _TABLES[key]
 
 
 def register(name: str):

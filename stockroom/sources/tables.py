@@ -127,3 +127,15 @@ def stage_inputs(t: Tables, root: str, names: list[str] | None = None) -> Tables
         if raw in t:
             builders[raw] = t._builders[raw]
     return Tables(t.spark, builders)
+
+
+def read_jdbc_table(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int,
+                    num_partitions: int, properties: dict | None = None) -> DataFrame:
+    """Parallel read of one table of a live database (untested here: no database
+    may run in this environment). ``num_partitions`` range queries over
+    ``partition_column`` in [lower, upper) run as separate tasks; the result is
+    conformed with :func:`evolve_schema` when ``table`` is canonical.
+    """
+    df = spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                         numPartitions=num_partitions, properties=properties or {})
+    return evolve_schema(df, table) if table in SCHEMAS else df

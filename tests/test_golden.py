@@ -120,3 +120,11 @@ def test_money_is_exact_decimal(spark, t_small):
                                             "id long, store_id long, quantity int, price decimal(10,2)"), "products")
     rows = R.inventory_valuation(t_small.replace(products=p)).collect()
     assert sorted(r["total_value"] for r in rows) == [Decimal("0.30"), Decimal("1.40")]
+
+
+def test_views_are_queryable_with_sql(spark, t_small):
+    from stockroom.operators.views import register_views
+    names = register_views(t_small, prefix="t_")
+    assert len(names) == 5
+    n = spark.sql("SELECT count(*) AS n FROM t_low_stock_view WHERE quantity < 10").collect()[0]["n"]
+    assert n == R.low_stock(t_small).count()
