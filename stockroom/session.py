@@ -57,6 +57,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def configure(spark: SparkSession) -> None:
+    """Apply the runtime-settable scale settings (``spark.sql.*``) to an existing
+    session, e.g. the one a cluster launcher created."""
+    for k, v in SCALE_CONF.items():
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
+    apply_result_conf(spark)
+
+
 def apply_result_conf(spark: SparkSession) -> None:
     """Pin the settings that affect results on a session we did not build."""
     for k, v in RESULT_CONF.items():

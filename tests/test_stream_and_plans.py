@@ -55,3 +55,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     scans = [line for line in plan.splitlines() if "lineitem" in line and "ReadSchema" in line]
     assert scans and all("l_tax" not in s and "l_discount" not in s for s in scans)
+
+
+def test_compaction_keeps_latest_totals(spark, t_small):
+    ch = changes(t_small)
+    base = scratch_dir(spark, "test-compact")
+    write_change_files(ch, f"{base}/changes", 3)
+    S.run_stock_on_hand(spark, f"{base}/changes", f"{base}/out", f"{base}/ckpt", max_files_per_trigger=1)
+    S.compact_stock_on_hand(spark, f"{base}/out", f"{base}/snap")
+    snap = {r["product_id"]: r["movement"] for r in spark.read.parquet(f"{base}/snap").collect()}
+    want = {r["product_id"]: r["movement"] for r in stock_on_hand(t_small.products, stock_ledger(ch))
+            .filter("movement <> 0").collect()}
+    assert {k: v for k, v in snap.items() if v != 0 and k in want} == want
