@@ -19,7 +19,12 @@ def sum_before(df: DataFrame, key: str, ts: str, tie: list[str], cols: list[str]
     """Add ``{c}_before`` = Σ ``c`` over rows of the same ``key`` strictly earlier
     in (``ts``, ``*tie``) order, for each ``c`` in ``cols``."""
     b = "_bucket"
-    d = df.withColumn(b, F.date_trunc(bucket, F.col(ts)))
+    # Shuffle by (key, bucket) first. An input already hash-partitioned by
+    # ``key`` would satisfy every step below, so Spark would add no exchange and
+    # a hot key would be read and sorted in one task. After this shuffle the
+    # bucket totals and the in-bucket window need no exchange, and only the
+    # small per-bucket rows move again (by key for the offsets, then back).
+    d = df.withColumn(b, F.date_trunc(bucket, F.col(ts))).repartition(key, b)
     tot = d.groupBy(key, b).agg(*[F.sum(c).alias(c) for c in cols])
     w1 = Window.partitionBy(key).orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(key, b, *[F.coalesce(F.sum(c).over(w1), F.lit(0)).alias(f"_{c}_base") for c in cols])
