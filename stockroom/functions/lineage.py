@@ -32,3 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def cut_and_count(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """:func:`cut` whose checkpoint is written by the job that counts the rows
+    matching ``condition`` (one computation for both)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=False)
+    n = out.filter(condition).count()   # computes into the cache, then writes the checkpoint from it
+    cached.unpersist()
+    return out, n

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, cut_and_count
 from ..functions.prefix import sum_before
 from ..sources.changes import LINE_CHANGE
 from ..sources.schemas import MONEY, evolve_schema
@@ -157,14 +157,12 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
 
     # requests in play with no demand (an empty item list) need no stock
     has_demand = demand.select(key).distinct().withColumn("_d", F.lit(True))
-    state = cut(state0.join(has_demand, key, "left")
-                .select(key, F.when((F.col("status") == "open") & F.col("_d").isNull(), "accepted")
-                        .otherwise(F.col("status")).alias("status")))
+    state, n_open = cut_and_count(
+        state0.join(has_demand, key, "left")
+        .select(key, F.when((F.col("status") == "open") & F.col("_d").isNull(), "accepted")
+                .otherwise(F.col("status")).alias("status")), "status = 'open'")
     rounds = 0
-    while True:
-        n_open = state.filter("status = 'open'").count()
-        if n_open == 0 or (max_rounds is not None and rounds >= max_rounds):
-            break
+    while n_open > 0 and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         d = demand.join(state, key)
         # only products with an open request can change a verdict: later rounds
@@ -182,8 +180,9 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
         nxt = (state.join(verdict, key, "left")
                .select(key, F.when(F.col("status") == "open", F.coalesce(new, F.lit("open")))
                        .otherwise(F.col("status")).alias("status")))
-        # each round's state is checkpointed (a plan leaf in the shared folder)
-        state = cut(nxt)
+        # each round's state is checkpointed (a plan leaf in the shared folder);
+        # the same job counts the requests still open
+        state, n_open = cut_and_count(nxt, "status = 'open'")
     demand.unpersist()
 
     # -- reasons of rejected requests: first failing line at the stock the order saw
