@@ -209,9 +209,8 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
 
     # -- accepted output
     acc_heads = heads.join(acc, key, "left_semi")
-    sales = evolve_schema(acc_heads.select(F.col(key).alias("id"), "store_id",
-                                           F.when(_truthy(F.col("customer_id")), F.col("customer_id"))
-                                           .alias("customer_id"),
+    # the customer id is stored as given (0 only skips the customer check)
+    sales = evolve_schema(acc_heads.select(F.col(key).alias("id"), "store_id", "customer_id",
                                            "user_id", "payment_method", "notes",
                                            F.col("requested_at").alias("created_at"),
                                            _ts(as_of).alias("updated_at")), "sales")
