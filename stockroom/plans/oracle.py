@@ -15,7 +15,7 @@ from .registry import BOUND_END, BOUND_START, RANGE_END, RANGE_START
 ORACLE: dict[str, str] = {}
 
 
-def sql(body: str, local: list[tuple[str, str]] | None = None) -> str:
+def sql(body: str, local: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """Render ``body`` (and optional local CTEs) over the shared mapping."""
     local = local or []
     texts = [body] + [s for _, s in local]
@@ -24,7 +24,7 @@ def sql(body: str, local: list[tuple[str, str]] | None = None) -> str:
     names = fixture_sql.closure(refs)
     parts = [f"{n} AS ({_conformed(n)})" for n in names]
     parts += [f"{n} AS ({fixture_sql.render(s, 'duckdb').strip()})" for n, s in local]
-    head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
+    head = (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n") if parts else ""
     return head + fixture_sql.render(body, "duckdb").strip()
 
 
@@ -63,8 +63,8 @@ def _conformed(name: str) -> str:
     return f"SELECT {', '.join(cols)} FROM ({body}) m"
 
 
-def oracle(name: str, body: str, local: list[tuple[str, str]] | None = None) -> None:
-    ORACLE[name] = sql(body, local)
+def oracle(name: str, body: str, local: list[tuple[str, str]] | None = None, recursive: bool = False) -> None:
+    ORACLE[name] = sql(body, local, recursive)
 
 
 MONEY = "decimal(38,2)"

@@ -1,5 +1,9 @@
-"""DuckDB oracle text for the order write paths (all but the general post_sales,
-which is checked against one-by-one posting in the tests)."""
+"""DuckDB oracle text for the order write paths.
+
+The general post_sales is order-dependent; its oracle simulates one-by-one
+posting with a recursive CTE (one request per step, stock carried as a MAP),
+which shares nothing with the set-based rounds of the Spark operator.
+"""
 
 from __future__ import annotations
 
@@ -160,3 +164,62 @@ GROUP BY product_id
 
 _reversals("sale")
 _reversals("purchase")
+
+
+# -- the general post_sales: one-by-one posting, simulated by a recursive CTE
+# that carries the stock of every product as a MAP and takes one request per
+# step in (requested_at, request_id) order. Independent of the set-based
+# rounds of the Spark operator.
+_PS_HDR = ("hdr", f"""
+SELECT h.*, CASE {_guard(('admin', 'manager', 'cashier'))}
+            WHEN h.customer_id IS NOT NULL AND h.customer_id <> 0 AND NOT EXISTS (
+                 SELECT 1 FROM {{customers}} c WHERE c.id = h.customer_id AND c.store_id = h.store_id)
+            THEN 'Invalid Customer' END AS head_reason,
+       row_number() OVER (ORDER BY h.requested_at, h.request_id) AS k
+FROM {{sale_request_headers}} h LEFT JOIN {{user_store}} g ON g.user_id = h.user_id AND g.store_id = h.store_id
+""")
+_PS_RL = ("rl", """
+SELECT h.k, h.request_id, h.head_reason,
+       (SELECT list(struct_pack(p := l.product_id, q := l.quantity, found := pr.id IS NOT NULL, name := pr.name)
+                    ORDER BY l.line_no)
+        FROM {sale_request_lines} l LEFT JOIN {products} pr ON pr.id = l.product_id AND pr.store_id = h.store_id
+        WHERE l.request_id = h.request_id) AS items
+FROM {hdr} h
+""")
+_OWN_BEFORE = ("coalesce(list_sum(list_transform(list_filter(r.items[1:i - 1], lambda y: y.p = x.p), "
+               "lambda y: y.q)), 0)")
+_LINE_MSGS = (f"list_transform(r.items, lambda x, i: CASE "
+              f"WHEN NOT x.found THEN 'Product with ID ' || cast(x.p as varchar) || ' not found in store' "
+              f"WHEN x.q IS NULL OR x.q <= 0 THEN 'Invalid quantity' "
+              f"WHEN s.stock[x.p] - {_OWN_BEFORE} < x.q THEN 'Not enough stock for product ' || x.name END)")
+_REASON = (f"coalesce(r.head_reason, CASE WHEN r.items IS NULL THEN 'Items are required' END, "
+           f"list_filter({_LINE_MSGS}, lambda m: m IS NOT NULL)[1])")
+_TAKE = ("map_from_entries(list_transform(map_entries(s.stock), lambda e: struct_pack(key := e.key, "
+         "value := e.value - coalesce(list_sum(list_transform(list_filter(r.items, lambda y: y.p = e.key), "
+         "lambda y: y.q)), 0))))")
+_PS_SIM = ("sim", f"""
+SELECT cast(0 as bigint) AS k,
+       (SELECT map(list(id ORDER BY id), list(cast(quantity as bigint) ORDER BY id)) FROM {{products}}) AS stock,
+       cast(NULL as bigint) AS request_id, cast(NULL as varchar) AS reason
+UNION ALL
+SELECT r.k, CASE WHEN {_REASON} IS NULL THEN {_TAKE} ELSE s.stock END, r.request_id, {_REASON}
+FROM sim s JOIN {{rl}} r ON r.k = s.k + 1
+""")
+_PS = [_PS_HDR, _PS_RL, _PS_SIM]
+oracle("post_sales_verdicts", """
+SELECT request_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason
+FROM {sim} WHERE k > 0
+""", _PS, recursive=True)
+oracle("post_sales", f"""
+SELECT h.request_id AS id, h.store_id, h.customer_id, h.user_id, h.payment_method, 'pending' AS payment_status,
+       cast(0 as decimal(10,2)) AS discount, cast(0 as decimal(10,2)) AS tax, h.notes,
+       h.requested_at AS created_at, {TS} AS updated_at, cast(NULL as timestamp) AS last_updated_at
+FROM {{hdr}} h JOIN {{sim}} s ON s.request_id = h.request_id WHERE s.k > 0 AND s.reason IS NULL
+""", _PS, recursive=True)
+oracle("post_sales_lines", """
+SELECT l.request_id * 1000 + row_number() OVER (PARTITION BY l.request_id ORDER BY l.line_no) AS id,
+       l.request_id AS sale_id, l.product_id, l.quantity, p.price AS unit_price
+FROM {sale_request_lines} l JOIN {sim} s ON s.request_id = l.request_id AND s.k > 0 AND s.reason IS NULL
+JOIN {hdr} h ON h.request_id = l.request_id
+JOIN {products} p ON p.id = l.product_id AND p.store_id = h.store_id
+""", _PS, recursive=True)
