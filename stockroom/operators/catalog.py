@@ -189,12 +189,15 @@ def patch_suppliers(req: DataFrame, t: Tables, user_store: DataFrame | None = No
     r = req.select("store_id", "id", "user_id", *[F.col(c).alias("new_" + c) for c in _SUPPLIER_PATCH])
     s = t.suppliers
     j = r.join(s.withColumn("_s", F.lit(True)), keys, "left")
-    # clash: same store, same lower(name), other id (equi-join + residual)
-    others = s.select("store_id", F.lower("name").alias("_lname"), F.col("id").alias("_other"))
-    clash = (r.filter(F.col("new_name").isNotNull()).withColumn("_lname", F.lower("new_name"))
-             .join(others, ["store_id", "_lname"]).filter(F.col("_other") != F.col("id"))
-             .select("store_id", "id").distinct().withColumn("_clash", F.lit(True)))
-    j = j.join(clash, keys, "left")
+    # clash: another id in the store has the same lower(name). Counted per
+    # (store, lower(name)) first, so a popular name never produces all pairs:
+    # two or more holders always include another id; one holder clashes
+    # unless it is the supplier itself.
+    holders = (s.groupBy("store_id", F.lower("name").alias("_lname"))
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_holder")))
+    j = (j.withColumn("_lname", F.lower("new_name")).join(holders, ["store_id", "_lname"], "left")
+         .withColumn("_clash", F.col("new_name").isNotNull()
+                     & ((F.col("_n") > 1) | ((F.col("_n") == 1) & (F.col("_holder") != F.col("id"))))))
     ok, bad = _split(j, first_reason((F.col("_s").isNull(), "Supplier not found"),
                                      (F.col("_clash"), DUPLICATE_SUPPLIER)), keys)
     patched = ok.select(*[F.coalesce(F.col("new_" + c), F.col(c)).alias(c) if c in _SUPPLIER_PATCH
