@@ -14,19 +14,19 @@ def _rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("n_files", [1, 3, 10])
-def test_stream_equals_batch_with_duplicates(spark, t_small, n_files):
+@pytest.mark.parametrize("n_files,dedupe", [(1, "all"), (3, "all"), (10, "all"), (3, "watermark")])
+def test_stream_equals_batch_with_duplicates(spark, t_small, n_files, dedupe):
     ch = changes(t_small)
     base = scratch_dir(spark, "test-stream")
     write_change_files(ch, f"{base}/changes", n_files)
     # a replayed delivery: some records arrive twice, in a later file
     ch.filter(F.col("change_id") % 7 == 0).write.mode("append").parquet(f"{base}/changes")
-    S.run_stock_on_hand(spark, f"{base}/changes", f"{base}/out", f"{base}/ckpt", dedupe="all",
+    S.run_stock_on_hand(spark, f"{base}/changes", f"{base}/out", f"{base}/ckpt", dedupe=dedupe,
                         max_files_per_trigger=2)
     got = S.read_stock_on_hand(spark, f"{base}/out", t_small.products)
     want = stock_on_hand(t_small.products, stock_ledger(ch))
     assert _rows(got) == _rows(want)
-    S.run_stock_ledger(spark, f"{base}/changes", f"{base}/ledger", f"{base}/ckpt2", dedupe="all")
+    S.run_stock_ledger(spark, f"{base}/changes", f"{base}/ledger", f"{base}/ckpt2", dedupe=dedupe)
     assert _rows(spark.read.parquet(f"{base}/ledger")) == _rows(stock_ledger(ch))
 
 
