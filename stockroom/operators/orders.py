@@ -93,7 +93,7 @@ def _image(id_: str, order: str, product: str, qty: str, price: str) -> Column:
 # ---- post_sales ---------------------------------------------------------------------
 
 def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = None,
-               as_of=None, max_rounds: int | None = None) -> Outcome:
+               as_of=None) -> Outcome:
     """Create sales exactly as if posted one by one in (requested_at, request_id) order.
 
     Per order, in the handler's order: access ('Access denied' /
@@ -162,7 +162,7 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
         .select(key, F.when((F.col("status") == "open") & F.col("_d").isNull(), "accepted")
                 .otherwise(F.col("status")).alias("status")), "status = 'open'")
     rounds = 0
-    while n_open > 0 and (max_rounds is None or rounds < max_rounds):
+    while n_open > 0:  # ends: each round decides at least the earliest open request
         rounds += 1
         d = demand.join(state, key)
         # only products with an open request can change a verdict: later rounds

@@ -67,3 +67,12 @@ def test_compaction_keeps_latest_totals(spark, t_small):
     want = {r["product_id"]: r["movement"] for r in stock_on_hand(t_small.products, stock_ledger(ch))
             .filter("movement <> 0").collect()}
     assert {k: v for k, v in snap.items() if v != 0 and k in want} == want
+
+
+def test_batch_dedupe_and_configure(spark, t_small):
+    from stockroom.session import configure
+    configure(spark)
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    ch = changes(t_small)
+    twice = ch.unionByName(ch.filter(F.col("change_id") % 5 == 0))
+    assert _rows(stock_ledger(twice, dedupe=True)) == _rows(stock_ledger(ch))
