@@ -54,6 +54,11 @@ AUDIT_LINE_RULES = {
 ACTIONS = {"I": "created", "U": "updated", "D": "deleted"}
 
 
+def _action(op: Column) -> Column:
+    """'created' / 'updated' / 'deleted' for an operation code."""
+    return _case([(op == code, F.lit(word)) for code, word in ACTIONS.items()])
+
+
 def _case(pairs: list[tuple[Column, Column]]) -> Column:
     out = None
     for cond, val in pairs:
@@ -196,7 +201,7 @@ def audit_header_entries(header_changes: DataFrame, lines: DataFrame, products:
     supplier is unknown is rejected ('Purchase not found').
     """
     h = header_changes.filter(F.col("tbl") == ("sales" if kind == "sale" else "purchases"))
-    action = F.when(F.col("op") == "I", "created").when(F.col("op") == "U", "updated").otherwise("deleted")
+    action = _action(F.col("op"))
     h = h.withColumn("action", action)
     rejects = []
     if kind == "purchase":
@@ -245,7 +250,7 @@ def audit_suppliers(supplier_changes: DataFrame) -> DataFrame:
     The name comes from the change record's image (NEW for insert/update, OLD
     for delete), so a delete is logged instead of failing its lookup.
     """
-    action = F.when(F.col("op") == "I", "created").when(F.col("op") == "U", "updated").otherwise("deleted")
+    action = _action(F.col("op"))
     return _ledger_select(
         supplier_changes, change_id=F.col("change_id"), store_id=F.col("store_id"), product_id=F.lit(None),
         type=F.concat(F.lit("supplier_"), action), quantity=F.lit(None), unit_price=F.lit(None),

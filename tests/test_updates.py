@@ -3,8 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from stockroom.operators import orders as O
 from stockroom.sources.schemas import evolve_schema
 
