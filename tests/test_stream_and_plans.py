@@ -76,3 +76,13 @@ def test_batch_dedupe_and_configure(spark, t_small):
     ch = changes(t_small)
     twice = ch.unionByName(ch.filter(F.col("change_id") % 5 == 0))
     assert _rows(stock_ledger(twice, dedupe=True)) == _rows(stock_ledger(ch))
+
+
+def test_stream_static_header_join_fills_missing_fields(spark, t_small):
+    ch = changes(t_small)
+    bare = ch.withColumn("store_id", F.lit(None).cast("bigint")).withColumn("user_id", F.lit(None).cast("bigint"))
+    base = scratch_dir(spark, "test-headers")
+    write_change_files(bare, f"{base}/changes", 2)
+    S.run_stock_ledger(spark, f"{base}/changes", f"{base}/ledger", f"{base}/ckpt",
+                       headers=(t_small.sales, t_small.purchases))
+    assert _rows(spark.read.parquet(f"{base}/ledger")) == _rows(stock_ledger(ch))
