@@ -74,13 +74,15 @@ def product_inventory(t: Tables) -> DataFrame:
                     "price", "quantity", "store_name", "store_id"))
 
 
-def sales_report_range(t: Tables, start, end, store_id=None) -> DataFrame:
+def sales_report_range(t: Tables, start=None, end=None, store_id=None) -> DataFrame:
     """Per store x day x product *name*: quantity and amount, DATE() BETWEEN inclusive.
 
-    Products sharing a name merge into one row, as in the source. Newest day first.
+    Products sharing a name merge into one row, as in the source. Newest day
+    first. Without bounds, every day is reported.
     """
     heads = flt.where(t.sales, flt.eq_if("store_id", store_id),
-                      flt.date_between("created_at", start, end))
+                      None if start is None and end is None else flt.date_between(
+                          "created_at", start or "0001-01-01", end or "9999-12-31"))
     heads = heads.select(F.col("id").alias("sale_id"), "store_id", F.to_date("created_at").alias("sale_date"))
     lines = (t.sale_items.join(heads, "sale_id")
              .groupBy("store_id", "sale_date", "product_id")

@@ -128,3 +128,16 @@ def test_views_are_queryable_with_sql(spark, t_small):
     assert len(names) == 5
     n = spark.sql("SELECT count(*) AS n FROM t_low_stock_view WHERE quantity < 10").collect()[0]["n"]
     assert n == R.low_stock(t_small).count()
+
+
+def test_report_procedures_as_sql_table_functions(spark, t_small):
+    from stockroom.operators.views import register_report_functions
+    register_report_functions(t_small, prefix="t_")
+    got = spark.sql("SELECT * FROM t_generate_inventory_report(3)").collect()
+    want = R.inventory_report(t_small, store_id=3).collect()
+    assert [(r["product_name"], r["stock_status"]) for r in got] == [(r["product_name"], r["stock_status"])
+                                                                     for r in want]
+    got = spark.sql("SELECT * FROM t_generate_sales_report(3, DATE'1996-01-01', DATE'1998-12-31')").collect()
+    want = R.sales_report_range(t_small, "1996-01-01", "1998-12-31", store_id=3).collect()
+    assert sorted(tuple(r) for r in got) == sorted((r["sale_date"], r["product_name"], r["total_quantity"],
+                                                    r["total_amount"]) for r in want)
