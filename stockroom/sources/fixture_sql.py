@@ -198,7 +198,8 @@ FROM {{store_pairs}} q JOIN {_actions_values()} ON a.k = (q.user_id + q.store_id
 
 # ---- request batches (FIXTURES.md §2.1) ------------------------------------
 
-# The first member of each store acts for it.
+# The first member of each store acts for it; requests of a store without
+# members keep a NULL user (the access check rejects them).
 MAPPING["store_actor"] = """
 SELECT store_id, min(user_id) AS user_id FROM {user_store} GROUP BY store_id
 """
@@ -207,8 +208,9 @@ MAPPING["sale_request_headers"] = """
 SELECT s.id AS request_id, s.store_id, a.user_id,
        CASE WHEN s.id % 50 = 1 THEN o.o_custkey + 1 ELSE o.o_custkey END AS customer_id,
        s.payment_method, cast(NULL as string) AS notes, s.created_at AS requested_at
-FROM {sales} s JOIN {orders} o ON s.id = o.o_orderkey JOIN {store_actor} a ON s.store_id = a.store_id
+FROM {sales} s JOIN {orders} o ON s.id = o.o_orderkey LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 WHERE s.id % 20 = 1
+  AND s.id IN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag <> 'R')
 """
 
 MAPPING["sale_request_lines"] = """
@@ -219,6 +221,7 @@ SELECT h.request_id,
        cast(cast(l.l_quantity as int) % 7 + 1 as int) AS quantity,
        cast(NULL as decimal(10,2)) AS unit_price
 FROM {sale_request_headers} h JOIN {lineitem} l ON h.request_id = l.l_orderkey
+WHERE l.l_returnflag <> 'R'
 """
 
 # The single-line slice: the first line of each request, and per product the
@@ -238,7 +241,7 @@ MAPPING["purchase_request_headers"] = """
 SELECT p.id AS request_id, p.store_id, a.user_id,
        CASE WHEN p.id % 50 = 3 THEN p.supplier_id + 1 ELSE p.supplier_id END AS supplier_id,
        cast(NULL as string) AS notes, p.created_at AS requested_at
-FROM {purchases} p JOIN {store_actor} a ON p.store_id = a.store_id
+FROM {purchases} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id
 WHERE p.id % 10 = 3
 """
 
@@ -256,7 +259,7 @@ FROM {purchase_request_headers} h JOIN {purchase_items} pi ON h.request_id = pi.
 MAPPING["sale_update_headers"] = """
 SELECT s.id AS sale_id, s.store_id, a.user_id, cast(NULL as bigint) AS customer_id,
        cast(NULL as string) AS payment_method, 'upd' AS notes, s.created_at AS requested_at
-FROM {sales} s JOIN {store_actor} a ON s.store_id = a.store_id
+FROM {sales} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 WHERE s.id % 10 = 2
 """
 
@@ -278,7 +281,7 @@ SELECT x.sale_id, x.line_no, x.product_id, x.quantity, x.unit_price FROM (
 MAPPING["purchase_update_headers"] = """
 SELECT p.id AS purchase_id, p.store_id, a.user_id, cast(NULL as bigint) AS supplier_id,
        'upd' AS notes, p.created_at AS requested_at
-FROM {purchases} p JOIN {store_actor} a ON p.store_id = a.store_id
+FROM {purchases} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id
 WHERE p.id % 10 = 4
 """
 
@@ -298,14 +301,14 @@ SELECT x.purchase_id, x.line_no, x.product_id, x.quantity, x.unit_price FROM (
 """
 
 MAPPING["sale_reversals"] = """
-SELECT s.id AS sale_id, s.store_id, a.user_id FROM {sales} s JOIN {store_actor} a ON s.store_id = a.store_id
+SELECT s.id AS sale_id, s.store_id, a.user_id FROM {sales} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 WHERE s.payment_status = 'P'
 UNION ALL
 SELECT cast(-1 as bigint), a.store_id, a.user_id FROM {store_actor} a WHERE a.store_id = 1
 """
 
 MAPPING["purchase_reversals"] = """
-SELECT p.id AS purchase_id, p.store_id, a.user_id FROM {purchases} p JOIN {store_actor} a ON p.store_id = a.store_id
+SELECT p.id AS purchase_id, p.store_id, a.user_id FROM {purchases} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id
 WHERE p.id % 10 = 5
 UNION ALL
 SELECT cast(-1 as bigint), a.store_id, a.user_id FROM {store_actor} a WHERE a.store_id = 1
@@ -316,7 +319,7 @@ SELECT p.store_id, p.id + 1000000 AS new_id, a.user_id,
        CASE WHEN p.id % 2 = 1 THEN p.category_id + 1 ELSE p.category_id END AS category_id,
        concat('new ', p.name) AS name, p.description, p.price, p.quantity,
        concat('S', cast(p.id + 1000000 as string)) AS sku, concat('B', cast(p.id + 1000000 as string)) AS barcode
-FROM {products} p JOIN {store_actor} a ON p.store_id = a.store_id
+FROM {products} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id
 WHERE p.id % 7 = 0
 """
 
@@ -345,17 +348,17 @@ MAPPING["supplier_requests"] = """
 SELECT s.store_id, a.user_id, s.id AS request_id,
        CASE WHEN s.id % 2 = 0 THEN upper(s.name) ELSE concat('New ', s.name) END AS name,
        s.contact_info, s.email
-FROM {suppliers} s JOIN {store_actor} a ON s.store_id = a.store_id
+FROM {suppliers} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 """
 
 MAPPING["supplier_patches"] = """
 SELECT s.store_id, s.id, a.user_id, n.name, '1' AS phone
-FROM {suppliers} s JOIN {suppliers} n ON n.id = s.id + 1 JOIN {store_actor} a ON s.store_id = a.store_id
+FROM {suppliers} s JOIN {suppliers} n ON n.id = s.id + 1 LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 WHERE s.id % 3 = 0
 """
 
 MAPPING["supplier_deletes"] = """
-SELECT s.store_id, s.id, a.user_id FROM {suppliers} s JOIN {store_actor} a ON s.store_id = a.store_id
+SELECT s.store_id, s.id, a.user_id FROM {suppliers} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 """
 
 MAPPING["category_inserts"] = """
@@ -378,7 +381,7 @@ MAPPING["store_creates"] = """
 SELECT a.user_id, s.id + 100 AS new_id, concat(s.name, ' annex') AS name,
        CASE WHEN s.id % 5 = 0 THEN ' ' ELSE s.location END AS location,
        cast(NULL as string) AS owner_name
-FROM {store} s JOIN {store_actor} a ON s.id = a.store_id
+FROM {store} s LEFT JOIN {store_actor} a ON s.id = a.store_id
 """
 
 # Acting (user, store) pairs for store changes: the user's own store and the
