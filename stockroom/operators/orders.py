@@ -165,10 +165,13 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     while n_open > 0:  # ends: each round decides at least the earliest open request
         rounds += 1
         d = demand.join(state, key)
-        # only products with an open request can change a verdict: later rounds
-        # touch just the contended products, not the whole demand
-        open_products = d.filter("status = 'open'").select("product_id").distinct()
-        d = d.join(open_products, "product_id", "left_semi")
+        if rounds > 1:
+            # only products with an open request can change a verdict: later
+            # rounds touch just the contended products, not the whole demand
+            # (in round 1 nearly every product is open, so the filter would
+            # cost two shuffles for nothing)
+            open_products = d.filter("status = 'open'").select("product_id").distinct()
+            d = d.join(open_products, "product_id", "left_semi")
         d = d.select("*", F.when(F.col("status") != "rejected", F.col("q")).otherwise(F.lit(0)).alias("hi"),
                      F.when(F.col("status") == "accepted", F.col("q")).otherwise(F.lit(0)).alias("lo"))
         d = sum_before(d, "product_id", "requested_at", [key], ["hi", "lo"])
