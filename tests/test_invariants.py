@@ -76,3 +76,32 @@ def test_operators_never_collect_to_the_driver():
         if re.search(r"\.(collect|toPandas|toLocalIterator)\(", text):
             bad.append(f.name)
     assert not bad, bad
+
+
+def test_hot_product_across_many_time_buckets(spark, t_small):
+    """One product takes most lines, requests span days (many hour buckets)."""
+    import random
+    rnd = random.Random(7)
+    products = evolve_schema(spark.createDataFrame(
+        [(1, 1, "hot", 60, Decimal("1.00")), (2, 1, "warm", 15, Decimal("1.00")), (3, 1, "cold", 5, Decimal("1.00"))],
+        "id long, store_id long, name string, quantity int, price decimal(10,2)"), "products")
+    user_store = spark.createDataFrame([(1, 1, "admin")], "user_id long, store_id long, role string")
+    customers = spark.createDataFrame([], "id long, store_id long, name string, email string")
+    t = t_small.replace(products=products, user_store=user_store, customers=customers)
+    d0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(120):
+        items = [(1 if rnd.random() < 0.7 else rnd.choice([2, 3]), rnd.randint(1, 3), None)
+                 for _ in range(rnd.randint(1, 3))]
+        rows.append((i + 1, 1, 1, None, "cash", None, d0 + dt.timedelta(minutes=rnd.randint(0, 3 * 24 * 60)), items))
+    schema = ("request_id long, store_id long, user_id long, customer_id long, payment_method string, "
+              "notes string, requested_at timestamp_ntz, "
+              "items array<struct<product_id:long, quantity:int, unit_price:decimal(10,2)>>")
+    req = spark.createDataFrame(rows, schema)
+    out = O.post_sales(req, t, t.user_store)
+    got = {r["request_id"]: r["reason"] for r in out.rejects.collect()}
+    got.update({r["id"]: None for r in out.rows.collect()})
+    want = brute_force([r.asDict(recursive=True) for r in req.collect()], [r.asDict() for r in products.collect()],
+                       [], [r.asDict() for r in user_store.collect()])
+    assert got == want
+    assert sum(v is None for v in want.values()) > 10 and sum(v is not None for v in want.values()) > 10
