@@ -85,6 +85,15 @@ def stock_flag(col: str | Column, in_stock) -> Column | None:
     return None
 
 
+def check_paging(page_no, limit) -> tuple[int, int]:
+    """Page numbers start at 1 and a page holds at least one row (a negative
+    OFFSET or a zero LIMIT is an error in the source's database as well)."""
+    page_no, limit = int(page_no), int(limit)
+    if page_no < 1 or limit < 1:
+        raise ValueError(f"page must be >= 1 and limit >= 1, got page={page_no}, limit={limit}")
+    return page_no, limit
+
+
 def page(df: DataFrame, order: list[Column], page_no: int = 1, limit: int = 10) -> DataFrame:
     """LIMIT/OFFSET paging; ``order`` must end in a unique key so pages are stable.
 
@@ -92,7 +101,7 @@ def page(df: DataFrame, order: list[Column], page_no: int = 1, limit: int = 10)
     on ``offset + limit`` rows per partition), so a shallow page never sorts the
     whole input.
     """
-    page_no, limit = int(page_no), int(limit)
+    page_no, limit = check_paging(page_no, limit)
     offset = (page_no - 1) * limit
     out = df.orderBy(*order)
     if offset:

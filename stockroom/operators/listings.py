@@ -138,7 +138,7 @@ def purchase_items_detail(t: Tables, purchase_keys: DataFrame | None = None) ->
 
 def _paged(df: DataFrame, part: list[str], order: list[Column], page_no: int, limit: int) -> DataFrame:
     """Rows ``(page-1)*limit+1 .. page*limit`` of each ``part`` group in ``order``."""
-    page_no, limit = int(page_no), int(limit)
+    page_no, limit = flt.check_paging(page_no, limit)
     lo, hi = (page_no - 1) * limit, page_no * limit
     w = Window.partitionBy(*part).orderBy(*order)
     return (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= hi)
@@ -157,6 +157,7 @@ def list_suppliers(t: Tables, store_id=None, search=None, page_no: int = 1, limi
 def supplier_page_info(t: Tables, store_id=None, page_no: int = 1, limit: int = 10) -> DataFrame:
     """Paging envelope per store: total (all suppliers: the search is not applied,
     as in the source), page, limit, pages = ceil(total / limit)."""
+    page_no, limit = flt.check_paging(page_no, limit)
     s = flt.where(t.suppliers, flt.eq_if("store_id", store_id))
     return (s.groupBy("store_id").agg(count_rows().alias("total"))
             .select("store_id", "total", F.lit(int(page_no)).alias("page"), F.lit(int(limit)).alias("limit"),
@@ -186,6 +187,7 @@ def supplier_purchases(t: Tables, start=None, end=None, page_no: int = 1, limit:
 def supplier_purchases_count(t: Tables, start=None, end=None, page_no: int = 1,
                              limit: int = 10) -> DataFrame:
     """Paging envelope per (store, supplier): distinct purchases with the same dates."""
+    page_no, limit = flt.check_paging(page_no, limit)
     p = flt.where(t.purchases, flt.ts_range("created_at", start, end))
     return (p.groupBy("store_id", "supplier_id").agg(F.countDistinct("id").cast("bigint").alias("total"))
             .select("store_id", "supplier_id", "total", F.lit(int(page_no)).alias("page"),

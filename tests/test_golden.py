@@ -141,3 +141,14 @@ def test_report_procedures_as_sql_table_functions(spark, t_small):
     want = R.sales_report_range(t_small, "1996-01-01", "1998-12-31", store_id=3).collect()
     assert sorted(tuple(r) for r in got) == sorted((r["sale_date"], r["product_name"], r["total_quantity"],
                                                     r["total_amount"]) for r in want)
+
+
+def test_paging_parameters_are_validated(t_small):
+    import pytest
+    from stockroom.operators import listings as L
+    for bad in [(0, 10), (1, 0), (-1, 5)]:
+        with pytest.raises(ValueError):
+            L.list_suppliers(t_small, page_no=bad[0], limit=bad[1])
+        with pytest.raises(ValueError):
+            L.supplier_page_info(t_small, page_no=bad[0], limit=bad[1])
+    assert L.list_suppliers(t_small, store_id=1, page_no=1, limit=1).count() <= 1
