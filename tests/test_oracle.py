@@ -5,7 +5,8 @@ import pytest
 from oracle_compare import compare, duck
 from conftest import SF_SMALL
 
-from __spark_entry__ import oracle_sql, queries
+from stockroom.plans.oracle import oracle_sql
+from stockroom.plans.registry import queries
 
 _CON = {}
 
