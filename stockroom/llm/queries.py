@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, packing, quality, secrets
+from . import bpe, chat, exact, packing, quality, secrets, substring
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove from all documents the words of 20-word windows that start earlier elsewhere."""
+    rows = substring.remove_repeated(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document, with each one's digest."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"), hash_all=True)
@@ -70,7 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op5_packing, op9_exact_dedup, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op5_packing, op6_substring_dedup, op9_exact_dedup, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

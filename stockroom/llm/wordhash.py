@@ -64,7 +64,7 @@ class Hasher:
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.bases = [int(rng.integers(1, 2**62)) * 8 + 5 for _ in range(2)]
+        self.bases = [int(rng.integers(1, 2**61)) * 8 + 5 for _ in range(2)]
         self.tables: list = [None, None]
 
     def _powers(self, which: int, n: int):
