@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, packing, quality, secrets, substring
+from . import bpe, chat, exact, minhash, packing, quality, secrets, substring
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents."""
+    return minhash.near_dedup(_table(spark, sf_dir, "documents")).drop("t")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document, with each one's digest."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"), hash_all=True)
@@ -76,7 +81,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op5_packing, op6_substring_dedup, op9_exact_dedup, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op5_packing, op6_substring_dedup, op7_minhash_dedup, op9_exact_dedup, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
