@@ -22,8 +22,7 @@ from __future__ import annotations
 import functools
 import json
 import re
-import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,69 +31,94 @@ from pyspark.sql import DataFrame, functions as F
 from .common import text_or_empty
 from .wordhash import chunks
 
-# Encodings of so many space-separated strings are remembered per worker.
+# Encodings of up to twice so many space-separated strings, and pieces, are remembered per worker.
 MEMO_ENTRIES = 400_000
 # Longer strings are encoded each time they occur.
-MEMO_CHARS = 64
+MEMO_BYTES = 64
 
-# Fixed values of the vocabulary file's own settings.
-PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The vocabulary's own pieces, for lower-case text of ASCII and the Latin-1 letters.
+PLAIN = r"[!-;=-~À-ÖØ-öø-ÿ]*"
+PLAIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+"
 
 
-def merge_pairs(symbols: list[int], rank_of: dict[int, tuple[int, int]]) -> list[int]:
+NONE = 1 << 62  # above every rank << 32 | position: no merge
+
+
+def merge_pairs(symbols: list[int], rank_of: dict[int, int], merged: list[int]) -> list[int]:
     """Merge ``symbols`` until no adjacent pair has a rank.
 
-    ``rank_of`` maps ``left << 32 | right`` to (rank, merged symbol).
+    ``rank_of`` maps ``left << 32 | right`` to ``rank << 32``; ``merged`` has a rank's symbol.
     """
     n = len(symbols)
     if n < 2:
         return symbols
-    symbols = list(symbols)
     get = rank_of.get
-    none = 1 << 62  # above every rank << 32 | position
-    size = 1 << (n - 2).bit_length() if n > 2 else 1  # leaves for n - 1 pairs
-    tree = [none] * (2 * size)
-    for i in range(n - 1):
-        found = get(symbols[i] << 32 | symbols[i + 1])
-        if found is not None:
-            tree[size + i] = found[0] << 32 | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    after = list(range(1, n + 1))   # next living symbol; n: none
+    level = [get(a << 32 | b, NONE) + i for i, (a, b) in enumerate(zip(symbols, symbols[1:]))]
+    if min(level) >= NONE:
+        return symbols
+    size = 1 << (n - 2).bit_length()  # leaves
+    level += [NONE] * (size - n + 1)
+    levels = [level]
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        levels.append(level)
+    tree = [NONE]  # tree[1] is the root, tree[size:] the leaves
+    for level in reversed(levels):
+        tree += level
+    symbols = list(symbols)
+    after = list(range(1, n + 1))  # next living symbol; n: none
     before = list(range(-1, n - 1))
-    alive = [True] * n
-
-    def put(leaf: int, value: int) -> None:
-        k = size + leaf
-        tree[k] = value
-        while k > 1:
-            a, b = tree[k], tree[k ^ 1]
-            least = a if a < b else b
-            k >>= 1
-            if tree[k] == least:
-                return
-            tree[k] = least
-
-    while tree[1] != none:
-        i = tree[1] & 0xFFFFFFFF
+
+    root = tree[1]
+    while root < NONE:
+        i = root & 0xFFFFFFFF
         j = after[i]
-        symbols[i] = get(symbols[i] << 32 | symbols[j])[1]
-        alive[j] = False
+        symbol = symbols[i] = merged[root >> 32]
+        symbols[j] = -1  # merged away
         k = after[i] = after[j]
-        if j < n - 1:
-            put(j, none)
         if k < n:
             before[k] = i
-            found = get(symbols[i] << 32 | symbols[k])
-            put(i, none if found is None else found[0] << 32 | i)
+            value = get(symbol << 32 | symbols[k], NONE) + i
         else:
-            put(i, none)
+            value = NONE
+        # the leaves of i, j and the symbol before i change; each walk stops where nothing changes any more
+        at = size + i
+        tree[at] = value
+        while at > 1:
+            other = tree[at ^ 1]
+            if other < value:
+                value = other
+            at >>= 1
+            if tree[at] == value:
+                break
+            tree[at] = value
+        at = size + j
+        if j < n - 1 and tree[at] < NONE:
+            value = tree[at] = NONE
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
         h = before[i]
         if h >= 0:
-            found = get(symbols[h] << 32 | symbols[i])
-            put(h, none if found is None else found[0] << 32 | h)
-    return [s for s, live in zip(symbols, alive) if live]
+            value = get(symbols[h] << 32 | symbol, NONE) + h
+            at = size + h
+            if tree[at] != value and (value < NONE or tree[at] < NONE):
+                tree[at] = value
+                while at > 1:
+                    other = tree[at ^ 1]
+                    if other < value:
+                        value = other
+                    at >>= 1
+                    if tree[at] == value:
+                        break
+                    tree[at] = value
+        root = tree[1]
+    return [s for s in symbols if s >= 0]
 
 
 def byte_letters() -> list[str]:
@@ -113,6 +137,7 @@ class Bpe:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -124,57 +149,77 @@ class Bpe:
         self.tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.rank_of = {}
+        self.rank_of, self.merged = {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank_of[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+            self.rank_of[vocab[a] << 32 | vocab[b]] = rank << 32
+            self.merged.append(vocab[a + b])
         letters = byte_letters()
         self.inner = [vocab[x] for x in letters]
         self.last = [vocab[x + suffix] for x in letters]
-        self.pieces = regex.compile(PIECE_PATTERN).findall
+        self.plain, self.pieces = re.compile(PLAIN).fullmatch, re.compile(PLAIN_PIECES).findall
+        self.byte_of = {x: i for i, x in enumerate(letters)}
+        library = Tokenizer.from_file(path)  # its white-space, lower-case and letter rules, for all other text
+        self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.spaces = regex.compile(r"\s+")
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _encode_solid(self, solid: str) -> tuple[int, ...]:
+        # by space-separated string and by piece; the older halves hold what was met before the last turnover
+        self.memo: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
+        self.piece_memo: dict[bytes, bytes] = {}
+        self.old_piece_memo: dict[bytes, bytes] = {}
+
+    def _encode_piece(self, piece: bytes) -> bytes:
+        found = self.piece_memo.get(piece) or self.old_piece_memo.get(piece)
+        if found is None:
+            symbols = [self.inner[b] for b in piece]
+            symbols[-1] = self.last[piece[-1]]
+            found = self.pack(merge_pairs(symbols, self.rank_of, self.merged))
+        if len(piece) <= MEMO_BYTES:
+            if len(self.piece_memo) >= MEMO_ENTRIES:
+                self.old_piece_memo, self.piece_memo = self.piece_memo, {}
+            self.piece_memo[piece] = found
+        return found
+
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
+
+    def _encode_solid(self, solid: str) -> bytes:
         """The ids of a string without white space."""
-        out: list[int] = []
+        if self.plain(solid):
+            return b"".join([self._encode_piece(x.encode()) for x in self.pieces(solid.lower())])
+        out = b""
         parts = self.cut_special.split(solid) if self.cut_special else [solid]
         for part in parts:
             if part in self.special:
-                out.append(self.special[part])
+                out += self.pack([self.special[part]])
                 continue
-            # lower case by character: a capital sigma has no final form here
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in self.pieces(part):
-                raw = piece.encode("utf-8", "surrogatepass")
-                symbols = [self.inner[b] for b in raw[:-1]]
-                symbols.append(self.last[raw[-1]])
-                out += merge_pairs(symbols, self.rank_of)
-        return tuple(out)
-
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The ids of ``text``, as one tuple per space-separated string."""
+            for piece, _ in self.split(self.normalise(part)):
+                out += self._encode_piece(bytes([self.byte_of[x] for x in piece]))
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """The ids of ``text``, 32 bits each in the machine's order."""
         # str.split() also cuts at U+001C to U+001F, which are no white space to the vocabulary
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             solids = [x for x in self.spaces.split(text) if x]
         else:
             solids = text.split()
-        memo = self.memo
-        got = [memo.get(x) for x in solids]
+        got = list(map(self.memo.get, solids))
         if None in got:
             for i, x in enumerate(got):
                 if x is None:
                     solid = solids[i]
-                    x = memo.get(solid)
+                    x = self.memo.get(solid) or self.old_memo.get(solid)
                     if x is None:
                         x = self._encode_solid(solid)
-                        if len(solid) <= MEMO_CHARS:
-                            if len(memo) >= MEMO_ENTRIES:
-                                memo.clear()
-                            memo[solid] = x
+                    if len(solid) <= MEMO_BYTES:
+                        if len(self.memo) >= MEMO_ENTRIES:
+                            self.old_memo, self.memo = self.memo, {}
+                        self.memo[solid] = x
                     got[i] = x
-        return got
+        return b"".join(got)
 
     def decode(self, ids) -> str:
         tokens = self.tokens
@@ -191,10 +236,25 @@ def encode_arrays(bpe: Bpe, texts: pa.Array):
     for lo, group in chunks(texts):
         counts, flat = [], []
         for text in group.to_pylist():
-            got = bpe.encode(text)
-            counts.append(sum(map(len, got)))
-            flat.append(np.fromiter(chain.from_iterable(got), dtype=np.int32, count=counts[-1]))
-        yield lo, np.array(counts, dtype=np.int64), np.concatenate(flat) if flat else np.zeros(0, np.int32)
+            flat.append(bpe.encode(text))
+            counts.append(len(flat[-1]) // 4)
+        yield lo, np.array(counts, dtype=np.int64), np.frombuffer(b"".join(flat), dtype=np.int32)
+
+
+def _ids_batch(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids))
+
+
+def _decoded(bpe: Bpe, ids: np.ndarray, counts) -> pa.Array:
+    at, out = 0, []
+    for n in counts:
+        out.append(bpe.decode(ids[at:at + n].tolist()))
+        at += n
+    return pa.array(out, pa.string())
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -204,13 +264,9 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         bpe = load(tokenizer_path)
         for batch in batches:
             for lo, counts, ids in encode_arrays(bpe, batch.column(1)):
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, len(counts)), pa.ListArray.from_arrays(offsets, pa.array(ids))],
-                    names=["doc_id", "ids"])
+                yield pa.record_batch([batch.column(0).slice(lo, len(counts)), _ids_batch(ids, counts)], names=["doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -221,8 +277,22 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [bpe.decode(x) for x in part.column(1).to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+                lists = part.column(1)
+                texts = _decoded(bpe, lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
+                yield pa.record_batch([*part.columns, texts], names=["doc_id", "ids", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """:func:`decode` of :func:`encode`, in one pass: (doc_id, ids, decoded) per row of ``docs``."""
+
+    def run(batches):
+        bpe = load(tokenizer_path)
+        for batch in batches:
+            for lo, counts, ids in encode_arrays(bpe, batch.column(1)):
+                yield pa.record_batch(
+                    [batch.column(0).slice(lo, len(counts)), _ids_batch(ids, counts), _decoded(bpe, ids, counts)],
+                    names=["doc_id", "ids", "decoded"])
 
-    rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, minhash, packing, quality, secrets, substring
+from . import bpe, chat, exact, html_extract, minhash, packing, quality, secrets, substring, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,7 @@ def word_vocabulary() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document by segment-tree BPE, decode the ids, digest both."""
     path = word_vocabulary()
-    rows = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    rows = bpe.round_trip(_table(spark, sf_dir, "documents"), path)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -53,6 +53,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC archives, read those back and merge their indexes.
+
+    The table has no capture times; the stand-in is one second per page id.
+    """
+    pages = _table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html", F.timestamp_seconds(F.col("page_id") + 1_700_000_000).alias("captured"))
+    rows = warc.capture_history(pages)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured",
+                       "archive", "position")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 4096 tokens, cut freely."""
     return packing.pack(_table(spark, sf_dir, "documents"), word_vocabulary()).drop("ids")
@@ -69,6 +81,12 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(_table(spark, sf_dir, "documents")).drop("t")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = html_extract.main_text(_table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of every document, with each one's digest."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"), hash_all=True)
@@ -81,7 +99,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_bpe, op2_chat, op3_quality, op5_packing, op6_substring_dedup, op7_minhash_dedup, op9_exact_dedup, op10_secrets)}
+    return {f.__name__: f for f in (
+        op1_bpe, op2_chat, op3_quality, op4_warc, op5_packing, op6_substring_dedup, op7_minhash_dedup, op8_html_extract,
+        op9_exact_dedup, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
