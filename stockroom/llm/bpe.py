@@ -38,7 +38,7 @@ MEMO_BYTES = 64
 
 # The vocabulary's own pieces, for lower-case text of ASCII and the Latin-1 letters.
 PLAIN = r"[!-;=-~À-ÖØ-öø-ÿ]*"
-PLAIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+"
+PLAIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
 
 
 NONE = 1 << 62  # above every rank << 32 | position: no merge
