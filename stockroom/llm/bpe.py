@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_or_empty
+from .token_memo import TokenMemo
 from .wordhash import chunks
 
-# Encodings of up to twice so many space-separated strings, and pieces, are remembered per worker.
+# Encodings of up to twice so many pieces are remembered per worker.
 MEMO_ENTRIES = 400_000
-# Longer strings are encoded each time they occur.
+# Longer pieces are encoded each time they occur.
 MEMO_BYTES = 64
 
 # The vocabulary's own pieces, for lower-case text of ASCII and the Latin-1 letters.
@@ -136,7 +137,6 @@ class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -161,11 +161,9 @@ class Bpe:
         self.byte_of = {x: i for i, x in enumerate(letters)}
         library = Tokenizer.from_file(path)  # its white-space, lower-case and letter rules, for all other text
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.spaces = regex.compile(r"\s+")
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        # by space-separated string and by piece; the older halves hold what was met before the last turnover
-        self.memo: dict[str, bytes] = {}
-        self.old_memo: dict[str, bytes] = {}
+        self.memo = TokenMemo(self._encode_words)
+        # ids by piece; the older half holds what was met before the last turnover
         self.piece_memo: dict[bytes, bytes] = {}
         self.old_piece_memo: dict[bytes, bytes] = {}
 
@@ -186,7 +184,7 @@ class Bpe:
         return array("i", ids).tobytes()
 
     def _encode_solid(self, solid: str) -> bytes:
-        """The ids of a string without white space."""
+        """The ids of a string without ASCII white space."""
         if self.plain(solid):
             return b"".join([self._encode_piece(x.encode()) for x in self.pieces(solid.lower())])
         out = b""
@@ -199,27 +197,13 @@ class Bpe:
                 out += self._encode_piece(bytes([self.byte_of[x] for x in piece]))
         return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text``, 32 bits each in the machine's order."""
-        # str.split() also cuts at U+001C to U+001F, which are no white space to the vocabulary
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            solids = [x for x in self.spaces.split(text) if x]
-        else:
-            solids = text.split()
-        got = list(map(self.memo.get, solids))
-        if None in got:
-            for i, x in enumerate(got):
-                if x is None:
-                    solid = solids[i]
-                    x = self.memo.get(solid) or self.old_memo.get(solid)
-                    if x is None:
-                        x = self._encode_solid(solid)
-                    if len(solid) <= MEMO_BYTES:
-                        if len(self.memo) >= MEMO_ENTRIES:
-                            self.old_memo, self.memo = self.memo, {}
-                        self.memo[solid] = x
-                    got[i] = x
-        return b"".join(got)
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = list(map(self._encode_solid, words))
+        return np.array([len(x) // 4 for x in got], dtype=np.int64), np.frombuffer(b"".join(got), dtype=np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids per text, all ids) of a null-free string array."""
+        return self.memo.ids(texts)
 
     def decode(self, ids) -> str:
         tokens = self.tokens
@@ -234,11 +218,7 @@ def load(path: str) -> Bpe:
 def encode_arrays(bpe: Bpe, texts: pa.Array):
     """(first row, number of ids per text, all ids) for each group of texts."""
     for lo, group in chunks(texts):
-        counts, flat = [], []
-        for text in group.to_pylist():
-            flat.append(bpe.encode(text))
-            counts.append(len(flat[-1]) // 4)
-        yield lo, np.array(counts, dtype=np.int64), np.frombuffer(b"".join(flat), dtype=np.int32)
+        yield lo, *bpe.encode(group)
 
 
 def _ids_batch(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
