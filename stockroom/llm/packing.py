@@ -19,25 +19,57 @@ document of its own; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import encode_arrays, load
 from .common import stored, text_or_empty
+from .token_memo import TokenMemo
+from .wordhash import chunks
 
 WINDOW = 4096
 END_ID = 2
+# Words given to the library as one text.
+WORDS_AT_ONCE = 2_000
+
+
+
+@functools.lru_cache(maxsize=2)
+def load(path: str) -> TokenMemo:
+    """The tokenizers library's ids of ``path``; a word is given to it once while remembered."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    if [x for x, _ in library.pre_tokenizer.pre_tokenize_str("a b")] != ["a", "b"]:
+        raise ValueError(f"{path}: its pieces hold white space")
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, ids = [], []
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            some = words[lo:lo + WORDS_AT_ONCE]
+            said = library.encode(" ".join(some), add_special_tokens=False)
+            past = np.cumsum([len(x) + 1 for x in some])  # a word's tokens begin before its end in the text
+            at = np.array(said.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            sizes.append(np.diff(np.searchsorted(at, np.concatenate([[0], past]))))
+            ids.append(np.array(said.ids, dtype=np.int32))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    return TokenMemo(encode)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Pass one: (doc_id, part, start_in_part, doc_tokens, ids as little-endian 32-bit binary)."""
 
     def run(batches):
-        bpe = load(tokenizer_path)
+        memo = load(tokenizer_path)
         at = 0
         for batch in batches:
-            for lo, counts, ids in encode_arrays(bpe, batch.column(2)):
+            for lo, group in chunks(batch.column(2)):
+                counts, ids = memo.ids(group)
                 counts = counts + 1
                 ends = np.cumsum(counts)
                 flat = np.full(int(ends[-1]), end_id, dtype="<u4")
