@@ -61,8 +61,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select(
         "page_id", "url", "html", F.timestamp_seconds(F.col("page_id") + 1_700_000_000).alias("captured"))
     rows = warc.capture_history(pages)
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured",
-                       "archive", "position")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
