@@ -40,8 +40,8 @@ def exact_dedup(docs: DataFrame, hash_all: bool = False, prefix_chars: int = PRE
     profile = stored(
         _rows(docs).select("doc_id", F.length("body").alias("length"),
                            F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix_hash")), "exact-profile")
-    by_length = profile.groupBy("length").count().filter("count > 1").drop("count")
-    by_prefix = (profile.join(by_length, "length", "left_semi").groupBy("length", "prefix_hash").count()
+    by_length = stored(profile.groupBy("length").count().filter("count > 1").drop("count"), "exact-lengths")
+    by_prefix = (profile.join(small_side(by_length), "length", "left_semi").groupBy("length", "prefix_hash").count()
                  .filter("count > 1").select("length", "prefix_hash", F.lit(True).alias("candidate")))
     groups = small_side(stored(by_prefix, "exact-groups"))
 
@@ -59,7 +59,8 @@ def exact_dedup(docs: DataFrame, hash_all: bool = False, prefix_chars: int = PRE
 
     copies = read.filter("candidate").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
     whole = copies.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    decided = (copies.join(whole, "text_sha256")
+    whole = stored(whole, "exact-whole")  # written, so that the join below can split a large group
+    decided = (copies.join(small_side(whole), "text_sha256")
                .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
                .select("doc_id", "keep_id", "group_size",
                        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
