@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored, text_or_empty
+from .common import small_side, stored, text_or_empty
 from .token_memo import TokenMemo
 from .wordhash import chunks
 
@@ -95,7 +95,7 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("part_tokens").over(order), F.lit(0)).alias("base"),
                           F.sum("part_tokens").over(Window.partitionBy()).alias("all_tokens"))
-    return (tokens.join(bases, "part")
+    return (tokens.join(small_side(stored(bases, "packing-bases")), "part")
             .withColumn("global_start", F.col("base") + F.col("start_in_part")).drop("base", "start_in_part", "part"))
 
 
