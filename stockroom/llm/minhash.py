@@ -146,7 +146,8 @@ def _forest(nodes: DataFrame) -> DataFrame:
 
     places = nodes.select("v", "signature").mapInArrow(prefixes, "tree int, prefix long, v long")
     shared = places.groupBy("tree", "prefix").count().filter("count > 1").drop("count")
-    live = places.join(shared, ["tree", "prefix"]).groupBy("v").agg(F.collect_set("tree").alias("trees"))
+    shared = stored(shared, "minhash-shared")  # written, so that the join below can split a crowded region
+    live = places.join(small_side(shared), ["tree", "prefix"]).groupBy("v").agg(F.collect_set("tree").alias("trees"))
     rows = nodes.join(live, "v").select("v", "n", "signature", "trees")
     return rows.mapInArrow(entries, "tree int, prefix long, rest long, v long, n long, sketch binary")
 
@@ -363,7 +364,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     # classes with more than one row or more than one node; every other row stands alone
     classes = nodes.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = classes.groupBy("c").agg(F.min("least_d").alias("least"), F.max("last_d").alias("last"))
-    grouped = stored(classes.join(least.filter("last > least"), "c").select("set_a", "set_b", "least"), "minhash-classes")
+    least = stored(least.filter("last > least"), "minhash-least")
+    grouped = stored(classes.join(small_side(least), "c").select("set_a", "set_b", "least"), "minhash-classes")
     rows = profile.join(small_side(grouped), ["set_a", "set_b"], "left")
     own, least_id = F.col("d"), F.coalesce("least", "d")
     null_last = lambda x: F.nullif(x, F.lit(LAST_ID))

@@ -161,7 +161,8 @@ def repeated_words(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     # level one: anchors that occur twice, in one text or in several
     anchors = firsts.select("d", "t", F.posexplode("anchors").alias("number", "anchor"))
     twice = firsts.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").drop("count")
-    found = anchors.join(twice, "anchor").groupBy("d", "t").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    twice = stored(twice, "substring-anchors")  # written, so that the join below can split a frequent anchor
+    found = anchors.join(small_side(twice), "anchor").groupBy("d", "t").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
     runs = F.expr(
         "aggregate(numbers, cast(array() AS array<struct<first:int,last:int>>), (a, x) -> "
         "CASE WHEN size(a) > 0 AND element_at(a, -1).last = x - 1 THEN concat(slice(a, 1, size(a) - 1), "
@@ -175,7 +176,8 @@ def repeated_words(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     windows = _windows(texts, length)
     first = windows.filter("NOT again").groupBy("key", "check").agg(
         F.min("d").alias("first_d"), F.max("d").alias("last_d")).filter("last_d > first_d").drop("last_d")
-    gone = windows.join(first, ["key", "check"], "left").filter("again OR d > first_d")
+    first = stored(first, "substring-first")
+    gone = windows.join(small_side(first), ["key", "check"], "left").filter("again OR d > first_d")
     covered = gone.groupBy("d", "variant").agg(F.expr(_cover(length)).alias("covered"))
     covered = stored(covered, "substring-covered")
     lost = (candidates.select("d", "t", "variant").join(covered, ["d", "variant"])
