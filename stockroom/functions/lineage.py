@@ -1,6 +1,6 @@
-"""Cutting lineage: reliable checkpoints and written tables.
+"""Cutting lineage: reliable checkpoints.
 
-Both write to the shared folder named by ``spark.checkpoint.dir`` and give a
+They write to the shared folder named by ``spark.checkpoint.dir`` and give a
 frame whose plan is a leaf, so iterative jobs keep short plans and a lost
 executor replays at most one step. Never a machine-local folder, never
 ``localCheckpoint``.
@@ -10,14 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import scratch_dir
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_dir(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable ``checkpoint()`` whose write pass reads a cache, not a recompute.

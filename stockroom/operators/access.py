@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import largest, number_rows
+
 # Roles allowed per action, from the route guards of the
 # source (None: any member of the store; the handler checks membership only).
 PERMISSIONS: dict[str, tuple[str, ...] | None] = {
@@ -54,11 +56,13 @@ def authorize_requests(requests: DataFrame, user_store: DataFrame, action: str |
     ``requests`` has ``user_id``, ``store_id`` and an ``action`` column (or
     pass one ``action`` for all). Reasons: 'Access denied' (no membership),
     'Insufficient permissions' (role not allowed), 'Unknown action'.
-    ``user_store`` is keyed by ``(user_id, store_id)``.
+    Of several memberships of a user in a store (the join procedure doesn't
+    test for one) the role that comes first by name counts, so a request is
+    answered once.
     """
     if action is not None:
         requests = requests.withColumn("action", F.lit(action))
-    us = user_store.select("user_id", "store_id", F.col("role").alias("member_role"))
+    us = user_store.groupBy("user_id", "store_id").agg(F.min("role").alias("member_role"))
     j = requests.join(us, ["user_id", "store_id"], "left")
     ok = role_allowed(F.col("action"), F.col("member_role"))
     reason = (F.when(F.col("member_role").isNull(), F.lit(ACCESS_DENIED))
@@ -121,13 +125,14 @@ def update_user_roles(requests: DataFrame, user_store: DataFrame) -> tuple[DataF
 def import_users(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add users whose e-mail is new (exact match); the first request per e-mail wins.
 
-    Returns (new users ``(user_id, name, email)`` with ``user_id`` =
-    ``request_id``, rejects with reason 'User already exists'). No credentials.
+    Returns (new users ``(user_id, name, email)`` with ids above the largest,
+    in ``request_id`` order; rejects with reason 'User already exists'). No
+    credentials.
     """
     known = users.select("email").distinct().withColumn("_k", F.lit(True))
     first = requests.groupBy("email").agg(F.min("request_id").alias("_first"))
     j = requests.join(known, "email", "left").join(first, "email", "left")
     ok_cond = F.col("_k").isNull() & (F.col("request_id") == F.col("_first"))
-    ok = j.filter(ok_cond).select(F.col("request_id").alias("user_id"), "name", "email")
+    ok = number_rows(j.filter(ok_cond), ["request_id"], "user_id", largest(users, "user_id"))
     bad = j.filter(~ok_cond).select("request_id", "name", "email", F.lit("User already exists").alias("reason"))
-    return ok, bad
+    return ok.select("user_id", "name", "email"), bad

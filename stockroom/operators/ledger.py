@@ -76,6 +76,12 @@ def _ledger_select(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.select(*cols)
 
 
+def drop_replays(changes: DataFrame) -> DataFrame:
+    """One record per ``change_id``; records without one are all kept."""
+    return (changes.filter(F.col("change_id").isNotNull()).dropDuplicates(["change_id"])
+            .unionByName(changes.filter(F.col("change_id").isNull())))
+
+
 # ---- stock ledger ------------------------------------------------------------
 
 def stock_ledger(changes: DataFrame, types: list[str] | None = None, dedupe: bool = False) -> DataFrame:
@@ -83,10 +89,11 @@ def stock_ledger(changes: DataFrame, types: list[str] | None = None, dedupe: boo
 
     ``types`` restricts to some ledger types (e.g. ``["sale"]``); ``dedupe``
     drops replayed records with the same ``change_id`` first (a shuffle by
-    change_id -- use when the source may deliver a record twice).
+    change_id -- use when the source may deliver a record twice). Records
+    without a ``change_id`` can't be told from replays and are all kept.
     """
     if dedupe:
-        changes = changes.dropDuplicates(["change_id"])
+        changes = drop_replays(changes)
     tbl, op = F.col("table"), F.col("op")
     rules = []
     for (t, o), (typ, notes, sign, img) in STOCK_RULES.items():

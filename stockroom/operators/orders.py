@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import largest, number_rows
 from ..functions.lineage import cut, cut_and_count
 from ..functions.prefix import sum_before
 from ..sources.changes import LINE_CHANGE
@@ -57,12 +58,14 @@ SEVERAL = "Several requests for one order in a batch"
 
 
 def single_requests(requests: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Requests whose ``key`` is unique in the batch, and rejects for the rest.
+    """Requests whose ``key`` is unique among ``requests``, and rejects for the rest.
 
     The source applies requests one at a time; a batch carries no order among
     several requests for one order, so all of them are rejected (with the
-    reason) rather than one chosen arbitrarily. Counted with a partial
-    aggregate and joined back -- no window over a hot key.
+    reason) rather than one chosen arbitrarily. Only requests that pass every
+    other check may be given here: a request that is denied anyway stands in
+    no other's way. Counted with a partial aggregate and joined back -- no
+    window over a hot key.
     """
     n = requests.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     r = requests.join(n, key)
@@ -77,7 +80,7 @@ def _truthy(c: Column) -> Column:
 
 def _change_records(df: DataFrame, table: str, op: str, before: Column | None, after: Column | None) -> DataFrame:
     img = LINE_CHANGE["before"].dataType
-    return df.select(F.lit(None).cast("bigint").alias("change_id"), F.lit(table).alias("table"),
+    return df.select(F.lit(table).alias("table"),
                      F.lit(op).alias("op"),
                      (before if before is not None else F.lit(None)).cast(img).alias("before"),
                      (after if after is not None else F.lit(None)).cast(img).alias("after"),
@@ -90,10 +93,17 @@ def _image(id_: str, order: str, product: str, qty: str, price: str) -> Column:
                     F.col(qty).cast("int").alias("quantity"), F.col(price).cast(MONEY).alias("unit_price"))
 
 
+def number_changes(records: DataFrame, last_change_id: int) -> DataFrame:
+    """Change records with a ``change_id`` of their own, above the last one given so far."""
+    line = F.coalesce(F.col("after.id"), F.col("before.id"))
+    numbered = number_rows(records.withColumn("_line", line), ["table", "_line", "op"], "change_id", last_change_id)
+    return numbered.select("change_id", "table", "op", "before", "after", "store_id", "user_id", "ts")
+
+
 # ---- post_sales ---------------------------------------------------------------------
 
 def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = None,
-               as_of=None) -> Outcome:
+               as_of=None, last_change_id: int = 0) -> Outcome:
     """Create sales exactly as if posted one by one in (requested_at, request_id) order.
 
     Per order, in the handler's order: access ('Access denied' /
@@ -117,7 +127,10 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     (:func:`~stockroom.functions.lineage.cut`) to cut the lineage.
 
     Returns ``rows`` = new sales, ``extra`` = line change records ('I' per
-    new line), ``ledger`` = new sale lines, ``rejects`` = (request_id, reason).
+    new line), ``ledger`` = new sale lines, ``rejects`` = (request_id, reason),
+    ``keys`` = (request_id, id of the new sale). New sales and lines get ids
+    above the tables' largest, in posting and line order; change records get
+    theirs above ``last_change_id``.
     """
     key = "request_id"
     requests, several = single_requests(requests, key, [key])
@@ -211,33 +224,46 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
                 .unionByName(several))
 
     # -- accepted output
-    acc_heads = heads.join(acc, key, "left_semi")
+    acc_heads = number_rows(heads.join(acc, key, "left_semi"), ["requested_at", key], "id", largest(t.sales))
     # the customer id is stored as given (0 only skips the customer check)
-    sales = evolve_schema(acc_heads.select(F.col(key).alias("id"), "store_id", "customer_id",
+    sales = evolve_schema(acc_heads.select("id", "store_id", "customer_id",
                                            "user_id", "payment_method", "notes",
                                            F.col("requested_at").alias("created_at"),
                                            _ts(as_of).alias("updated_at")), "sales")
-    new_lines = (ln.filter(F.col("_acc"))
-                 .select((F.col(key) * 1000 + F.col("pos") + 1).alias("id"), F.col(key).alias("sale_id"),
-                         "product_id", F.col("quantity").cast("int").alias("quantity"),
-                         F.col("price").alias("unit_price")))
-    new_lines = evolve_schema(new_lines, "sale_items")
-    ch = new_lines.join(acc_heads.select(F.col(key).alias("sale_id"), "store_id", "user_id",
-                                         F.col("requested_at").alias("ts")), "sale_id")
-    changes = _change_records(ch, "sale_items", "I", None,
-                              _image("id", "sale_id", "product_id", "quantity", "unit_price"))
-    out = Outcome(sales, rejected, ledger=new_lines, extra=changes)
+    new_lines = lines.select(key, "pos", "product_id", F.col("quantity").cast("int").alias("quantity"),
+                             F.col("price").alias("unit_price"))
+    new_lines, changes = _new_lines(new_lines, acc_heads, "sale", largest(t.sale_items), last_change_id)
+    out = Outcome(sales, rejected, ledger=new_lines, extra=changes, keys=acc_heads.select(key, "id"))
     out.rounds = rounds
     return out
 
 
+def _new_lines(lines: DataFrame, heads: DataFrame, kind: str, last_id: int, last_change_id: int
+               ) -> tuple[DataFrame, DataFrame]:
+    """Lines (request_id, pos, ...) of the new orders ``heads``, numbered in order, and their 'I' change records.
+
+    A new line's change record has the line's number, counted from ``last_change_id``.
+    """
+    heads = heads.select("request_id", F.col("id").alias(f"{kind}_id"), "store_id", "user_id",
+                         F.col("requested_at").alias("ts"))
+    rows = number_rows(lines.join(heads, "request_id"), [f"{kind}_id", "pos"], "_n")
+    rows = rows.withColumn("id", F.col("_n") + F.lit(last_id).cast("bigint"))
+    records = _change_records(rows, f"{kind}_items", "I", None,
+                              _image("id", f"{kind}_id", "product_id", "quantity", "unit_price"))
+    ids = (F.col("after.id") - F.lit(last_id) + F.lit(last_change_id)).cast("bigint")
+    return (evolve_schema(rows, f"{kind}_items"),
+            records.select(ids.alias("change_id"), *records.columns))
+
+
 # ---- post_purchases -------------------------------------------------------------------
 
-def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None = None, as_of=None) -> Outcome:
+def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None = None, as_of=None,
+                   last_change_id: int = 0) -> Outcome:
     """Create purchases: supplier in the store, every line's product in the store.
 
     No stock condition, so this is pure joins: the first failing line (in line
-    order) gives the reason. Prices come from the request; stock rises.
+    order) gives the reason. Prices come from the request; stock rises. Ids
+    are given as in :func:`post_sales`, in (requested_at, request_id) order.
     """
     key = "request_id"
     requests, several = single_requests(requests, key, [key])
@@ -262,26 +288,20 @@ def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None
                       (F.col("line_reason").isNotNull(), F.col("line_reason"))]:
         reason = F.when(cond, msg) if reason is None else reason.when(cond, msg)
     heads = heads.withColumn("reason", reason)
-    ok = heads.filter(F.col("reason").isNull())
+    ok = number_rows(heads.filter(F.col("reason").isNull()), ["requested_at", key], "id", largest(t.purchases))
     rejects = heads.filter(F.col("reason").isNotNull()).select(key, "reason").unionByName(several)
-    purchases = evolve_schema(ok.select(F.col(key).alias("id"), "store_id", "supplier_id", "user_id", "notes",
+    purchases = evolve_schema(ok.select("id", "store_id", "supplier_id", "user_id", "notes",
                                         F.col("requested_at").alias("created_at"),
                                         _ts(as_of).alias("updated_at")), "purchases")
-    new_lines = evolve_schema(
-        lines.join(ok.select(key), key, "left_semi")
-        .select((F.col(key) * 1000 + F.col("pos") + 1).alias("id"), F.col(key).alias("purchase_id"),
-                "product_id", "quantity", "unit_price"), "purchase_items")
-    ch = new_lines.join(ok.select(F.col(key).alias("purchase_id"), "store_id", "user_id",
-                                  F.col("requested_at").alias("ts")), "purchase_id")
-    changes = _change_records(ch, "purchase_items", "I", None,
-                              _image("id", "purchase_id", "product_id", "quantity", "unit_price"))
-    return Outcome(purchases, rejects, ledger=new_lines, extra=changes)
+    new_lines, changes = _new_lines(lines.select(key, "pos", "product_id", "quantity", "unit_price"), ok, "purchase",
+                                    largest(t.purchase_items), last_change_id)
+    return Outcome(purchases, rejects, ledger=new_lines, extra=changes, keys=ok.select(key, "id"))
 
 
 # ---- updates ----------------------------------------------------------------------------
 
-def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame | None, as_of
-                   ) -> Outcome:
+def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame | None, as_of,
+                   last_change_id: int = 0) -> Outcome:
     """Header COALESCE patch + line diff by product, for sales or purchases.
 
     Matched product (the lowest current line id of that product): new
@@ -289,7 +309,9 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
     product: a line at the request price. Current lines whose product is not
     in the new list: deleted. No stock condition. A request naming one
     product twice is rejected (the source applies such lines in turn against
-    the old quantity, which no order-free rule reproduces).
+    the old quantity, which no order-free rule reproduces). Of the requests
+    that pass all these checks, several for one order are rejected. New lines
+    get ids above the table's largest, in (order, line) order.
     """
     sale = kind == "sale"
     key, heads_t, lines_t = (("sale_id", t.sales, t.sale_items) if sale
@@ -297,27 +319,25 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
     party, party_t, party_msg = (("customer_id", t.customers, INVALID_CUSTOMER) if sale
                                  else ("supplier_id", t.suppliers, INVALID_SUPPLIER))
     action = "update_sale" if sale else "update_purchase"
-    requests, several = single_requests(requests, key, [key, "store_id"])
     req = requests
     reason = None
     if user_store is not None:
-        auth = authorize_requests(req.select(key, "user_id", "store_id"), user_store, action)
-        req = req.join(auth.select(key, F.col("reason").alias("_access")), key, "left")
+        req = (authorize_requests(req, user_store, action).drop("action", "role", "allowed")
+               .withColumnRenamed("reason", "_access"))
         reason = F.when(F.col("_access").isNotNull(), F.col("_access"))
     pt = party_t.select(F.col("id").alias(party), "store_id").withColumn("_party", F.lit(True))
     req = req.join(pt, [party, "store_id"], "left")
     cur = heads_t.select(F.col("id").alias(key), "store_id").withColumn("_head", F.lit(True))
     req = req.join(cur, [key, "store_id"], "left")
-    req_lines = _lines(requests.filter(F.col("items").isNotNull()), key, [])
-    dups = (req_lines.groupBy(key, "product_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            .select(key).distinct().withColumn("_dup", F.lit(True)))
-    req = req.join(dups, key, "left")
+    # a request's own lines: nothing is counted across requests
+    named = F.transform("items", lambda x: x["product_id"])
+    req = req.withColumn("_dup", F.size(F.array_distinct(named)) < F.size(named))
     for cond, msg in [(_truthy(F.col(party)) & F.col("_party").isNull(), party_msg),
                       (F.col("_head").isNull(), "Sale not found" if sale else "Purchase not found"),
                       (F.col("_dup"), "Duplicate product in items")]:
         reason = F.when(cond, F.lit(msg)) if reason is None else reason.when(cond, F.lit(msg))
     req = req.withColumn("reason", reason)
-    ok = req.filter(F.col("reason").isNull())
+    ok, several = single_requests(req.filter(F.col("reason").isNull()), key, [key, "store_id"])
     rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason").unionByName(several)
 
     # header patch
@@ -350,7 +370,7 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
                           F.col("unit_price").alias("new_p")), [key, "product_id"], "right")
          .join(with_items, key))
     upd = m.filter(F.col("old_id").isNotNull())
-    ins = m.filter(F.col("old_id").isNull()).withColumn("id", F.col(key) * 1000 + 900 + F.col("pos"))
+    ins = number_rows(m.filter(F.col("old_id").isNull()), [key, "pos"], "id", largest(lines_t))
     removed = old_tagged.filter(F.col("_kept").isNull()).join(with_items, key)
     untouched = old_tagged.filter(F.col("_kept") & F.col("_first").isNull()).select(*lines_t.columns)
     tbl = "sale_items" if sale else "purchase_items"
@@ -360,6 +380,7 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
                .unionByName(_change_records(ins, tbl, "I", None, _image("id", key, "product_id", "new_q", "new_p")))
                .unionByName(_change_records(removed, tbl, "D",
                                             _image("id", key, "product_id", "quantity", "unit_price"), None)))
+    changes = number_changes(changes, last_change_id)
     # final lines of the updated orders: untouched duplicates, updated, inserted
     final_lines = evolve_schema(
         untouched
@@ -371,34 +392,36 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
     return Outcome(patched, rejects, ledger=final_lines, extra=changes)
 
 
-def apply_sale_updates(requests: DataFrame, t: Tables, user_store: DataFrame | None = None, as_of=None) -> Outcome:
-    return _apply_updates(requests, t, "sale", user_store, as_of)
+def apply_sale_updates(requests: DataFrame, t: Tables, user_store: DataFrame | None = None, as_of=None,
+                       last_change_id: int = 0) -> Outcome:
+    return _apply_updates(requests, t, "sale", user_store, as_of, last_change_id)
 
 
 def apply_purchase_updates(requests: DataFrame, t: Tables, user_store: DataFrame | None = None,
-                           as_of=None) -> Outcome:
-    return _apply_updates(requests, t, "purchase", user_store, as_of)
+                           as_of=None, last_change_id: int = 0) -> Outcome:
+    return _apply_updates(requests, t, "purchase", user_store, as_of, last_change_id)
 
 
 # ---- reversals ----------------------------------------------------------------------------
 
-def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame | None, as_of) -> Outcome:
+def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame | None, as_of,
+             last_change_id: int = 0) -> Outcome:
     """Delete orders and their lines; stock returns (sales) or leaves (purchases).
 
-    An unknown (id, store) rejects with no effect (the source rolls back).
-    ``rows`` = remaining headers, ``ledger`` = remaining lines, ``extra`` =
-    'D' change records of the deleted lines.
+    An unknown (id, store) rejects with no effect (the source rolls back). Of
+    several valid requests for one order the one with the least user id
+    deletes it; the others find no order. ``rows`` = remaining headers,
+    ``ledger`` = remaining lines, ``extra`` = 'D' change records of the
+    deleted lines.
     """
     sale = kind == "sale"
     key, heads_t, lines_t = (("sale_id", t.sales, t.sale_items) if sale
                              else ("purchase_id", t.purchases, t.purchase_items))
-    requests, several = single_requests(requests, key, [key, "store_id"])
-    req = requests
+    req = requests.select(key, "store_id", "user_id")
     reason = None
     if user_store is not None:
-        auth = authorize_requests(req.select(key, "user_id", "store_id"), user_store,
-                                  "delete_sale" if sale else "delete_purchase")
-        req = req.join(auth.select(key, "store_id", F.col("reason").alias("_access")), [key, "store_id"], "left")
+        req = (authorize_requests(req, user_store, "delete_sale" if sale else "delete_purchase")
+               .drop("action", "role", "allowed").withColumnRenamed("reason", "_access"))
         reason = F.when(F.col("_access").isNotNull(), F.col("_access"))
     cur = heads_t.select(F.col("id").alias(key), "store_id").withColumn("_head", F.lit(True))
     req = req.join(cur, [key, "store_id"], "left")
@@ -406,24 +429,44 @@ def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame |
     reason = F.when(F.col("_head").isNull(), F.lit(msg)) if reason is None else reason.when(
         F.col("_head").isNull(), F.lit(msg))
     req = req.withColumn("reason", reason)
-    ok = req.filter(F.col("reason").isNull()).select(key, "store_id", "user_id")
-    rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason").unionByName(several)
+    valid = req.filter(F.col("reason").isNull())
+    ok = (valid.groupBy(key, "store_id").agg(F.min("user_id").alias("user_id"), F.count(F.lit(1)).alias("_n")))
+    late = (ok.filter("_n > 1").withColumn("_k", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n"))))
+            .select(key, "store_id", F.lit(msg).alias("reason")))
+    ok = ok.drop("_n")
+    rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason").unionByName(late)
     remaining_heads = heads_t.join(ok.select(F.col(key).alias("id")), "id", "left_anti")
     gone_lines = lines_t.join(ok.select(key), key, "left_semi")
     remaining_lines = lines_t.join(ok.select(key), key, "left_anti")
     ch = gone_lines.join(ok.withColumn("ts", _ts(as_of)), key)
     changes = _change_records(ch, "sale_items" if sale else "purchase_items", "D",
                               _image("id", key, "product_id", "quantity", "unit_price"), None)
-    return Outcome(remaining_heads, rejects, ledger=remaining_lines, extra=changes)
+    return Outcome(remaining_heads, rejects, ledger=remaining_lines, extra=number_changes(changes, last_change_id))
 
 
-def reverse_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = None, as_of=None) -> Outcome:
-    return _reverse(requests, t, "sale", user_store, as_of)
+def reverse_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = None, as_of=None,
+                  last_change_id: int = 0) -> Outcome:
+    return _reverse(requests, t, "sale", user_store, as_of, last_change_id)
 
 
 def reverse_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None = None,
-                      as_of=None) -> Outcome:
-    return _reverse(requests, t, "purchase", user_store, as_of)
+                      as_of=None, last_change_id: int = 0) -> Outcome:
+    return _reverse(requests, t, "purchase", user_store, as_of, last_change_id)
+
+
+def next_products(products: DataFrame, changes: DataFrame, as_of=None) -> DataFrame:
+    """The ``products`` table after a batch's line change records.
+
+    Every product with a movement gets its new quantity and ``updated_at``; a
+    NULL quantity stays NULL. Partial sums per product, then one join.
+    """
+    d = stock_delta(changes).filter(F.col("product_id").isNotNull()).withColumnRenamed("product_id", "id")
+    j = products.join(d, "id", "left")
+    moved = F.col("delta").isNotNull()
+    return j.select(*[
+        (F.col("quantity") + F.coalesce("delta", F.lit(0))).cast("int").alias(c) if c == "quantity" else
+        F.when(moved, _ts(as_of)).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c)
+        for c in products.columns])
 
 
 def stock_delta(changes: DataFrame) -> DataFrame:

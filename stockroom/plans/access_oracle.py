@@ -44,8 +44,10 @@ SELECT i.*, (i.email IN (SELECT email FROM {users})) AS known,
        i.request_id = min(i.request_id) OVER (PARTITION BY i.email) AS first
 FROM {user_imports} i
 """
-oracle("import_users", "SELECT request_id AS user_id, name, email FROM {i} WHERE NOT known AND first",
-       [("i", _IMPORT)])
+oracle("import_users", """
+SELECT (SELECT max(user_id) FROM {users}) + row_number() OVER (ORDER BY request_id) AS user_id, name, email
+FROM {i} WHERE NOT known AND first
+""", [("i", _IMPORT)])
 oracle("import_user_rejects", """
 SELECT request_id, name, email, 'User already exists' AS reason FROM {i} WHERE known OR NOT first
 """, [("i", _IMPORT)])

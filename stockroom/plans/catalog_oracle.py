@@ -33,36 +33,52 @@ FROM {{x}} WHERE reason IS NULL
 """, [_INS])
 oracle("insert_products_rejects", "SELECT store_id, new_id, reason FROM {x} WHERE reason IS NOT NULL", [_INS])
 
-_PATCH = ("x", """
-SELECT r.store_id, r.id, r.price AS new_price, r.description AS new_description, r.category_id AS new_category_id,
-       CASE WHEN p.id IS NULL THEN 'Product not found'
-            WHEN r.category_id IS NOT NULL AND NOT EXISTS (
-                 SELECT 1 FROM {categories} c WHERE c.id = r.category_id AND c.store_id = r.store_id)
-            THEN 'Invalid Category' END AS reason
-FROM {product_patches} r LEFT JOIN {products} p ON p.id = r.id AND p.store_id = r.store_id
+_PATCH = ("x", f"""
+SELECT r.request_id, r.store_id, r.id, r.price AS new_price, r.description AS new_description,
+       r.category_id AS new_category_id,
+       coalesce({_guard(('admin', 'manager'))},
+         CASE WHEN p.id IS NULL THEN 'Product not found'
+              WHEN r.category_id IS NOT NULL AND NOT EXISTS (
+                 SELECT 1 FROM {{categories}} c WHERE c.id = r.category_id AND c.store_id = r.store_id)
+              THEN 'Invalid Category' END) AS reason
+FROM {{product_patches}} r {_G} LEFT JOIN {{products}} p ON p.id = r.id AND p.store_id = r.store_id
+""")
+_PATCHED = ("y", """
+SELECT store_id, id, arg_max(new_price, request_id) FILTER (new_price IS NOT NULL) AS new_price,
+       arg_max(new_description, request_id) FILTER (new_description IS NOT NULL) AS new_description,
+       arg_max(new_category_id, request_id) FILTER (new_category_id IS NOT NULL) AS new_category_id
+FROM {x} WHERE reason IS NULL GROUP BY store_id, id
 """)
 oracle("patch_products", f"""
-SELECT p.id, p.store_id, coalesce(x.new_category_id, p.category_id) AS category_id, p.name,
-       coalesce(x.new_description, p.description) AS description, p.sku, p.barcode, p.unit, p.image_url, p.status,
-       coalesce(x.new_price, p.price) AS price, p.quantity, p.min_stock_level, p.max_stock_level,
+SELECT p.id, p.store_id, coalesce(y.new_category_id, p.category_id) AS category_id, p.name,
+       coalesce(y.new_description, p.description) AS description, p.sku, p.barcode, p.unit, p.image_url, p.status,
+       coalesce(y.new_price, p.price) AS price, p.quantity, p.min_stock_level, p.max_stock_level,
        {TS} AS updated_at, p.last_updated_at
-FROM {{x}} x JOIN {{products}} p ON p.id = x.id AND p.store_id = x.store_id WHERE x.reason IS NULL
-""", [_PATCH])
+FROM {{y}} y JOIN {{products}} p ON p.id = y.id AND p.store_id = y.store_id
+""", [_PATCH, _PATCHED])
 oracle("patch_products_rejects", "SELECT store_id, id, reason FROM {x} WHERE reason IS NOT NULL", [_PATCH])
 
+
+def _deletes(requests: str, table: str, roles: tuple[str, ...], message: str) -> tuple[str, str]:
+    """Requests with their reason; the second delete of a row finds nothing."""
+    return ("x", f"""
+SELECT store_id, id, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY store_id, id, reason IS NULL ORDER BY user_id) > 1
+                          THEN '{message}' ELSE reason END AS reason
+FROM (SELECT r.*, coalesce({_guard(roles)}, CASE WHEN p.id IS NULL THEN '{message}' END) AS reason
+      FROM {{{requests}}} r {_G} LEFT JOIN {{{table}}} p ON p.id = r.id AND p.store_id = r.store_id) q
+""")
+
+
+_DP = _deletes("product_deletes", "products", ("admin",), "Product not found")
 oracle("delete_products", """
 SELECT p.* FROM {products} p
-WHERE NOT EXISTS (SELECT 1 FROM {product_deletes} d WHERE d.id = p.id AND d.store_id = p.store_id)
-""")
+WHERE NOT EXISTS (SELECT 1 FROM {x} d WHERE d.id = p.id AND d.store_id = p.store_id AND d.reason IS NULL)
+""", [_DP])
 oracle("delete_products_reviews", """
 SELECT r.* FROM {product_reviews} r
-WHERE r.product_id IS NULL OR r.product_id NOT IN (
-  SELECT p.id FROM {products} p JOIN {product_deletes} d ON d.id = p.id AND d.store_id = p.store_id)
-""")
-oracle("delete_products_rejects", """
-SELECT d.store_id, d.id, 'Product not found' AS reason FROM {product_deletes} d
-WHERE NOT EXISTS (SELECT 1 FROM {products} p WHERE p.id = d.id AND p.store_id = d.store_id)
-""")
+WHERE r.product_id IS NULL OR r.product_id NOT IN (SELECT id FROM {x} WHERE reason IS NULL)
+""", [_DP])
+oracle("delete_products_rejects", "SELECT * FROM {x} WHERE reason IS NOT NULL", [_DP])
 
 _REV = ("x", f"""
 SELECT r.*, coalesce({_guard(('admin', 'manager', 'staff'))},
@@ -72,7 +88,8 @@ SELECT r.*, coalesce({_guard(('admin', 'manager', 'staff'))},
 FROM {{review_requests}} r {_G}
 """)
 oracle("add_reviews", f"""
-SELECT request_id AS id, product_id, user_id, rating, review_text, {TS} AS created_at, {TS} AS updated_at
+SELECT (SELECT max(id) FROM {{product_reviews}}) + row_number() OVER (ORDER BY request_id) AS id,
+       product_id, user_id, rating, review_text, {TS} AS created_at, {TS} AS updated_at
 FROM {{x}} WHERE reason IS NULL
 """, [_REV])
 oracle("add_reviews_rejects", "SELECT request_id, reason FROM {x} WHERE reason IS NOT NULL", [_REV])
@@ -95,12 +112,15 @@ SELECT r.*, coalesce({_guard(('admin', 'manager'))},
   CASE WHEN EXISTS (SELECT 1 FROM {{suppliers}} s WHERE s.store_id = r.store_id AND lower(s.name) = lower(r.name))
        THEN 'A supplier with this name already exists'
        WHEN r.request_id <> (SELECT min(r2.request_id) FROM {{supplier_requests}} r2
-                             WHERE r2.store_id = r.store_id AND lower(r2.name) = lower(r.name))
+                             JOIN {{user_store}} g2 ON g2.user_id = r2.user_id AND g2.store_id = r2.store_id
+                             WHERE g2.role IN ('admin', 'manager')
+                               AND r2.store_id = r.store_id AND lower(r2.name) = lower(r.name))
        THEN 'A supplier with this name already exists' END) AS reason
 FROM {{supplier_requests}} r {_G}
 """)
 oracle("register_suppliers", f"""
-SELECT request_id + 1000000 AS id, store_id, name, contact_info, email, cast(NULL as varchar) AS phone,
+SELECT (SELECT max(id) FROM {{suppliers}}) + row_number() OVER (ORDER BY request_id) AS id,
+       store_id, name, contact_info, email, cast(NULL as varchar) AS phone,
        cast(NULL as varchar) AS address, {TS} AS created_at, {TS} AS updated_at
 FROM {{x}} WHERE reason IS NULL
 """, [_REG])
@@ -108,8 +128,8 @@ oracle("register_suppliers_ledger", "SELECT " + _LEDGER.format(a="created", n="n
        [_REG])
 oracle("register_suppliers_rejects", "SELECT request_id, reason FROM {x} WHERE reason IS NOT NULL", [_REG])
 
-_PS = ("x", f"""
-SELECT r.store_id, r.id, r.user_id, r.name AS new_name, r.phone AS new_phone,
+_PS0 = ("x0", f"""
+SELECT r.request_id, r.store_id, r.id, r.user_id, r.name AS new_name, r.phone AS new_phone,
        coalesce({_guard(('admin', 'manager'))},
          CASE WHEN s.id IS NULL THEN 'Supplier not found'
               WHEN r.name IS NOT NULL AND EXISTS (SELECT 1 FROM {{suppliers}} o WHERE o.store_id = r.store_id
@@ -117,17 +137,27 @@ SELECT r.store_id, r.id, r.user_id, r.name AS new_name, r.phone AS new_phone,
               THEN 'A supplier with this name already exists' END) AS reason
 FROM {{supplier_patches}} r {_G} LEFT JOIN {{suppliers}} s ON s.id = r.id AND s.store_id = r.store_id
 """)
+_PS = ("x", """
+SELECT * REPLACE (CASE WHEN reason IS NULL AND new_name IS NOT NULL AND id <> first_value(id) OVER (
+                         PARTITION BY store_id, lower(new_name), reason IS NULL ORDER BY request_id, id)
+                       THEN 'A supplier with this name already exists' ELSE reason END AS reason) FROM {x0}
+""")
+_PSY = ("y", """
+SELECT store_id, id, arg_max(new_name, request_id) FILTER (new_name IS NOT NULL) AS new_name,
+       arg_max(new_phone, request_id) FILTER (new_phone IS NOT NULL) AS new_phone
+FROM {x} WHERE reason IS NULL GROUP BY store_id, id
+""")
 oracle("patch_suppliers", f"""
-SELECT s.id, s.store_id, coalesce(x.new_name, s.name) AS name, s.contact_info, s.email,
-       coalesce(x.new_phone, s.phone) AS phone, s.address, s.created_at, {TS} AS updated_at
-FROM {{x}} x JOIN {{suppliers}} s ON s.id = x.id AND s.store_id = x.store_id WHERE x.reason IS NULL
-""", [_PS])
+SELECT s.id, s.store_id, coalesce(y.new_name, s.name) AS name, s.contact_info, s.email,
+       coalesce(y.new_phone, s.phone) AS phone, s.address, s.created_at, {TS} AS updated_at
+FROM {{y}} y JOIN {{suppliers}} s ON s.id = y.id AND s.store_id = y.store_id
+""", [_PS0, _PS, _PSY])
 oracle("patch_suppliers_ledger", "SELECT " + _LEDGER.format(a="updated", n="s.name").replace(
     "cast(store_id", "cast(x.store_id").replace("cast(user_id", "cast(x.user_id")
-    + " FROM {x} x JOIN {suppliers} s ON s.id = x.id AND s.store_id = x.store_id WHERE x.reason IS NULL", [_PS])
-oracle("patch_suppliers_rejects", "SELECT store_id, id, reason FROM {x} WHERE reason IS NOT NULL", [_PS])
+    + " FROM {x} x JOIN {suppliers} s ON s.id = x.id AND s.store_id = x.store_id WHERE x.reason IS NULL", [_PS0, _PS])
+oracle("patch_suppliers_rejects", "SELECT store_id, id, reason FROM {x} WHERE reason IS NOT NULL", [_PS0, _PS])
 
-_DS = ("x", f"""
+_DS0 = ("x0", f"""
 SELECT r.store_id, r.id, r.user_id, s.name,
        coalesce({_guard(('admin', 'manager'))},
          CASE WHEN s.id IS NULL THEN 'Supplier not found'
@@ -135,48 +165,53 @@ SELECT r.store_id, r.id, r.user_id, s.name,
               THEN 'Cannot delete supplier with existing purchases' END) AS reason
 FROM {{supplier_deletes}} r {_G} LEFT JOIN {{suppliers}} s ON s.id = r.id AND s.store_id = r.store_id
 """)
+_DS = ("x", """
+SELECT * REPLACE (CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY store_id, id, reason IS NULL ORDER BY user_id) > 1
+                       THEN 'Supplier not found' ELSE reason END AS reason) FROM {x0}
+""")
 oracle("delete_suppliers", """
 SELECT s.* FROM {suppliers} s
 WHERE NOT EXISTS (SELECT 1 FROM {x} x WHERE x.id = s.id AND x.store_id = s.store_id AND x.reason IS NULL)
-""", [_DS])
+""", [_DS0, _DS])
 oracle("delete_suppliers_ledger", "SELECT " + _LEDGER.format(a="deleted", n="name") + " FROM {x} WHERE reason IS NULL",
-       [_DS])
-oracle("delete_suppliers_rejects", "SELECT store_id, id, reason FROM {x} WHERE reason IS NOT NULL", [_DS])
+       [_DS0, _DS])
+oracle("delete_suppliers_rejects", "SELECT store_id, id, reason FROM {x} WHERE reason IS NOT NULL", [_DS0, _DS])
 
 # -- categories
-_CI = ("x", """
-SELECT r.*, CASE WHEN r.name IS NULL THEN 'Category name is required'
-                 WHEN length(r.name) > 100 THEN 'Category name is too long' END AS reason
-FROM {category_inserts} r
+_CI = ("x", f"""
+SELECT r.*, coalesce({_guard(('admin', 'manager'))},
+         CASE WHEN r.name IS NULL THEN 'Category name is required'
+              WHEN length(r.name) > 100 THEN 'Category name is too long' END) AS reason
+FROM {{category_inserts}} r {_G}
 """)
 oracle("insert_categories", f"""
 SELECT id, store_id, name, description, {TS} AS created_at FROM {{x}} WHERE reason IS NULL
 """, [_CI])
 oracle("insert_categories_rejects", "SELECT store_id, id, reason FROM {x} WHERE reason IS NOT NULL", [_CI])
 
-_CU = ("x", """
-SELECT r.*, c.created_at,
-       CASE WHEN c.id IS NULL THEN 'Category not found' WHEN r.name IS NULL THEN 'Category name is required'
-            WHEN length(r.name) > 100 THEN 'Category name is too long' END AS reason
-FROM {category_updates} r LEFT JOIN {categories} c ON c.id = r.id AND c.store_id = r.store_id
+_CU = ("x", f"""
+SELECT r.*, c.created_at, coalesce({_guard(('admin', 'manager'))},
+         CASE WHEN c.id IS NULL THEN 'Category not found' WHEN r.name IS NULL THEN 'Category name is required'
+              WHEN length(r.name) > 100 THEN 'Category name is too long' END) AS reason
+FROM {{category_updates}} r {_G} LEFT JOIN {{categories}} c ON c.id = r.id AND c.store_id = r.store_id
 """)
-oracle("update_categories", "SELECT id, store_id, name, description, created_at FROM {x} WHERE reason IS NULL", [_CU])
+oracle("update_categories", """
+SELECT id, store_id, name, description, created_at FROM {x} WHERE reason IS NULL
+QUALIFY row_number() OVER (PARTITION BY store_id, id ORDER BY request_id DESC) = 1
+""", [_CU])
 oracle("update_categories_rejects", "SELECT store_id, id, reason FROM {x} WHERE reason IS NOT NULL", [_CU])
 
+_CD = _deletes("category_deletes", "categories", ("admin", "manager"), "Category not found")
 oracle("delete_categories", """
 SELECT c.* FROM {categories} c
-WHERE NOT EXISTS (SELECT 1 FROM {category_deletes} d WHERE d.id = c.id AND d.store_id = c.store_id)
-""")
+WHERE NOT EXISTS (SELECT 1 FROM {x} d WHERE d.id = c.id AND d.store_id = c.store_id AND d.reason IS NULL)
+""", [_CD])
 oracle("delete_categories_products", """
-SELECT p.* REPLACE (CASE WHEN p.category_id IN (
-         SELECT c.id FROM {categories} c JOIN {category_deletes} d ON d.id = c.id AND d.store_id = c.store_id)
-       THEN NULL ELSE p.category_id END AS category_id)
+SELECT p.* REPLACE (CASE WHEN p.category_id IN (SELECT id FROM {x} WHERE reason IS NULL)
+                         THEN NULL ELSE p.category_id END AS category_id)
 FROM {products} p
-""")
-oracle("delete_categories_rejects", """
-SELECT d.store_id, d.id, 'Category not found' AS reason FROM {category_deletes} d
-WHERE NOT EXISTS (SELECT 1 FROM {categories} c WHERE c.id = d.id AND c.store_id = d.store_id)
-""")
+""", [_CD])
+oracle("delete_categories_rejects", "SELECT * FROM {x} WHERE reason IS NOT NULL", [_CD])
 
 # -- stores
 oracle("create_stores", f"""
@@ -194,7 +229,7 @@ FROM {store_updates} r
 oracle("update_stores", f"""
 SELECT s.id, x.name, x.location, x.owner_name, s.user_id, s.logo_url, {TS} AS updated_at
 FROM {{store}} s JOIN (SELECT * FROM {{a}} WHERE reason IS NULL
-                       QUALIFY user_id = max(user_id) OVER (PARTITION BY id)) x ON s.id = x.id
+                       QUALIFY row_number() OVER (PARTITION BY id ORDER BY request_id DESC, user_id DESC) = 1) x ON s.id = x.id
 """, [_SA])
 oracle("update_stores_rejects", "SELECT user_id, id, reason FROM {a} WHERE reason IS NOT NULL", [_SA])
 
@@ -212,6 +247,12 @@ oracle("delete_stores", "SELECT s.* FROM {store} s WHERE s.id NOT IN (SELECT id
 oracle("delete_stores_categories", """
 SELECT c.* FROM {categories} c WHERE c.store_id NOT IN (SELECT id FROM {a} WHERE reason IS NULL)
 """, [_SD])
+oracle("delete_stores_products", """
+SELECT p.* REPLACE (CASE WHEN p.category_id IN (
+         SELECT c.id FROM {categories} c WHERE c.store_id IN (SELECT id FROM {a} WHERE reason IS NULL))
+       THEN NULL ELSE p.category_id END AS category_id)
+FROM {products} p
+""", [_SD])
 oracle("delete_stores_rejects", """
 SELECT user_id, id, coalesce(reason, 'Store not found') AS reason FROM {b}
 WHERE reason IS NOT NULL OR user_id <> first_user

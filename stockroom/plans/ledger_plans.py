@@ -20,7 +20,6 @@ def stock_ledger(t):
     return G.stock_ledger(changes(t))
 
 
-register("change_stream")(lambda t: changes(t))
 register("ledger_sale")(lambda t: G.stock_ledger(changes(t), types=["sale"]))
 register("ledger_purchase")(lambda t: G.stock_ledger(changes(t), types=["purchase"]))
 register("ledger_sale_reversal")(lambda t: G.stock_ledger(changes(t), types=["sale_reversal"]))

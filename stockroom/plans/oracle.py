@@ -9,6 +9,8 @@ averages) so both engines agree column by column.
 
 from __future__ import annotations
 
+import importlib
+
 from ..sources import fixture_sql
 from .registry import BOUND_END, BOUND_START, RANGE_END, RANGE_START
 
@@ -194,11 +196,7 @@ GROUP BY p.id, p.store_id
 def _load_all() -> None:
     for mod in ("listing_oracle", "ledger_oracle", "catalog_oracle", "order_oracle",
                 "check_oracle", "access_oracle"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+        importlib.import_module(f"{__package__}.{mod}")
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,15 +58,50 @@ SELECT h.*,
 FROM {{purchase_request_headers}} h
 LEFT JOIN {{user_store}} g ON g.user_id = h.user_id AND g.store_id = h.store_id
 """)
+_PN = ("pn", """
+SELECT pp.*, (SELECT max(id) FROM {purchases}) + row_number() OVER (ORDER BY requested_at, request_id) AS id
+FROM {pp} WHERE reason IS NULL
+""")
+_PNL = ("pnl", """
+SELECT (SELECT max(id) FROM {purchase_items}) + row_number() OVER (ORDER BY n.id, l.pos) AS id, n.id AS purchase_id,
+       l.product_id, l.quantity, l.unit_price, row_number() OVER (ORDER BY n.id, l.pos) AS change_id
+FROM {pl} l JOIN {pn} n ON l.request_id = n.request_id
+""")
+_PCH = [_PL, _PP, _PN, _PNL]
 oracle("post_purchases", f"""
-SELECT request_id AS id, store_id, supplier_id, user_id, notes, requested_at AS created_at,
+SELECT id, store_id, supplier_id, user_id, notes, requested_at AS created_at,
        {TS} AS updated_at, cast(NULL as timestamp) AS last_updated_at
-FROM {{pp}} WHERE reason IS NULL
-""", [_PL, _PP])
-oracle("post_purchases_lines", """
-SELECT l.request_id * 1000 + l.pos + 1 AS id, l.request_id AS purchase_id, l.product_id, l.quantity, l.unit_price
-FROM {pl} l WHERE l.request_id IN (SELECT request_id FROM {pp} WHERE reason IS NULL)
-""", [_PL, _PP])
+FROM {{pn}}
+""", _PCH)
+oracle("post_purchases_lines", "SELECT * EXCLUDE (change_id) FROM {pnl}", _PCH)
+
+# -- two batches in a row: every request of the second is valid by its making
+_B = ("b", """
+SELECT h.*, (SELECT max(id) FROM {pn}) + row_number() OVER (ORDER BY requested_at, request_id) AS id
+FROM {bulk_purchase_headers} h WHERE request_id IN (SELECT request_id FROM {bulk_purchase_lines})
+""")
+_BL = ("bl", """
+SELECT (SELECT max(id) FROM {pnl}) + row_number() OVER (ORDER BY b.id, l.line_no) AS id, b.id AS purchase_id,
+       l.product_id, l.quantity, l.unit_price,
+       (SELECT max(change_id) FROM {pnl}) + row_number() OVER (ORDER BY b.id, l.line_no) AS change_id
+FROM {bulk_purchase_lines} l JOIN {b} b ON l.request_id = b.request_id
+""")
+_BOTH = ("both_lines", "SELECT * FROM {pnl} UNION ALL SELECT * FROM {bl}")
+_CHAIN = [*_PCH, _B, _BL, _BOTH]
+oracle("post_purchases_chain", """
+SELECT * EXCLUDE (change_id) FROM {both_lines}
+WHERE (SELECT count(*) = count(DISTINCT id) FROM (SELECT id FROM {both_lines} UNION ALL SELECT id FROM {purchase_items}))
+""", _CHAIN)
+oracle("post_purchases_chain_changes", """
+SELECT change_id, id AS line_id FROM {both_lines}
+WHERE (SELECT count(*) = count(DISTINCT change_id) FROM {both_lines})
+""", _CHAIN)
+oracle("post_purchases_chain_products", f"""
+SELECT p.* REPLACE (cast(p.quantity + coalesce(m.q, 0) as int) AS quantity,
+                    CASE WHEN m.q IS NULL THEN p.updated_at ELSE {TS} END AS updated_at)
+FROM {{products}} p LEFT JOIN (SELECT product_id, sum(quantity) AS q FROM {{both_lines}} GROUP BY product_id) m
+  ON p.id = m.product_id
+""", _CHAIN)
 oracle("post_purchases_rejects", "SELECT request_id, reason FROM {pp} WHERE reason IS NOT NULL", [_PL, _PP])
 
 
@@ -79,7 +114,7 @@ def _updates(kind: str):
                            else ("supplier_id", "suppliers", "Invalid Supplier"))
     req_h, req_l = f"{kind}_update_headers", f"{kind}_update_lines"
     sign = -1 if sale else 1
-    r = ("r", f"""
+    rb = ("rb", f"""
 SELECT h.*, CASE {_guard(('admin', 'manager'))}
        WHEN h.{party} IS NOT NULL AND h.{party} <> 0 AND NOT EXISTS (
             SELECT 1 FROM {{{parties}}} c WHERE c.id = h.{party} AND c.store_id = h.store_id) THEN '{msg}'
@@ -88,6 +123,10 @@ SELECT h.*, CASE {_guard(('admin', 'manager'))}
        WHEN EXISTS (SELECT 1 FROM {{{req_l}}} l WHERE l.{key} = h.{key} GROUP BY l.product_id HAVING count(*) > 1)
        THEN 'Duplicate product in items' END AS reason
 FROM {{{req_h}}} h LEFT JOIN {{user_store}} g ON g.user_id = h.user_id AND g.store_id = h.store_id
+""")
+    r = ("r", f"""
+SELECT * REPLACE (CASE WHEN reason IS NULL AND count(*) FILTER (reason IS NULL) OVER (PARTITION BY {key}) > 1
+                       THEN 'Several requests for one order in a batch' ELSE reason END AS reason) FROM {{rb}}
 """)
     new = ("nw", f"""
 SELECT l.{key}, l.product_id, l.quantity AS new_q, l.unit_price AS new_p,
@@ -96,7 +135,11 @@ FROM {{{req_l}}} l WHERE l.{key} IN (SELECT {key} FROM {{r}} WHERE reason IS NUL
 """)
     old = ("od", f"SELECT i.* FROM {{{items}}} i WHERE i.{key} IN (SELECT {key} FROM {{r}} WHERE reason IS NULL)")
     first = ("fi", f"SELECT {key}, product_id, min(id) AS id FROM {{od}} GROUP BY {key}, product_id")
-    ctes = [r, new, old, first]
+    inserted = ("ni", f"""
+SELECT n.*, (SELECT max(id) FROM {{{items}}}) + row_number() OVER (ORDER BY n.{key}, n.pos) AS id FROM {{nw}} n
+WHERE NOT EXISTS (SELECT 1 FROM {{od}} o WHERE o.{key} = n.{key} AND o.product_id = n.product_id)
+""")
+    ctes = [rb, r, new, old, first, inserted]
     price = "o.unit_price" if sale else "n.new_p"
     if sale:
         header = f"""
@@ -118,8 +161,7 @@ UNION ALL
 SELECT f.id, f.{key}, f.product_id, n.new_q, {price}
 FROM {{fi}} f JOIN {{nw}} n ON n.{key} = f.{key} AND n.product_id = f.product_id JOIN {{od}} o ON o.id = f.id
 UNION ALL
-SELECT n.{key} * 1000 + 900 + n.pos, n.{key}, n.product_id, n.new_q, n.new_p FROM {{nw}} n
-WHERE NOT EXISTS (SELECT 1 FROM {{od}} o WHERE o.{key} = n.{key} AND o.product_id = n.product_id)
+SELECT n.id, n.{key}, n.product_id, n.new_q, n.new_p FROM {{ni}} n
 """, ctes)
     oracle(f"apply_{kind}_updates_stock", f"""
 SELECT product_id, cast(sum(d) as bigint) AS delta FROM (
@@ -146,20 +188,24 @@ def _reversals(kind: str):
     key = "sale_id" if sale else "purchase_id"
     heads, items = ("sales", "sale_items") if sale else ("purchases", "purchase_items")
     sign = 1 if sale else -1
-    r = ("r", f"""
+    rb = ("rb", f"""
 SELECT q.*, CASE {_guard(('admin', 'manager'))}
        WHEN NOT EXISTS (SELECT 1 FROM {{{heads}}} s WHERE s.id = q.{key} AND s.store_id = q.store_id)
        THEN '{"Sale not found" if sale else "Purchase not found"}' END AS reason
 FROM {{{kind}_reversals}} q LEFT JOIN {{user_store}} g ON g.user_id = q.user_id AND g.store_id = q.store_id
+""")
+    r = ("r", f"""
+SELECT * REPLACE (CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY {key}, reason IS NULL ORDER BY user_id) > 1
+                       THEN '{"Sale not found" if sale else "Purchase not found"}' ELSE reason END AS reason) FROM {{rb}}
 """)
     ok = f"(SELECT {key} FROM {{r}} WHERE reason IS NULL)"
-    oracle(f"reverse_{kind}s", f"SELECT * FROM {{{heads}}} WHERE id NOT IN {ok}", [r])
-    oracle(f"reverse_{kind}s_lines", f"SELECT * FROM {{{items}}} WHERE {key} NOT IN {ok}", [r])
+    oracle(f"reverse_{kind}s", f"SELECT * FROM {{{heads}}} WHERE id NOT IN {ok}", [rb, r])
+    oracle(f"reverse_{kind}s_lines", f"SELECT * FROM {{{items}}} WHERE {key} NOT IN {ok}", [rb, r])
     oracle(f"reverse_{kind}s_stock", f"""
 SELECT product_id, cast(sum({sign} * quantity) as bigint) AS delta FROM {{{items}}} WHERE {key} IN {ok}
 GROUP BY product_id
-""", [r])
-    oracle(f"reverse_{kind}s_rejects", f"SELECT {key}, store_id, reason FROM {{r}} WHERE reason IS NOT NULL", [r])
+""", [rb, r])
+    oracle(f"reverse_{kind}s_rejects", f"SELECT {key}, store_id, reason FROM {{r}} WHERE reason IS NOT NULL", [rb, r])
 
 
 _reversals("sale")
@@ -210,16 +256,33 @@ oracle("post_sales_verdicts", """
 SELECT request_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason
 FROM {sim} WHERE k > 0
 """, _PS, recursive=True)
+_PS_NEW = ("nsale", """
+SELECT h.*, (SELECT max(id) FROM {sales}) + row_number() OVER (ORDER BY h.requested_at, h.request_id) AS id
+FROM {hdr} h JOIN {sim} s ON s.request_id = h.request_id WHERE s.k > 0 AND s.reason IS NULL
+""")
+_PS_LINES = ("nline", """
+SELECT (SELECT max(id) FROM {sale_items}) + row_number() OVER (ORDER BY n.id, l.line_no) AS id, n.id AS sale_id,
+       l.product_id, l.quantity, p.price AS unit_price, row_number() OVER (ORDER BY n.id, l.line_no) AS change_id,
+       n.store_id, n.user_id, n.requested_at
+FROM {sale_request_lines} l JOIN {nsale} n ON n.request_id = l.request_id
+JOIN {products} p ON p.id = l.product_id AND p.store_id = n.store_id
+""")
+_PSN = [*_PS, _PS_NEW, _PS_LINES]
 oracle("post_sales", f"""
-SELECT h.request_id AS id, h.store_id, h.customer_id, h.user_id, h.payment_method, 'pending' AS payment_status,
-       cast(0 as decimal(10,2)) AS discount, cast(0 as decimal(10,2)) AS tax, h.notes,
-       h.requested_at AS created_at, {TS} AS updated_at, cast(NULL as timestamp) AS last_updated_at
-FROM {{hdr}} h JOIN {{sim}} s ON s.request_id = h.request_id WHERE s.k > 0 AND s.reason IS NULL
-""", _PS, recursive=True)
-oracle("post_sales_lines", """
-SELECT l.request_id * 1000 + row_number() OVER (PARTITION BY l.request_id ORDER BY l.line_no) AS id,
-       l.request_id AS sale_id, l.product_id, l.quantity, p.price AS unit_price
-FROM {sale_request_lines} l JOIN {sim} s ON s.request_id = l.request_id AND s.k > 0 AND s.reason IS NULL
-JOIN {hdr} h ON h.request_id = l.request_id
-JOIN {products} p ON p.id = l.product_id AND p.store_id = h.store_id
-""", _PS, recursive=True)
+SELECT id, store_id, customer_id, user_id, payment_method, 'pending' AS payment_status,
+       cast(0 as decimal(10,2)) AS discount, cast(0 as decimal(10,2)) AS tax, notes,
+       requested_at AS created_at, {TS} AS updated_at, cast(NULL as timestamp) AS last_updated_at
+FROM {{nsale}}
+""", _PSN, recursive=True)
+oracle("post_sales_lines", "SELECT id, sale_id, product_id, quantity, unit_price FROM {nline}", _PSN, recursive=True)
+oracle("post_sales_ledger", """
+SELECT change_id, store_id, product_id, 'sale' AS type, cast(-quantity as int) AS quantity,
+       cast(unit_price as decimal(10,2)) AS unit_price, user_id AS created_by, sale_id AS reference_id,
+       'Sale transaction' AS notes, requested_at AS created_at FROM {nline}
+""", _PSN, recursive=True)
+oracle("post_sales_products", f"""
+SELECT p.* REPLACE (cast(p.quantity - coalesce(m.q, 0) as int) AS quantity,
+                    CASE WHEN m.q IS NULL THEN p.updated_at ELSE {TS} END AS updated_at)
+FROM {{products}} p LEFT JOIN (SELECT product_id, sum(quantity) AS q FROM {{nline}} GROUP BY product_id) m
+  ON p.id = m.product_id
+""", _PSN, recursive=True)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import largest
 from ..operators import orders as O
+from ..operators.ledger import stock_ledger
 from .registry import register
 
 AS_OF = "2024-06-30 00:00:00"  # NOW() of the batch
@@ -17,8 +19,7 @@ def sale_requests(t) -> DataFrame:
 
 def verdicts(out, key: str = "request_id") -> DataFrame:
     """(key, status, reason) for every request of an outcome."""
-    acc = out.rows.select(F.col("id").alias(key), F.lit("accepted").alias("status"),
-                          F.lit(None).cast("string").alias("reason"))
+    acc = out.keys.select(key, F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("reason"))
     rej = out.rejects.select(key, F.lit("rejected").alias("status"), "reason")
     return acc.unionByName(rej)
 
@@ -39,6 +40,45 @@ def _post_purchases(t):
                             t, t.user_store, AS_OF)
 
 
+def _post_sales_ledger(t):
+    """The posted sales' change records, delivered twice, through the de-duplicating ledger."""
+    ch = _post_sales(t).extra
+    return stock_ledger(ch.unionByName(ch), dedupe=True)
+
+
+register("post_sales_ledger")(_post_sales_ledger)
+register("post_sales_products")(lambda t: O.next_products(t.products, _post_sales(t).extra, AS_OF))
+
+
+def _purchase_chain(t):
+    """Two purchase batches in a row, the second over the tables that the first left."""
+    first = _post_purchases(t)
+    t2 = t.replace(purchases=t.purchases.unionByName(first.rows),
+                   purchase_items=t.purchase_items.unionByName(first.ledger),
+                   products=O.next_products(t.products, first.extra, AS_OF))
+    second = O.post_purchases(O.nest_items(t.bulk_purchase_headers, t.bulk_purchase_lines, "request_id"),
+                              t2, t.user_store, AS_OF, last_change_id=largest(first.extra, "change_id"))
+    return first, second, t2
+
+
+def _chain_lines(t):
+    first, second, _ = _purchase_chain(t)
+    return first.ledger.unionByName(second.ledger)
+
+
+def _chain_changes(t):
+    first, second, _ = _purchase_chain(t)
+    return first.extra.unionByName(second.extra).select("change_id", F.col("after.id").alias("line_id"))
+
+
+def _chain_products(t):
+    _, second, t2 = _purchase_chain(t)
+    return O.next_products(t2.products, second.extra, AS_OF)
+
+
+register("post_purchases_chain")(_chain_lines)
+register("post_purchases_chain_changes")(_chain_changes)
+register("post_purchases_chain_products")(_chain_products)
 register("post_purchases")(lambda t: _post_purchases(t).rows)
 register("post_purchases_lines")(lambda t: _post_purchases(t).ledger)
 register("post_purchases_rejects")(lambda t: _post_purchases(t).rejects)

@@ -7,6 +7,7 @@ equivalent DuckDB SQL text in :mod:`stockroom.plans.oracle`.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,13 +52,9 @@ def register(name: str):
 
 def _load_all() -> None:
     # Importing the plan modules fills REGISTRY.
-    for optional in ("report_plans", "listing_plans", "ledger_plans", "catalog_plans", "order_plans",
-                     "check_plans", "access_plans", "stream_plans", "source_plans"):
-        try:
-            __import__(f"{__package__}.{optional}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{optional}":
-                raise
+    for module in ("report_plans", "listing_plans", "ledger_plans", "catalog_plans", "order_plans",
+                   "check_plans", "access_plans", "stream_plans", "source_plans"):
+        importlib.import_module(f"{__package__}.{module}")
 
 
 def ops() -> dict[str, Callable[[Tables], DataFrame]]:

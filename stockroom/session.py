@@ -13,15 +13,20 @@ RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# A hot key is split even where that costs one more shuffle (a join feeding an
+# aggregate on the same key): one key may hold a third of the rows. Every query
+# runs with it, whoever built the session.
+SKEW_CONF = {
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
 # Settings for speed at scale. AQE re-plans joins and coalesces/splits
 # shuffle partitions at run time; skew join splits a hot key's partition.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # split a hot key even where that costs one more shuffle (a join feeding
-    # an aggregate on the same key): one key may hold a third of the rows
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    **SKEW_CONF,
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # Broadcast only small sides; dimension tables of this model (stores,
     # categories, roles) are far below this, fact tables never are.
@@ -60,7 +65,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def configure(spark: SparkSession) -> None:
     """Apply the runtime-settable scale settings (``spark.sql.*``) to an existing
-    session, e.g. the one a cluster launcher created."""
+    session. Sizes (broadcast, partitions) and the state store are the cluster
+    launcher's choice, so no query calls this; a launcher may."""
     for k, v in SCALE_CONF.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
@@ -68,8 +74,8 @@ def configure(spark: SparkSession) -> None:
 
 
 def apply_result_conf(spark: SparkSession) -> None:
-    """Pin the settings that affect results on a session we did not build."""
-    for k, v in RESULT_CONF.items():
+    """Pin the settings every query relies on, on a session we did not build."""
+    for k, v in {**RESULT_CONF, **SKEW_CONF}.items():
         spark.conf.set(k, v)
 
 
@@ -77,7 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, reliable folder and
-    is only read here. Only when it is unset (local tests) do we pick one.
+    is only read here; where it is unset that is an error. Only in local mode
+    (tests) do we pick a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -85,6 +92,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="stockroom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

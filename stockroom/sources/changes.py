@@ -41,15 +41,32 @@ def line_change_records(flat: DataFrame) -> DataFrame:
     return out
 
 
-def write_change_files(records: DataFrame, path: str, n_files: int) -> None:
-    """Write records as ``n_files`` parquet files in time order (for replays)."""
-    (records.repartitionByRange(n_files, "ts", "change_id").sortWithinPartitions("ts", "change_id")
-     .write.mode("overwrite").parquet(path))
+def write_change_files(records: DataFrame, path: str, rows_per_file: int) -> None:
+    """Write records in time order (for replays), at most ``rows_per_file`` in a file; tasks follow the data's size."""
+    (records.repartitionByRange("ts", "change_id").sortWithinPartitions("ts", "change_id")
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path))
 
 
-def read_change_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Structured Streaming source of change records (fixed schema, parquet files)."""
+def read_change_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                       max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Structured Streaming source of change records (fixed schema, parquet files).
+
+    A micro-batch takes at most so many files, or about so many bytes.
+    """
     reader = spark.readStream.schema(LINE_CHANGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     return reader.parquet(path)
+
+
+def run_change_stream(spark: SparkSession, path: str, out_path: str, checkpoint: str,
+                      max_bytes_per_trigger: int | None = None) -> None:
+    """Drain the change stream into a parquet table, as it is (append; exactly once by the sink's commit log)."""
+    q = (read_change_stream(spark, path, max_bytes_per_trigger=max_bytes_per_trigger).writeStream.format("parquet")
+         .option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()

@@ -261,6 +261,11 @@ SELECT s.id AS sale_id, s.store_id, a.user_id, cast(NULL as bigint) AS customer_
        cast(NULL as string) AS payment_method, 'upd' AS notes, s.created_at AS requested_at
 FROM {sales} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 WHERE s.id % 10 = 2
+UNION ALL  -- somebody without a membership asks for the same orders
+SELECT s.id, s.store_id, cast(-5 as bigint), NULL, NULL, 'outsider', s.created_at FROM {sales} s WHERE s.id % 30 = 2
+UNION ALL  -- a second request for the same order by the same user
+SELECT s.id, s.store_id, a.user_id, NULL, 'cash', 'again', s.created_at
+FROM {sales} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id WHERE s.id % 70 = 12
 """
 
 MAPPING["sale_update_lines"] = """
@@ -268,13 +273,13 @@ SELECT x.sale_id, x.line_no, x.product_id, x.quantity, x.unit_price FROM (
   SELECT si.sale_id, si.id AS line_no, si.product_id,
          CASE WHEN si.id % 3 = 0 THEN si.quantity + 1 ELSE si.quantity END AS quantity,
          si.unit_price
-  FROM {sale_items} si JOIN {sale_update_headers} h ON si.sale_id = h.sale_id
+  FROM {sale_items} si JOIN {sales} h ON si.sale_id = h.id AND h.id % 10 = 2
   JOIN (SELECT min(id) AS first_id FROM {sale_items} GROUP BY sale_id, product_id) f ON si.id = f.first_id
   WHERE si.id % 3 <> 1
 
   UNION ALL
-  SELECT h.sale_id, h.sale_id * 1000 + 999, h.sale_id % 200, 1, cast(5.00 as decimal(10,2))
-  FROM {sale_update_headers} h
+  SELECT h.id, h.id * 1000 + 999, h.id % 200, 1, cast(5.00 as decimal(10,2))
+  FROM {sales} h WHERE h.id % 10 = 2
 ) x
 """
 
@@ -283,6 +288,11 @@ SELECT p.id AS purchase_id, p.store_id, a.user_id, cast(NULL as bigint) AS suppl
        'upd' AS notes, p.created_at AS requested_at
 FROM {purchases} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id
 WHERE p.id % 10 = 4
+UNION ALL
+SELECT p.id, p.store_id, cast(-5 as bigint), NULL, 'outsider', p.created_at FROM {purchases} p WHERE p.id % 30 = 4
+UNION ALL
+SELECT p.id, p.store_id, a.user_id, NULL, 'again', p.created_at
+FROM {purchases} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id WHERE p.id % 70 = 14
 """
 
 MAPPING["purchase_update_lines"] = """
@@ -290,13 +300,13 @@ SELECT x.purchase_id, x.line_no, x.product_id, x.quantity, x.unit_price FROM (
   SELECT pi.purchase_id, pi.id AS line_no, pi.product_id,
          CASE WHEN pi.id % 3 = 0 THEN pi.quantity + 1 ELSE pi.quantity END AS quantity,
          cast(CASE WHEN pi.id % 3 = 0 THEN pi.unit_price + 1 ELSE pi.unit_price END as decimal(10,2)) AS unit_price
-  FROM {purchase_items} pi JOIN {purchase_update_headers} h ON pi.purchase_id = h.purchase_id
+  FROM {purchase_items} pi JOIN {purchases} h ON pi.purchase_id = h.id AND h.id % 10 = 4
   JOIN (SELECT min(id) AS first_id FROM {purchase_items} GROUP BY purchase_id, product_id) f ON pi.id = f.first_id
   WHERE pi.id % 3 <> 1
 
   UNION ALL
-  SELECT h.purchase_id, h.purchase_id * 1000 + 999, h.purchase_id % 200, 1, cast(5.00 as decimal(10,2))
-  FROM {purchase_update_headers} h
+  SELECT h.id, h.id * 1000 + 999, h.id % 200, 1, cast(5.00 as decimal(10,2))
+  FROM {purchases} h WHERE h.id % 10 = 4
 ) x
 """
 
@@ -305,6 +315,11 @@ SELECT s.id AS sale_id, s.store_id, a.user_id FROM {sales} s LEFT JOIN {store_ac
 WHERE s.payment_status = 'P'
 UNION ALL
 SELECT cast(-1 as bigint), a.store_id, a.user_id FROM {store_actor} a WHERE a.store_id = 1
+UNION ALL  -- asked for twice, and by somebody without a membership
+SELECT s.id, s.store_id, a.user_id FROM {sales} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
+WHERE s.payment_status = 'P' AND s.id % 4 = 0
+UNION ALL
+SELECT s.id, s.store_id, cast(-5 as bigint) FROM {sales} s WHERE s.payment_status = 'P' AND s.id % 3 = 0
 """
 
 MAPPING["purchase_reversals"] = """
@@ -312,6 +327,28 @@ SELECT p.id AS purchase_id, p.store_id, a.user_id FROM {purchases} p LEFT JOIN {
 WHERE p.id % 10 = 5
 UNION ALL
 SELECT cast(-1 as bigint), a.store_id, a.user_id FROM {store_actor} a WHERE a.store_id = 1
+UNION ALL
+SELECT p.id, p.store_id, a.user_id FROM {purchases} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id
+WHERE p.id % 20 = 5
+"""
+
+# A second batch of purchases, one request per store with many lines: every
+# line item whose order falls to the store, moved to a product of the store.
+MAPPING["bulk_purchase_headers"] = """
+SELECT cast(9000000000 + s.store_id as bigint) AS request_id, s.store_id, m.user_id, s.supplier_id,
+       'bulk' AS notes, {ntz} '2024-06-01 00:00:00' AS requested_at
+FROM (SELECT store_id, min(id) AS supplier_id FROM {suppliers} GROUP BY store_id) s
+JOIN (SELECT store_id, min(user_id) AS user_id FROM {user_store} WHERE role IN ('admin', 'manager')
+      GROUP BY store_id) m ON s.store_id = m.store_id
+"""
+
+MAPPING["bulk_purchase_lines"] = """
+SELECT h.request_id,
+       row_number() OVER (PARTITION BY h.request_id ORDER BY l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
+           l.l_shipdate, l.l_quantity, l.l_extendedprice) AS line_no,
+       p.id AS product_id, cast(l.l_quantity as int) AS quantity, cast(l.l_extendedprice as decimal(10,2)) AS unit_price
+FROM {bulk_purchase_headers} h JOIN {lineitem} l ON l.l_orderkey % 25 = h.store_id
+JOIN {products} p ON p.id = l.l_partkey - l.l_partkey % 25 + h.store_id
 """
 
 MAPPING["product_inserts"] = """
@@ -324,17 +361,33 @@ WHERE p.id % 7 = 0
 """
 
 MAPPING["product_patches"] = """
-SELECT p.store_id, p.id, cast(p.price + 1 as decimal(10,2)) AS price, 'patched' AS description,
-       CASE WHEN p.id % 15 = 0 THEN p.category_id + 1 END AS category_id
-FROM {products} p WHERE p.id % 5 = 0
+SELECT p.id AS request_id, p.store_id, p.id, a.user_id, cast(p.price + 1 as decimal(10,2)) AS price,
+       'patched' AS description, CASE WHEN p.id % 15 = 0 THEN p.category_id + 1 END AS category_id
+FROM {products} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id WHERE p.id % 5 = 0
+UNION ALL
+SELECT cast(-1 as bigint), cast(1 as bigint), cast(-1 as bigint), a.user_id, cast(NULL as decimal(10,2)),
+       cast(NULL as string), cast(NULL as bigint) FROM {store_actor} a WHERE a.store_id = 1
+UNION ALL  -- a later patch of other columns, and one by somebody without a membership
+SELECT p.id + 1000000, p.store_id, p.id, a.user_id, NULL, 'patched again', NULL
+FROM {products} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id WHERE p.id % 10 = 0
 UNION ALL
-SELECT cast(1 as bigint), cast(-1 as bigint), cast(NULL as decimal(10,2)), cast(NULL as string), cast(NULL as bigint)
+SELECT p.id + 2000000, p.store_id, p.id, cast(-5 as bigint), cast(0 as decimal(10,2)), 'outsider', NULL
+FROM {products} p WHERE p.id % 25 = 0
 """
 
 MAPPING["product_deletes"] = """
-SELECT p.store_id, p.id FROM {products} p WHERE p.id % 11 = 0
+SELECT p.store_id, p.id, m.user_id FROM {products} p
+LEFT JOIN (SELECT store_id, min(user_id) AS user_id FROM {user_store} WHERE role = 'admin' GROUP BY store_id) m
+  ON p.store_id = m.store_id WHERE p.id % 11 = 0
 UNION ALL
-SELECT cast(1 as bigint), cast(-1 as bigint)
+SELECT a.store_id, cast(-1 as bigint), a.user_id FROM {user_store} a WHERE a.role = 'admin' AND a.user_id % 12 = 0
+UNION ALL  -- a second time, and by the first member, whatever the role
+SELECT p.store_id, p.id, m.user_id FROM {products} p
+LEFT JOIN (SELECT store_id, min(user_id) AS user_id FROM {user_store} WHERE role = 'admin' GROUP BY store_id) m
+  ON p.store_id = m.store_id WHERE p.id % 22 = 0
+UNION ALL
+SELECT p.store_id, p.id, a.user_id FROM {products} p LEFT JOIN {store_actor} a ON p.store_id = a.store_id
+WHERE p.id % 33 = 0
 """
 
 MAPPING["review_requests"] = """
@@ -352,29 +405,49 @@ FROM {suppliers} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 """
 
 MAPPING["supplier_patches"] = """
-SELECT s.store_id, s.id, a.user_id, n.name, '1' AS phone
+SELECT s.id AS request_id, s.store_id, s.id, a.user_id, n.name, '1' AS phone
 FROM {suppliers} s JOIN {suppliers} n ON n.id = s.id + 1 LEFT JOIN {store_actor} a ON s.store_id = a.store_id
 WHERE s.id % 3 = 0
+UNION ALL  -- several suppliers of a store ask for one new name; a later patch of the same supplier
+SELECT s.id + 1000000, s.store_id, s.id, a.user_id, 'The one', NULL
+FROM {suppliers} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id WHERE s.id % 2 = 0
+UNION ALL
+SELECT s.id + 2000000, s.store_id, s.id, a.user_id, NULL, '2'
+FROM {suppliers} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id WHERE s.id % 6 = 0
 """
 
 MAPPING["supplier_deletes"] = """
 SELECT s.store_id, s.id, a.user_id FROM {suppliers} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
+UNION ALL  -- a second time
+SELECT s.store_id, s.id, a.user_id FROM {suppliers} s LEFT JOIN {store_actor} a ON s.store_id = a.store_id
+WHERE s.id % 20 = 0
 """
 
 MAPPING["category_inserts"] = """
-SELECT store_id, id + 100000 AS id,
-       CASE WHEN id % 3 = 0 THEN lower(name) WHEN id % 3 = 2 THEN repeat(concat(name, ' '), 15) END AS name,
-       concat('about ', name) AS description
-FROM {categories}
+SELECT c.store_id, c.id + 100000 AS id, a.user_id,
+       CASE WHEN c.id % 3 = 0 THEN lower(c.name) WHEN c.id % 3 = 2 THEN repeat(concat(c.name, ' '), 15) END AS name,
+       concat('about ', c.name) AS description
+FROM {categories} c LEFT JOIN {store_actor} a ON c.store_id = a.store_id
 """
 
 MAPPING["category_updates"] = """
-SELECT store_id, id, upper(name) AS name, cast(NULL as string) AS description
-FROM {categories} WHERE id % 2 = 0
+SELECT c.id AS request_id, c.store_id, c.id, a.user_id, upper(c.name) AS name, cast(NULL as string) AS description
+FROM {categories} c LEFT JOIN {store_actor} a ON c.store_id = a.store_id WHERE c.id % 2 = 0
+UNION ALL  -- a later update of the same category; an unknown one
+SELECT c.id + 1000000, c.store_id, c.id, a.user_id, lower(c.name), 'later'
+FROM {categories} c LEFT JOIN {store_actor} a ON c.store_id = a.store_id WHERE c.id % 4 = 0
+UNION ALL
+SELECT cast(-1 as bigint) - a.store_id, a.store_id, cast(-1 as bigint), a.user_id, 'none', NULL FROM {store_actor} a
 """
 
 MAPPING["category_deletes"] = """
-SELECT store_id, id FROM {categories} WHERE id % 4 = 1
+SELECT c.store_id, c.id, a.user_id FROM {categories} c LEFT JOIN {store_actor} a ON c.store_id = a.store_id
+WHERE c.id % 4 = 1
+UNION ALL  -- a second time; an unknown one
+SELECT c.store_id, c.id, a.user_id FROM {categories} c LEFT JOIN {store_actor} a ON c.store_id = a.store_id
+WHERE c.id % 8 = 1
+UNION ALL
+SELECT a.store_id, cast(-1 as bigint), a.user_id FROM {store_actor} a
 """
 
 MAPPING["store_creates"] = """
@@ -393,8 +466,11 @@ SELECT user_id, (user_id + 1) % 25 FROM {users}
 """
 
 MAPPING["store_updates"] = """
-SELECT u.user_id, s.id, concat(s.name, ' main') AS name, s.location, 'owner' AS owner_name
+SELECT u.user_id * 2 AS request_id, u.user_id, s.id, concat(s.name, ' main') AS name, s.location, 'owner' AS owner_name
 FROM {store} s JOIN {store_pairs} u ON s.id = u.store_id WHERE s.id % 2 = 0
+UNION ALL  -- the same user once more
+SELECT u.user_id * 2 + 1, u.user_id, s.id, concat(s.name, ' again'), s.location, cast(u.user_id as string)
+FROM {store} s JOIN {store_pairs} u ON s.id = u.store_id WHERE s.id % 4 = 0
 """
 
 MAPPING["store_deletes"] = """
@@ -439,6 +515,29 @@ SELECT id, store_id, name,
 FROM {products}
 """
 
+# A stored stock snapshot that has drifted: some quantities off by one, some
+# products missing, some unknown ones.
+MAPPING["stored_products"] = """
+SELECT id, store_id, cast(CASE WHEN id % 10 = 3 THEN quantity + 1 ELSE quantity END as int) AS quantity
+FROM {products} WHERE id % 10 <> 4
+UNION ALL
+SELECT id + 10000000, store_id, quantity FROM {products} WHERE id % 10 = 5
+"""
+
+# Tables with dangling keys for the reference check.
+MAPPING["dangling_products"] = """
+SELECT id, CASE WHEN id % 9 = 0 THEN category_id + 1000000 ELSE category_id END AS category_id FROM {products}
+"""
+
+MAPPING["dangling_reviews"] = """
+SELECT id, CASE WHEN id % 8 = 0 THEN product_id + 10000000 ELSE product_id END AS product_id,
+       CASE WHEN id % 7 = 0 THEN user_id + 10000000 ELSE user_id END AS user_id FROM {product_reviews}
+"""
+
+MAPPING["dangling_categories"] = """
+SELECT id, CASE WHEN id % 6 = 0 THEN store_id + 1000 ELSE store_id END AS store_id FROM {categories}
+"""
+
 MAPPING["reviews_raw"] = """
 SELECT id, product_id,
        CASE WHEN id % 10 = 0 THEN '0' WHEN id % 10 = 1 THEN '6' WHEN id % 10 = 2 THEN 'x'
@@ -467,8 +566,12 @@ JSON_K = {
 }
 
 
+# the type name of a naive timestamp literal
+NTZ = {"spark": "TIMESTAMP_NTZ", "duckdb": "TIMESTAMP"}
+
+
 def references(sql: str) -> list[str]:
-    return [m for m in _REF.findall(sql) if m != "json_k"]
+    return [m for m in _REF.findall(sql) if m not in ("json_k", "ntz")]
 
 
 def closure(names: list[str]) -> list[str]:
@@ -489,11 +592,5 @@ def closure(names: list[str]) -> list[str]:
 
 def render(sql: str, engine: str) -> str:
     """Plain SQL text for ``engine`` with table references as bare names."""
-    sql = sql.replace("{json_k}", JSON_K[engine])
+    sql = sql.replace("{json_k}", JSON_K[engine]).replace("{ntz}", NTZ[engine])
     return _REF.sub(lambda m: m.group(1), sql)
-
-
-def duckdb_with(names: list[str]) -> str:
-    """``WITH`` clause defining the canonical tables ``names`` (and their inputs)."""
-    parts = [f"{n} AS ({render(MAPPING[n], 'duckdb').strip()})" for n in closure(names)]
-    return "WITH " + ",\n".join(parts) + "\n" if parts else ""

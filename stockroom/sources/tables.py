@@ -64,7 +64,8 @@ def _raw_builder(sf_dir: str, name: str):
 
 def _mapped_builder(name: str):
     def build(t: Tables) -> DataFrame:
-        sql = fixture_sql.MAPPING[name].replace("{json_k}", fixture_sql.JSON_K["spark"])
+        sql = (fixture_sql.MAPPING[name].replace("{json_k}", fixture_sql.JSON_K["spark"])
+               .replace("{ntz}", fixture_sql.NTZ["spark"]))
         frames = {r: t[r] for r in set(fixture_sql.references(sql))}
         df = t.spark.sql(sql, **frames)
         return evolve_schema(df, name) if name in SCHEMAS else df
