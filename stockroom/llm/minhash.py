@@ -14,8 +14,9 @@ order is there. Signatures drop hopeless candidates, and the links are confirmed
 on the full sets: first each node's two best candidates, then all that still lie
 between different components. At last every wide region, and every region at
 the edge of a sorted part, is closed: its nodes outside its largest component
-are compared, signature by signature and in blocks, with all of its nodes, and
-promising pairs between components are confirmed too. So no cap hides a pair.
+are compared, in blocks, with all of its nodes, by signature and then by the full
+sets, where they lie in different components. So no cap hides a pair, and of a
+crowded region's pairs only the links that join components leave a task.
 
 A pair at the threshold of 0.85 shares no region in any of 16 orders with
 probability 7e-6, and its signature hides it with probability 3e-5; both fall
@@ -43,7 +44,7 @@ PERCENT = 85  # links: 100 * intersection >= PERCENT * union
 TREES, DEPTH, LEAST = 16, 8, 4
 HASHES = TREES * DEPTH
 WIDE, NEIGHBOURS = 32, 4
-BLOCK = 2048
+BLOCK = 1024
 MATCHES = 92  # of 128 signature values, four standard deviations under the threshold
 LAST_ID = (1 << 63) - 1
 
@@ -277,8 +278,12 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.filter("ca <> cb").select(*pairs.columns)
 
 
-def _closing(entries: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates between components in ``regions``: nodes outside a region's largest component against all its nodes."""
+def _outsiders(entries: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of ``regions`` that hold more than one component, each with the blocks it is compared in.
+
+    A region's nodes outside its largest component are asked against all its
+    nodes; both are dealt into blocks, and every pair of blocks is one group.
+    """
     members = (entries.join(small_side(regions), ["tree", "prefix"])
                .join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
                .select("tree", "prefix", "v", "n", "sketch", "c"))
@@ -289,32 +294,53 @@ def _closing(entries: DataFrame, regions: DataFrame, labels: DataFrame) -> DataF
     sizes = sizes.filter("largest < size").select(
         "tree", "prefix", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("target_blocks"),
         F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int").alias("query_blocks"))
-    rows = members.join(small_side(stored(sizes, "minhash-sizes")), ["tree", "prefix"])
+    return stored(members.join(small_side(stored(sizes, "minhash-sizes")), ["tree", "prefix"]), "minhash-outsiders")
+
+
+def _closing_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, by the full sets; a group returns as few as join what it can join."""
+    rows = rows.join(sets, "v")
     block = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["tree", "prefix", "v", "n", "sketch", "c"]
+    columns = ["tree", "prefix", "v", "n", "sketch", "c", "shingles"]
     targets = rows.select(*columns, F.lit(False).alias("query"), block("target_blocks").alias("tb"),
                           every("query_blocks").alias("qb"))
     asked = rows.filter("c <> main").select(*columns, F.lit(True).alias("query"), block("query_blocks").alias("qb"),
                                             every("target_blocks").alias("tb"))
 
     def compare(group):
+        import pandas as pd
+
         sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(group), -1)
-        v, n, c = (group[x].to_numpy() for x in ("v", "n", "c"))
+        v, n, c = (group[x].to_numpy().copy() for x in ("v", "n", "c"))
+        held = [_unpack(x) for x in group["shingles"]]
         ask = group["query"].to_numpy(dtype=bool)
-        q, t = np.flatnonzero(ask), np.flatnonzero(~ask)
-        found = []
-        for s in range(0, len(q), 64):
-            i = np.repeat(q[s:s + 64], len(t))
-            j = np.tile(t, len(q[s:s + 64]))
-            other = c[i] != c[j]
-            found.append(_pairs_of(v, n, sketch, i[other], j[other]))
-        a, b, same = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
-        import pandas as pd
-        return pd.DataFrame({"a": a, "b": b, "likeness": same}).astype({"a": "int64", "b": "int64", "likeness": "int32"})
+        targets = np.flatnonzero(~ask)
+        found: list[tuple[int, int]] = []
+        if len(targets):
+            known, place = np.unique(np.concatenate([held[t] for t in targets]), return_inverse=True)
+            ends = np.cumsum([len(held[t]) for t in targets])
+            in_query = np.zeros(len(known), dtype=bool)
+            for q in np.flatnonzero(ask):
+                near = ((c[targets] != c[q]) & (100 * np.minimum(n[targets], n[q]) >= PERCENT * np.maximum(n[targets], n[q]))
+                        & ((sketch[targets] == sketch[q]).sum(axis=1) >= MATCHES))
+                if not near.any():
+                    continue
+                at = np.searchsorted(known, held[q])
+                at = at[at < len(known)]
+                at = at[np.isin(known[at], held[q], assume_unique=True)]
+                in_query[at] = True
+                both = np.diff(np.concatenate([[0], np.cumsum(in_query[place])])[np.concatenate([[0], ends])])
+                in_query[at] = False
+                linked = near & (100 * both >= PERCENT * (n[q] + n[targets] - both))
+                for t in targets[linked]:
+                    if c[t] != c[q]:
+                        found.append((min(v[q], v[t]), max(v[q], v[t])))
+                        c[c == c[t]] = c[q]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return (targets.unionByName(asked).groupBy("tree", "prefix", "qb", "tb")
-            .applyInPandas(compare, "a long, b long, likeness int").distinct())
+            .applyInPandas(compare, "a long, b long").distinct())
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -353,13 +379,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rest = stored(_between(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels), "minhash-rest")
     labels = connect(labels, stored(_confirm(rest, sets), "minhash-links"))
 
-    closing = _closing(entries, stored(regions.distinct(), "minhash-regions"), labels).select("a", "b")
-    known = tried.unionByName(rest)
-    closing = stored(closing.join(known, ["a", "b"], "left_anti"), "minhash-closing")
-    fresh = stored(named(closing).join(live, "v", "left_anti"), "minhash-fresh")
+    rows = _outsiders(entries, stored(regions.distinct(), "minhash-regions"), labels)
+    fresh = stored(rows.select("v").distinct().join(live, "v", "left_anti"), "minhash-fresh")
     sets = sets.unionByName(_sets(docs, nodes.join(fresh, "v", "left_semi").select("v", "d", "t")))
     labels = labels.unionByName(fresh.select("v", F.col("v").alias("c")))
-    labels = connect(labels, stored(_confirm(closing, sets), "minhash-links"))
+    labels = connect(labels, stored(_closing_links(rows, sets), "minhash-links"))
 
     # classes with more than one row or more than one node; every other row stands alone
     classes = nodes.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
