@@ -109,7 +109,7 @@ def _profile(docs: DataFrame) -> DataFrame:
                 if len(some):
                     starts = bounds[:-1][some]
                     for k in range(2):  # the sets are distinct and sorted, so a sum is a key of the set
-                        keys[k, some] = mix(np.add.reduceat(mix(value + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)), starts))
+                        keys[k, some] = mix(np.add.reduceat(mix(value + np.uint64((0x9E3779B97F4A7C15, 0x3C6EF372FE94F82B)[k])), starts))
                     for i, s in zip(some, _signatures(value, starts)):
                         signature[i] = s.tobytes()
                 yield pa.record_batch(
