@@ -34,7 +34,10 @@ def sale_documents(t: Tables, with_user: bool = True, sale_keys: DataFrame | Non
     s = t.sales
     if sale_keys is not None:
         s = s.join(sale_keys.select("store_id", "id"), ["store_id", "id"], "left_semi")
-    docs = _nested_lines(t.sale_items, "sale_id", t)
+    lines = t.sale_items
+    if sale_keys is not None:  # only the wanted sales' lines are nested
+        lines = lines.join(s.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
+    docs = _nested_lines(lines, "sale_id", t)
     c = t.customers.select(F.col("id").alias("c_id"), F.col("name").alias("customer_name"),
                            F.col("email").alias("customer_email"))
     out = s.join(c, s["customer_id"] == c["c_id"], "left")
@@ -54,7 +57,10 @@ def purchase_documents(t: Tables, with_user: bool = True,
     p = t.purchases
     if purchase_keys is not None:
         p = p.join(purchase_keys.select("store_id", "id"), ["store_id", "id"], "left_semi")
-    docs = _nested_lines(t.purchase_items, "purchase_id", t)
+    lines = t.purchase_items
+    if purchase_keys is not None:
+        lines = lines.join(p.select(F.col("id").alias("purchase_id")), "purchase_id", "left_semi")
+    docs = _nested_lines(lines, "purchase_id", t)
     sup = t.suppliers.select(F.col("id").alias("s_id"), F.col("name").alias("supplier_name"),
                              F.col("email").alias("supplier_email"))
     out = p.join(sup, p["supplier_id"] == sup["s_id"], "inner")

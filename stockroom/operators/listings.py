@@ -70,7 +70,10 @@ def list_reviews(t: Tables, product_keys: DataFrame | None = None) -> DataFrame:
 
 # ---- orders: listings ------------------------------------------------------
 
-def _line_totals(lines: DataFrame, key: str) -> DataFrame:
+def _line_totals(lines: DataFrame, key: str, heads: DataFrame | None = None) -> DataFrame:
+    """Sums per order; with ``heads`` only of their lines, which are dropped before the shuffle of the sums."""
+    if heads is not None:
+        lines = lines.join(heads.select(F.col("id").alias(key)), key, "left_semi")
     return lines.groupBy(key).agg(sum_money(line_total()).alias("line_total"),
                                   F.count("id").cast("bigint").alias("line_count"))
 
@@ -80,13 +83,15 @@ def list_sales(t: Tables, store_id=None, customer_id=None, start=None, end=None,
     """Sale headers with customer (left), user (inner) and the order total.
 
     Lines are summed per sale *before* the join, so the header join sees one
-    row per sale; sales without lines total 0.
+    row per sale; sales without lines total 0. A filter on the headers reaches
+    the lines as a semi-join.
     """
     s = flt.where(t.sales, flt.eq_if("store_id", store_id), flt.eq_if("customer_id", customer_id),
                   flt.ts_range("created_at", start, end), flt.eq_if("payment_method", payment_method))
     c = t.customers.select(F.col("id").alias("c_id"), F.col("name").alias("customer_name"),
                            F.col("email").alias("customer_email"))
-    tot = _line_totals(t.sale_items, "sale_id")
+    filtered = any(x is not None for x in (store_id, customer_id, start, end, payment_method))
+    tot = _line_totals(t.sale_items, "sale_id", s if filtered else None)
     u = _users(t)
     out = (s.join(c, s["customer_id"] == c["c_id"], "left")
            .join(u, s["user_id"] == u["u_id"], "inner")
@@ -102,7 +107,8 @@ def list_purchases(t: Tables, store_id=None, supplier_id=None, start=None, end=N
                   flt.ts_range("created_at", start, end))
     sup = t.suppliers.select(F.col("id").alias("s_id"), F.col("name").alias("supplier_name"),
                              F.col("email").alias("supplier_email"))
-    tot = _line_totals(t.purchase_items, "purchase_id")
+    filtered = any(x is not None for x in (store_id, supplier_id, start, end))
+    tot = _line_totals(t.purchase_items, "purchase_id", p if filtered else None)
     u = _users(t)
     out = (p.join(sup, p["supplier_id"] == sup["s_id"], "inner")
            .join(u, p["user_id"] == u["u_id"], "inner")
@@ -159,7 +165,10 @@ def supplier_page_info(t: Tables, store_id=None, page_no: int = 1, limit: int =
     as in the source), page, limit, pages = ceil(total / limit)."""
     page_no, limit = flt.check_paging(page_no, limit)
     s = flt.where(t.suppliers, flt.eq_if("store_id", store_id))
-    return (s.groupBy("store_id").agg(count_rows().alias("total"))
+    totals = s.groupBy("store_id").agg(count_rows().alias("_n"))
+    stores = flt.where(t.store.select(F.col("id").alias("store_id")), flt.eq_if("store_id", store_id))
+    return (stores.join(totals, "store_id", "left")  # a store without suppliers has 0 of them on 0 pages
+            .withColumn("total", F.coalesce("_n", F.lit(0).cast("bigint")))
             .select("store_id", "total", F.lit(int(page_no)).alias("page"), F.lit(int(limit)).alias("limit"),
                     F.ceil(F.col("total") / F.lit(int(limit))).cast("bigint").alias("pages")))
 
@@ -175,21 +184,27 @@ def supplier_purchases(t: Tables, start=None, end=None, page_no: int = 1, limit:
     if supplier_keys is not None:
         k = supplier_keys.select("store_id", F.col("id").alias("supplier_id"))
         p = p.join(k, ["store_id", "supplier_id"], "left_semi")
-    tot = _line_totals(t.purchase_items, "purchase_id")
-    out = p.join(tot, p["id"] == tot["purchase_id"], "left").select(
+    # the page first: only its purchases' lines are summed
+    p = _paged(p, ["store_id", "supplier_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], page_no, limit)
+    tot = _line_totals(t.purchase_items, "purchase_id", p)
+    return p.join(tot, p["id"] == tot["purchase_id"], "left").select(
         *[p[c] for c in p.columns],
         F.coalesce("line_total", F.lit(0).cast("decimal(38,2)")).alias("total_amount"),
         F.coalesce("line_count", F.lit(0).cast("bigint")).alias("total_items"))
-    return _paged(out, ["store_id", "supplier_id"], [F.col("created_at").desc_nulls_first(), F.col("id")],
-                  page_no, limit)
 
 
 def supplier_purchases_count(t: Tables, start=None, end=None, page_no: int = 1,
                              limit: int = 10) -> DataFrame:
-    """Paging envelope per (store, supplier): distinct purchases with the same dates."""
+    """Paging envelope per (store, supplier): distinct purchases with the same dates, 0 where there are none.
+
+    One row for every supplier, in its own store.
+    """
     page_no, limit = flt.check_paging(page_no, limit)
     p = flt.where(t.purchases, flt.ts_range("created_at", start, end))
-    return (p.groupBy("store_id", "supplier_id").agg(F.countDistinct("id").cast("bigint").alias("total"))
+    n = p.groupBy("store_id", "supplier_id").agg(F.countDistinct("id").cast("bigint").alias("_n"))
+    s = t.suppliers.select("store_id", F.col("id").alias("supplier_id"))
+    return (s.join(n, ["store_id", "supplier_id"], "left")
+            .withColumn("total", F.coalesce("_n", F.lit(0).cast("bigint")))
             .select("store_id", "supplier_id", "total", F.lit(int(page_no)).alias("page"),
                     F.lit(int(limit)).alias("limit"),
                     F.ceil(F.col("total") / F.lit(int(limit))).cast("bigint").alias("pages")))
@@ -231,7 +246,7 @@ def store_users(t: Tables, store_id=None) -> DataFrame:
 
 
 def list_transactions(ledger: DataFrame, store_id=None, product_id=None) -> DataFrame:
-    """Ledger entries of a store (or of one product), newest first."""
+    """Ledger entries of a store (or of one product), newest first, ties by change id."""
     out = flt.where(ledger, flt.eq_if("store_id", store_id), flt.eq_if("product_id", product_id))
-    return out.orderBy(F.col("created_at").desc_nulls_first())
+    return out.orderBy(F.col("created_at").desc_nulls_first(), F.col("change_id").desc_nulls_last())
 

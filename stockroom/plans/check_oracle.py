@@ -73,16 +73,16 @@ FROM {products_raw} p JOIN (SELECT store_id, trim(barcode) AS b, cast(count(*) a
 """)
 
 oracle("check_references", """
-SELECT 'product.category_id' AS relation, id, category_id AS missing_key FROM {products}
-WHERE category_id IS NOT NULL AND category_id NOT IN (SELECT id FROM {categories})
+SELECT 'product.category_id' AS relation, id, category_id AS missing_key FROM {dangling_products}
+WHERE category_id IS NOT NULL AND category_id NOT IN (SELECT id FROM {dangling_categories})
 UNION ALL
-SELECT 'review.product_id', id, product_id FROM {product_reviews}
-WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM {products})
+SELECT 'review.product_id', id, product_id FROM {dangling_reviews}
+WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM {dangling_products})
 UNION ALL
-SELECT 'review.user_id', id, user_id FROM {product_reviews}
+SELECT 'review.user_id', id, user_id FROM {dangling_reviews}
 WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM {users})
 UNION ALL
-SELECT 'category.store_id', id, store_id FROM {categories}
+SELECT 'category.store_id', id, store_id FROM {dangling_categories}
 WHERE store_id IS NOT NULL AND store_id NOT IN (SELECT id FROM {store})
 """)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ledger_plans import AS_OF
 from .oracle import oracle
+from .source_plans import STORED
 
 _COLS = ("change_id", "store_id", "product_id", "type", "quantity", "unit_price", "created_by",
          "reference_id", "notes", "created_at")
@@ -63,10 +64,14 @@ SELECT coalesce(s.product_id, e.product_id) AS product_id, s.stored_quantity, e.
             WHEN e.expected_quantity IS NULL AND s.stored_quantity IS NOT NULL THEN 'missing_expected'
             WHEN s.stored_quantity = e.expected_quantity THEN 'ok'
             WHEN s.stored_quantity IS NULL THEN 'ok' ELSE 'mismatch' END AS status
-FROM (SELECT id AS product_id, cast(quantity as bigint) AS stored_quantity FROM {products}) s
+FROM (SELECT id AS product_id, cast(quantity as bigint) AS stored_quantity FROM {stored}) s
 FULL OUTER JOIN (SELECT product_id, quantity_on_hand AS expected_quantity FROM {onhand}) e
   ON s.product_id = e.product_id
-""", [("ledger", STOCK_LEDGER), ("onhand", _ON_HAND)])
+""", [("ledger", STOCK_LEDGER), ("onhand", _ON_HAND), ("stored", """
+SELECT o.product_id AS id, CASE WHEN o.product_id % 10 = 3 THEN o.quantity_on_hand + 1 ELSE o.quantity_on_hand END AS quantity
+FROM {onhand} o WHERE o.product_id % 10 <> 4
+UNION ALL SELECT p.id + 10000000, p.quantity FROM {products} p WHERE p.id % 10 = 5
+""")])
 
 
 def _audit_lines(tbl: str, rules: dict) -> str:
@@ -153,5 +158,12 @@ oracle("stream_stock_ledger", STOCK_LEDGER)
 oracle("stream_stock_on_hand", _ON_HAND, [("ledger", STOCK_LEDGER)])
 
 # Sources and sinks: what is read back must equal what went in.
-oracle("append_ledger", SALE + "\nUNION ALL\n" + PURCHASE)
+oracle("append_ledger", STOCK_LEDGER)
 oracle("load_tables", "SELECT * FROM {products}")
+for _name in STORED:
+    if _name != "products":
+        oracle(f"load_tables_{_name}", f"SELECT * FROM {{{_name}}}")
+oracle("load_tables_old_sales", """
+SELECT * REPLACE ('pending' AS payment_status, cast(0 as decimal(10,2)) AS discount, cast(0 as decimal(10,2)) AS tax,
+                  cast(NULL as timestamp) AS last_updated_at) FROM {sales}
+""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as G
 from ..operators.listings import list_transactions
+from ..operators.orders import next_products
 from ..sources.changes import line_change_records
 from .registry import register
 
@@ -26,7 +27,17 @@ register("ledger_sale_reversal")(lambda t: G.stock_ledger(changes(t), types=["sa
 register("ledger_purchase_reversal")(lambda t: G.stock_ledger(changes(t), types=["purchase_reversal"]))
 register("stock_ledger")(stock_ledger)
 register("stock_on_hand")(lambda t: G.stock_on_hand(t.products, stock_ledger(t)))
-register("stock_reconciliation")(lambda t: G.stock_reconciliation(t.products, t.products, stock_ledger(t)))
+def stock_reconciliation(t):
+    """The snapshot after the movements, with some rows altered, removed and added, against opening plus ledger."""
+    after = next_products(t.products, changes(t))
+    drifted = t.stored_products.select("id", (F.col("quantity") - F.col("opening")).alias("drift"), "known")
+    stored = after.join(drifted, "id").select(
+        "id", "store_id", (F.col("quantity") + F.col("drift")).cast("int").alias("quantity"))
+    unknown = t.stored_products.filter("NOT known").select("id", "store_id", "quantity")
+    return G.stock_reconciliation(stored.unionByName(unknown), t.products, stock_ledger(t))
+
+
+register("stock_reconciliation")(stock_reconciliation)
 register("audit_sale_items")(
     lambda t: G.audit_line_entries(changes(t).filter(F.col("table") == "sale_items"), t.products)[0])
 register("audit_purchase_items")(

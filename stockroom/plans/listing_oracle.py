@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .listing_plans import (MAX_PRICE, MIN_PRICE, PAYMENT_METHOD, PRODUCT_SEARCH, SP_LIMIT, SP_PAGE,
                             SP_START, SUPPLIER_LIMIT, SUPPLIER_PAGE, SUPPLIER_SEARCH, WILDCARD_SEARCH)
-from .oracle import MONEY, oracle
+from .oracle import MONEY, ORACLE, oracle
 from .registry import RANGE_END, RANGE_START
 
 _PRODUCTS = """
@@ -62,6 +62,8 @@ SELECT s.*, c.name AS customer_name, c.email AS customer_email, u.name AS user_n
 FROM {sales} s LEFT JOIN {customers} c ON s.customer_id = c.id
 JOIN {users} u ON s.user_id = u.user_id JOIN {docs} d ON s.id = d.sale_id
 """, [_SALE_DOCS])
+oracle("export_json", ORACLE["sale_documents"])
+oracle("json_documents", ORACLE["sale_documents"])
 oracle("sale_documents_after_update", """
 SELECT s.*, c.name AS customer_name, c.email AS customer_email, d.items
 FROM {sales} s LEFT JOIN {customers} c ON s.customer_id = c.id JOIN {docs} d ON s.id = d.sale_id
@@ -123,9 +125,9 @@ oracle("list_suppliers_store", """
 SELECT * FROM {suppliers} WHERE store_id = 3 ORDER BY name, id LIMIT 10 OFFSET 0
 """)
 oracle("supplier_page_info", f"""
-SELECT store_id, cast(count(*) as bigint) AS total, {SUPPLIER_PAGE} AS page, {SUPPLIER_LIMIT} AS "limit",
-       cast(ceil(count(*) / {SUPPLIER_LIMIT}) as bigint) AS pages
-FROM {{suppliers}} GROUP BY store_id
+SELECT st.id AS store_id, cast(count(s.id) as bigint) AS total, {SUPPLIER_PAGE} AS page, {SUPPLIER_LIMIT} AS "limit",
+       cast(ceil(count(s.id) / {SUPPLIER_LIMIT}) as bigint) AS pages
+FROM {{store}} st LEFT JOIN {{suppliers}} s ON s.store_id = st.id GROUP BY st.id
 """)
 oracle("supplier_detail", """
 SELECT s.* FROM {suppliers} s
@@ -146,10 +148,11 @@ SELECT * EXCLUDE (rn) FROM (
 ) y WHERE rn > {_slo} AND rn <= {_shi}
 """)
 oracle("supplier_purchases_count", f"""
-SELECT p.store_id, p.supplier_id, cast(count(DISTINCT p.id) as bigint) AS total, {SP_PAGE} AS page,
+SELECT s.store_id, s.id AS supplier_id, cast(count(DISTINCT p.id) as bigint) AS total, {SP_PAGE} AS page,
        {SP_LIMIT} AS "limit", cast(ceil(count(DISTINCT p.id) / {SP_LIMIT}) as bigint) AS pages
-FROM {{purchases}} p WHERE p.created_at >= TIMESTAMP '{SP_START} 00:00:00'
-GROUP BY p.store_id, p.supplier_id
+FROM {{suppliers}} s LEFT JOIN {{purchases}} p ON p.supplier_id = s.id AND p.store_id = s.store_id
+  AND p.created_at >= TIMESTAMP '{SP_START} 00:00:00'
+GROUP BY s.store_id, s.id
 """)
 
 oracle("list_categories", "SELECT * FROM {categories}")

@@ -5,38 +5,65 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.documents import sale_documents
-from ..operators.ledger import stock_ledger
+from ..operators.ledger import STOCK_RULES, STOCK_UPDATE_RULES, stock_ledger
 from ..session import scratch_dir
+from ..sources.schemas import SCHEMAS
 from ..sources.sinks import append_ledger, export_json, read_ledger, to_json_documents
 from ..sources.tables import load_tables, write_tables
 from .ledger_plans import changes
 from .registry import register
 
+# the mapped tables; the ledger has queries of its own
+STORED = [n for n in SCHEMAS if n != "inventory_transactions"]
+LEDGER_TYPES = [r[0] for r in (*STOCK_RULES.values(), *STOCK_UPDATE_RULES.values())]
 
-def _load_tables(t):
-    """Write the canonical tables as parquet, read them back with fixed schemas."""
+
+def _load(name):
+    """Write one canonical table as parquet, read it back with its fixed schema."""
+    def run(t):
+        root = scratch_dir(t.spark, "tables")
+        write_tables(t, root, [name])
+        return load_tables(t.spark, root, [name])[name]
+    return run
+
+
+def _load_old(t):
+    """A sales table stored before the schema updates, read with the declared defaults."""
     root = scratch_dir(t.spark, "tables")
-    write_tables(t, root, ["products", "store", "sales"])
-    return load_tables(t.spark, root, ["products"]).products
+    added = ["payment_status", "discount", "tax", "last_updated_at"]
+    t.sales.drop(*added).write.parquet(f"{root}/sales")
+    return load_tables(t.spark, root, ["sales"], {"sales": added}).sales
 
 
 def _append_ledger(t):
-    """Two batches appended to the ledger table (sales, then purchases), read back."""
+    """One batch per movement type appended to the ledger table, read back."""
     path = scratch_dir(t.spark, "ledger")
     ch = changes(t)
-    append_ledger(stock_ledger(ch, types=["sale"]), path)
-    append_ledger(stock_ledger(ch, types=["purchase"]), path)
+    for kind in LEDGER_TYPES:
+        append_ledger(stock_ledger(ch, types=[kind]), path)
     return read_ledger(t.spark, path)
 
 
 def _export_json(t):
-    """Sale documents exported as JSON lines, read back as text."""
+    """Sale documents exported as JSON lines, read back with their schema."""
     path = scratch_dir(t.spark, "export")
-    export_json(sale_documents(t), path)
-    return t.spark.read.text(path).select(F.col("value").alias("json"))
+    docs = sale_documents(t)
+    export_json(docs, path)
+    return t.spark.read.schema(docs.schema).json(path)
+
+
+def _json_documents(t):
+    """Sale documents as JSON texts, parsed again with their schema."""
+    docs = sale_documents(t)
+    parsed = F.from_json("json", docs.schema)
+    return to_json_documents(docs).select(parsed.alias("d")).select("d.*")
 
 
-register("load_tables")(_load_tables)
+register("load_tables")(_load("products"))
+for _name in STORED:
+    if _name != "products":
+        register(f"load_tables_{_name}")(_load(_name))
+register("load_tables_old_sales")(_load_old)
 register("append_ledger")(_append_ledger)
 register("export_json")(_export_json)
-register("json_documents")(lambda t: to_json_documents(sale_documents(t)))
+register("json_documents")(_json_documents)

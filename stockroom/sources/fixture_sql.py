@@ -518,10 +518,11 @@ FROM {products}
 # A stored stock snapshot that has drifted: some quantities off by one, some
 # products missing, some unknown ones.
 MAPPING["stored_products"] = """
-SELECT id, store_id, cast(CASE WHEN id % 10 = 3 THEN quantity + 1 ELSE quantity END as int) AS quantity
+SELECT id, store_id, cast(CASE WHEN id % 10 = 3 THEN quantity + 1 ELSE quantity END as int) AS quantity,
+       quantity AS opening, true AS known
 FROM {products} WHERE id % 10 <> 4
 UNION ALL
-SELECT id + 10000000, store_id, quantity FROM {products} WHERE id % 10 = 5
+SELECT id + 10000000, store_id, quantity, quantity, false FROM {products} WHERE id % 10 = 5
 """
 
 # Tables with dangling keys for the reference check.

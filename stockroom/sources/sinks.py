@@ -15,14 +15,15 @@ from .schemas import SCHEMAS
 def append_ledger(ledger: DataFrame, path: str) -> None:
     """Append ledger rows to the ``inventory_transactions`` table, partitioned by store.
 
-    Partitioning by store lets per-store listings prune whole folders. For a
+    Partitioning by store lets per-store listings prune whole folders; rows of
+    a store are brought together before (a large store in several tasks). For a
     streaming source use ``foreachBatch`` with a folder per batch id (see
     :mod:`stockroom.streaming.ledger_stream`) so a replayed batch is not
     appended twice.
     """
     cols = [f.name for f in SCHEMAS["inventory_transactions"].fields]
     extra = [c for c in ledger.columns if c not in cols]
-    ledger.select(*cols, *extra).write.mode("append").partitionBy("store_id").parquet(path)
+    ledger.select(*cols, *extra).hint("rebalance", "store_id").write.mode("append").partitionBy("store_id").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from . import fixture_sql
 from .schemas import SCHEMAS, evolve_schema
@@ -80,31 +81,39 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, builders)
 
 
-def load_tables(spark: SparkSession, root: str, tables: list[str] | None = None) -> Tables:
+def load_tables(spark: SparkSession, root: str, tables: list[str] | None = None,
+                predate: dict[str, list[str]] | None = None) -> Tables:
     """Read canonical tables written as ``{root}/{table}`` parquet folders.
 
-    The schema is given, never inferred; columns added by later schema
-    versions are filled by :func:`evolve_schema` if the files predate them.
+    The schema is given, never inferred: no file footer is read to plan a
+    query. ``predate`` declares, per table, the columns that its files are too
+    old to have; :func:`evolve_schema` fills those with their defaults.
     """
     names = tables or list(SCHEMAS)
+    absent = predate or {}
 
     def reader(name: str):
         def build(t: Tables) -> DataFrame:
             path = os.path.join(root, name)
-            df = t.spark.read.option("mergeSchema", "true").parquet(path)
-            return evolve_schema(df, name)
+            schema = StructType([f for f in SCHEMAS[name].fields if f.name not in absent.get(name, [])])
+            return evolve_schema(t.spark.read.schema(schema).parquet(path), name)
         return build
 
     return Tables(spark, {n: reader(n) for n in names})
 
 
 def write_tables(t: Tables, root: str, tables: list[str] | None = None) -> None:
-    """Write canonical tables as parquet; fact tables partitioned by store."""
+    """Write canonical tables as parquet; fact tables partitioned by store.
+
+    Rows of a store are brought together first (a large store in several
+    tasks), so files follow the data's size and not tasks times stores.
+    """
     for name in tables or [n for n in SCHEMAS if n in t]:
         df = t[name]
-        writer = df.write.mode("overwrite")
         if "store_id" in df.columns and name in ("products", "sales", "purchases", "inventory_transactions"):
-            writer = writer.partitionBy("store_id")
+            writer = df.hint("rebalance", "store_id").write.mode("overwrite").partitionBy("store_id")
+        else:
+            writer = df.write.mode("overwrite")
         writer.parquet(os.path.join(root, name))
 
 
