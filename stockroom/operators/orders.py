@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import largest, number_rows
 from ..functions.lineage import cut, cut_and_count
-from ..functions.prefix import sum_before
+from ..functions.prefix import BUCKET, bucketed, sum_before
 from ..sources.changes import LINE_CHANGE
 from ..sources.schemas import MONEY, evolve_schema
 from ..sources.tables import Tables
@@ -54,6 +54,11 @@ def _lines(req: DataFrame, key: str, extra: list[str]) -> DataFrame:
         F.col("item.quantity").alias("quantity"), F.col("item.unit_price").alias("unit_price"))
 
 
+# post_sales: after so many set-based rounds a rest of at most so many open
+# requests is decided one by one in one task, which bounds the rounds.
+SET_ROUNDS = 4
+TAIL_REQUESTS = 100_000
+
 SEVERAL = "Several requests for one order in a batch"
 
 
@@ -122,7 +127,9 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     request sees only decided requests before it, so each round decides at
     least one request and the loop ends; the verdicts equal one-by-one
     posting (for positive quantities, an order's lines of one product pass
-    in turn iff their sum fits). The driver only counts open requests per
+    in turn iff their sum fits). Orders that wait for one another in a long
+    chain would cost a round each, so after SET_ROUNDS rounds a rest of up to
+    TAIL_REQUESTS open requests is decided one by one. The driver only counts open requests per
     round; the state is checkpointed each round
     (:func:`~stockroom.functions.lineage.cut`) to cut the lineage.
 
@@ -155,7 +162,7 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     lines = (_lines(requests, key, ["store_id", "requested_at"])
              .join(prod.withColumn("_found", F.lit(True)), ["product_id", "store_id"], "left"))
     static_bad = F.col("_found").isNull() | F.col("quantity").isNull() | (F.col("quantity") <= 0)
-    lines = cut(lines.withColumn("_static_bad", static_bad))
+    lines = bucketed(lines.withColumn("_static_bad", static_bad), ["product_id", "requested_at", key, "pos"])
 
     bad_req = lines.filter("_static_bad").select(key).distinct()
     state0 = (heads.join(bad_req.withColumn("_lb", F.lit(True)), key, "left")
@@ -164,7 +171,9 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
 
     # -- demand per (request, product) of requests still in play
     demand = (lines.filter(~F.col("_static_bad"))
-              .groupBy(key, "product_id", "requested_at").agg(F.sum("quantity").cast("bigint").alias("q"))
+              .groupBy(key, "product_id", "requested_at")
+              # an order's lines of a product may lie in two buckets: the first of them keeps the order
+              .agg(F.sum("quantity").cast("bigint").alias("q"), F.min(BUCKET).alias(BUCKET))
               .join(prod.select("product_id", "stock"), "product_id"))
     demand = demand.join(state0.filter("status = 'open'"), key, "left_semi").persist()
 
@@ -176,6 +185,10 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
                 .otherwise(F.col("status")).alias("status")), "status = 'open'")
     rounds = 0
     while n_open > 0:  # ends: each round decides at least the earliest open request
+        if rounds >= SET_ROUNDS and n_open <= TAIL_REQUESTS:
+            rounds += 1
+            state = cut(_post_tail(demand, state, key))
+            break
         rounds += 1
         d = demand.join(state, key)
         if rounds > 1:
@@ -204,7 +217,9 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     # -- reasons of rejected requests: first failing line at the stock the order saw
     st = state.join(heads.select(key, "head_reason"), key)
     acc = state.filter("status = 'accepted'").select(key).withColumn("_acc", F.lit(True))
-    ln = lines.join(acc, key, "left").withColumn(
+    # only products of rejected orders matter here: accepted lines need no running sum
+    asked = lines.join(state.filter("status = 'rejected'").select(key), key, "left_semi").select("product_id").distinct()
+    ln = lines.join(asked, "product_id", "left_semi").join(acc, key, "left").withColumn(
         "take", F.when(F.col("_acc") & ~F.col("_static_bad"), F.col("quantity")).otherwise(F.lit(0)))
     ln = ln.withColumn("_order", F.col("pos"))
     ln = sum_before(ln, "product_id", "requested_at", [key, "_order"], ["take"])
@@ -238,6 +253,40 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     return out
 
 
+def _post_tail(demand: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """``state`` with the open requests decided one by one, in one task.
+
+    Called for at most TAIL_REQUESTS open requests, however long the chain of
+    orders that wait for one another. What they see of the stock -- the
+    opening less the accepted orders before them -- comes from the running
+    sums; the task only adds what it accepts itself.
+    """
+    d = demand.join(state, key)
+    d = d.join(d.filter("status = 'open'").select("product_id").distinct(), "product_id", "left_semi")
+    d = d.withColumn("lo", F.when(F.col("status") == "accepted", F.col("q")).otherwise(F.lit(0)))
+    d = sum_before(d, "product_id", "requested_at", [key], ["lo"]).filter("status = 'open'")
+    rows = d.select(key, "requested_at", "product_id", (F.col("stock") - F.col("lo_before")).alias("left"), "q")
+
+    def decide(group):
+        import pandas as pd
+
+        group = group.sort_values(["requested_at", key], na_position="first", kind="stable")
+        taken: dict[int, int] = {}
+        out = []
+        for request, lines in group.groupby(key, sort=False):
+            lines = list(zip(lines["product_id"], lines["left"], lines["q"]))
+            ok = all(left is None or left != left or left - taken.get(p, 0) >= q for p, left, q in lines)
+            if ok:
+                for p, _, q in lines:
+                    taken[p] = taken.get(p, 0) + q
+            out.append((request, "accepted" if ok else "rejected"))
+        return pd.DataFrame(out, columns=[key, "verdict"])
+
+    verdict = rows.groupBy(F.lit(0).alias("all")).applyInPandas(decide, f"{key} long, verdict string")
+    return (state.join(verdict, key, "left")
+            .select(key, F.coalesce("verdict", "status").alias("status")))
+
+
 def _new_lines(lines: DataFrame, heads: DataFrame, kind: str, last_id: int, last_change_id: int
                ) -> tuple[DataFrame, DataFrame]:
     """Lines (request_id, pos, ...) of the new orders ``heads``, numbered in order, and their 'I' change records.

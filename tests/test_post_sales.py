@@ -59,8 +59,8 @@ def brute_force(requests, products, customers, user_store):
 def run(t, requests):
     out = O.post_sales(requests, t, t.user_store)
     got = {r["request_id"]: r["reason"] for r in out.rejects.collect()}
-    for r in out.rows.select("id").collect():
-        got[r["id"]] = None
+    for r in out.keys.collect():
+        got[r["request_id"]] = None
     return got, out
 
 
@@ -121,7 +121,8 @@ def test_golden_cases(spark, t_small):
         4: None, 5: "Not enough stock for product pear", 6: None, 7: "Invalid Customer",
         8: "Product with ID 9 not found in store", 9: "Access denied", 10: "Insufficient permissions",
     }
-    lines = {(r["sale_id"], r["product_id"]): (r["quantity"], r["unit_price"]) for r in out.ledger.collect()}
+    asked = {r["id"]: r["request_id"] for r in out.keys.collect()}
+    lines = {(asked[r["sale_id"]], r["product_id"]): (r["quantity"], r["unit_price"]) for r in out.ledger.collect()}
     assert lines[(1, 1)] == (5, Decimal("2.00"))   # price from the product
     assert set(lines) == {(1, 1), (4, 2), (6, 3)}
 
@@ -129,8 +130,6 @@ def test_golden_cases(spark, t_small):
 def test_post_then_reverse_restores_stock(spark, t_small):
     from stockroom.operators.ledger import stock_on_hand, stock_ledger
     req = O.nest_items(t_small.sale_request_headers, t_small.sale_request_lines, "request_id")
-    # new sale ids must not collide with existing sales
-    req = req.withColumn("request_id", F.col("request_id") + 10_000_000)
     posted = O.post_sales(req, t_small, t_small.user_store)
     t2 = t_small.replace(sales=t_small.sales.unionByName(posted.rows),
                          sale_items=t_small.sale_items.unionByName(posted.ledger))
@@ -141,3 +140,66 @@ def test_post_then_reverse_restores_stock(spark, t_small):
     # never negative stock from a non-negative opening
     assert stock_on_hand(t_small.products, stock_ledger(posted.extra)).filter(
         "opening_quantity >= 0 AND quantity_on_hand < 0").count() == 0
+
+
+def _one_store(spark, t_small, n_products, stock):
+    from stockroom.sources.schemas import evolve_schema
+    products = spark.range(1, n_products + 1).select(
+        "id", F.lit(1).cast("long").alias("store_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"),
+        F.lit(stock).cast("int").alias("quantity"), F.lit(Decimal("1.00")).alias("price"))
+    return t_small.replace(products=evolve_schema(products, "products"),
+                           customers=spark.createDataFrame([], "id long, store_id long, name string, email string"),
+                           user_store=spark.createDataFrame([(7, 1, "cashier")], "user_id long, store_id long, role string"))
+
+
+def _both(t, req):
+    got, out = run(t, req)
+    want = brute_force([r.asDict(recursive=True) for r in req.collect()], [r.asDict() for r in t.products.collect()],
+                       [], [r.asDict() for r in t.user_store.collect()])
+    assert got == want
+    return out
+
+
+def test_long_chain_takes_few_rounds(spark, t_small):
+    """Every order shares a product with the next: one at a time, a round each; here the tail is bounded."""
+    t = _one_store(spark, t_small, 301, 1)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, 1, 7, None, "cash", None, at + dt.timedelta(minutes=i), [(i, 1, None), (i + 1, 1, None)])
+            for i in range(1, 301)]
+    assert _both(t, _req(spark, rows)).rounds <= O.SET_ROUNDS + 1
+
+
+def test_hot_product_at_one_time_is_split(spark, t_small):
+    """One product and one timestamp for all requests: its rows still lie in several buckets."""
+    from stockroom.functions.prefix import BUCKET, bucketed
+    t = _one_store(spark, t_small, 3, 40)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, 1, 7, None, "cash", None, at, [(1, 1 + i % 3, None)]) for i in range(1, 201)]
+    _both(t, _req(spark, rows))
+    hot = spark.range(4000).select(F.col("id"), F.lit(1).alias("product_id"), F.lit(at).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in bucketed(hot, ["product_id", "ts", "id"]).groupBy(BUCKET).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) < 2000
+
+
+def test_two_batches_have_distinct_ids(spark, t_small):
+    """Two batches in a row, one order of them with 1,200 lines: every id and change id is given once."""
+    t = _one_store(spark, t_small, 1200, 100)
+    at = dt.datetime(2024, 1, 1)
+    one = _req(spark, [(1, 1, 7, None, "cash", None, at, [(i, 1, None) for i in range(1, 1201)]),
+                       (2, 1, 7, None, "cash", None, at, [(5, 1, None)])])
+    a = O.post_sales(one, t, t.user_store)
+    t2 = t.replace(sales=t.sales.unionByName(a.rows), sale_items=t.sale_items.unionByName(a.ledger),
+                   products=O.next_products(t.products, a.extra, "2024-01-02 00:00:00"))
+    b = O.post_sales(one, t2, t.user_store, last_change_id=1201)
+    ids = [r["id"] for r in t2.sale_items.unionByName(b.ledger).select("id").collect()]
+    assert len(ids) == len(set(ids)) and b.ledger.count() == 1201
+    heads = [r["id"] for r in t2.sales.unionByName(b.rows).select("id").collect()]
+    assert len(heads) == len(set(heads))
+    changes = [r["change_id"] for r in a.extra.unionByName(b.extra).select("change_id").collect()]
+    assert sorted(changes) == list(range(1, 2403))
+    left = {r["id"]: r["quantity"] for r in O.next_products(t2.products, b.extra).collect()}
+    assert left[1] == 98 and left[5] == 96

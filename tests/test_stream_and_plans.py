@@ -86,3 +86,52 @@ def test_stream_static_header_join_fills_missing_fields(spark, t_small):
     S.run_stock_ledger(spark, f"{base}/changes", f"{base}/ledger", f"{base}/ckpt",
                        headers=(t_small.sales, t_small.purchases))
     assert _rows(spark.read.parquet(f"{base}/ledger")) == _rows(stock_ledger(ch))
+
+
+def test_records_without_change_id_stay_in_the_stream(spark, t_small):
+    ch = changes(t_small).withColumn("change_id", F.lit(None).cast("bigint"))
+    base = scratch_dir(spark, "test-null-ids")
+    ch.write.parquet(f"{base}/changes")
+    S.run_stock_ledger(spark, f"{base}/changes", f"{base}/ledger", f"{base}/ckpt", dedupe="all")
+    assert spark.read.parquet(f"{base}/ledger").count() == stock_ledger(ch).count()
+
+
+def test_a_corrupt_file_raises(spark, t_small):
+    base = scratch_dir(spark, "test-corrupt")
+    write_change_files(changes(t_small), f"{base}/changes", 100_000)
+    S.run_stock_on_hand(spark, f"{base}/changes", f"{base}/out", f"{base}/ckpt")
+    import glob
+    path = base.removeprefix("file:")
+    victim = sorted(glob.glob(f"{path}/out/batch_id=*/part-*.parquet"))[0]
+    with open(victim, "wb") as f:
+        f.write(b"not parquet at all, whatever its name says")
+    with pytest.raises(Exception):
+        S.read_stock_on_hand(spark, f"{base}/out", t_small.products).collect()
+
+
+def test_nothing_written_is_no_movement(spark, t_small):
+    got = S.read_stock_on_hand(spark, scratch_dir(spark, "test-none"), t_small.products)
+    assert got.filter("movement <> 0").count() == 0 and got.count() == t_small.products.count()
+
+
+def test_snapshot_and_newer_batches(spark, t_small):
+    ch = changes(t_small)
+    base = scratch_dir(spark, "test-newer")
+    half = ch.filter("change_id % 2 = 0")
+    write_change_files(half, f"{base}/changes", 100_000)
+    S.run_stock_on_hand(spark, f"{base}/changes", f"{base}/out", f"{base}/ckpt")
+    S.compact_stock_on_hand(spark, f"{base}/out", f"{base}/snap")
+    ch.filter("change_id % 2 = 1").write.mode("append").parquet(f"{base}/changes")
+    S.run_stock_on_hand(spark, f"{base}/changes", f"{base}/out", f"{base}/ckpt")
+    got = S.read_stock_on_hand(spark, f"{base}/out", t_small.products, f"{base}/snap")
+    assert _rows(got) == _rows(stock_on_hand(t_small.products, stock_ledger(ch)))
+    S.compact_stock_on_hand(spark, f"{base}/out", f"{base}/snap2", f"{base}/snap")
+    again = S.read_stock_on_hand(spark, f"{base}/out", t_small.products, f"{base}/snap2")
+    assert _rows(again) == _rows(got)
+
+
+def test_header_filter_reaches_the_lines(spark, t_small):
+    from stockroom.operators.listings import list_sales
+    plan = list_sales(t_small, store_id=3, payment_method="1-URGENT")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftSemi") < plan.rindex("l_orderkey")
+    assert "LeftSemi" not in list_sales(t_small)._jdf.queryExecution().optimizedPlan().toString()

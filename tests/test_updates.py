@@ -47,18 +47,24 @@ def test_sale_update_line_diff(spark, t_small):
     lines = {r["id"]: (r["product_id"], r["quantity"], r["unit_price"]) for r in out.ledger.collect()}
     assert lines == {11: (100, 8, D("2.00")),      # new quantity, old price kept
                      12: (101, 3, D("1.00")), 14: (100, 2, D("2.50")),
-                     1902: (103, 2, D("4.00"))}    # inserted at the request price
+                     22: (103, 2, D("4.00"))}      # inserted at the request price
     delta = {r["product_id"]: r["delta"] for r in O.stock_delta(out.extra).collect()}
     assert delta == {100: -3, 101: 0, 102: 1, 103: -2}
     heads = {r["id"]: (r["payment_method"], r["notes"]) for r in out.rows.collect()}
     assert heads == {1: (None, "old"), 2: ("card", "n")}   # COALESCE patch
     assert sorted((r["sale_id"], r["reason"]) for r in out.rejects.collect()) == [
         (3, "Sale not found")]
-    # several requests for one order in a batch are all rejected, with the reason
-    two = _req(spark, "sale", [(2, 1, 7, None, "card", "n", at, None), (2, 1, 7, 60, None, None, at, None)])
+    # several valid requests for one order in a batch are all rejected, with the reason
+    two = _req(spark, "sale", [(2, 1, 7, None, "card", "n", at, None), (2, 1, 7, 50, None, None, at, None)])
     out2 = O.apply_sale_updates(two, t, t.user_store)
     assert [r["reason"] for r in out2.rejects.collect()] == [O.SEVERAL, O.SEVERAL]
     assert out2.rows.count() == 0
+    # one that fails a check, or is asked by somebody without a membership, stands in no other's way
+    mixed = _req(spark, "sale", [(2, 1, 7, None, "card", "n", at, None), (2, 1, 7, 60, None, None, at, None),
+                                 (2, 1, 99, None, "no", None, at, None)])
+    out3 = O.apply_sale_updates(mixed, t, t.user_store)
+    assert sorted(r["reason"] for r in out3.rejects.collect()) == ["Access denied", "Invalid Customer"]
+    assert [(r["id"], r["payment_method"]) for r in out3.rows.collect()] == [(2, "card")]
     bad = _req(spark, "sale", [(2, 1, 7, 60, None, None, at, None)])
     assert [r["reason"] for r in O.apply_sale_updates(bad, t, t.user_store).rejects.collect()] == [
         "Invalid Customer"]
@@ -93,3 +99,26 @@ def test_reversal_returns_stock_and_rejects_unknown(spark, t_small):
     assert {r["product_id"]: r["delta"] for r in O.stock_delta(out.extra).collect()} == {100: 7, 101: 3, 102: 1}
     assert sorted((r["sale_id"], r["reason"]) for r in out.rejects.collect()) == [
         (2, "Access denied"), (9, "Sale not found")]
+
+
+def test_second_reversal_finds_no_order(spark, t_small):
+    t = _tables(spark, t_small, "sale")
+    req = spark.createDataFrame([(1, 1, 7), (1, 1, 7), (1, 1, 99)], "sale_id long, store_id long, user_id long")
+    out = O.reverse_sales(req, t, t.user_store)
+    assert {r["id"] for r in out.rows.collect()} == {2}
+    assert sorted(r["reason"] for r in out.rejects.collect()) == ["Access denied", "Sale not found"]
+
+
+def test_two_membership_rows_answer_a_request_once(spark, t_small):
+    from stockroom.operators.access import authorize_requests
+    us = spark.createDataFrame([(7, 1, "staff"), (7, 1, "manager")], "user_id long, store_id long, role string")
+    got = authorize_requests(spark.createDataFrame([(7, 1)], "user_id long, store_id long"), us, "update_sale").collect()
+    assert [(r["role"], r["allowed"]) for r in got] == [("manager", True)]
+
+
+def test_records_without_change_id_are_never_replays(spark, t_small):
+    from stockroom.operators.ledger import stock_ledger
+    from stockroom.plans.ledger_plans import changes
+    from pyspark.sql import functions as F
+    ch = changes(t_small).withColumn("change_id", F.lit(None).cast("bigint"))
+    assert stock_ledger(ch, dedupe=True).count() == stock_ledger(changes(t_small)).count()
