@@ -12,10 +12,11 @@ Results for special rows: a null or empty text has no words and is rejected
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import SPACE_CHARS, stored, text_or_empty, words_of
 
@@ -41,63 +42,62 @@ RULES = (
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), "n_dup_lines >= 5 AND 100 * n_dup_lines > 50 * n_lines"),
 )
 BASE = ("few_words", "repeated_windows")
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-
-
-def _without(chars: str) -> Column:
-    return F.length(F.translate("text__", chars, ""))
-
-
-def measure(rows: DataFrame, names: tuple[str, ...], when: Column | None = None) -> DataFrame:
-    """``rows`` (text__, words__) with the named measures; null where ``when`` is false (not computed there)."""
-    on = (lambda c: c) if when is None else (lambda c: F.when(when, c))
-    for name in names:
-        if name in rows.columns:
-            continue
-        if name == "n_words":
-            rows = rows.withColumn(name, F.size("words__").cast("long"))
-        elif name == "word_chars":
-            rows = rows.withColumn(name, on(_without(SPACE_CHARS)).cast("long"))
-        elif name == "n_symbols":
-            rows = rows.withColumn(name, on(F.length("text__") - _without(SYMBOLS)).cast("long"))
-        elif name in ("n_lines", "n_dup_lines"):
-            if "lines__" not in rows.columns:
-                solid = lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != ""
-                rows = rows.withColumn("lines__", on(F.filter(F.split("text__", "\n"), solid)))
-            n = F.size("lines__")
-            rows = rows.withColumn(name, (n if name == "n_lines" else n - F.size(F.array_distinct("lines__"))).cast("long"))
-        elif name == "n_repeat_words":
-            rows = _repeat_words(rows, on)
-    return rows
-
-
-def _repeat_words(rows: DataFrame, on) -> DataFrame:
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is so evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _without(chars: str) -> str:
+    return f"cast(length(translate(text__, '{chars}', '')) AS bigint)"
+
+
+def _lines() -> str:
+    return f"filter(split(text__, '\\n'), l -> btrim(l, '{SPACE_CHARS}') <> '')"
+
+
+def _repeat_words() -> str:
     """Words in windows of SPAN words that occur twice or more in the text.
 
     Windows are compared by a 64-bit hash. Only texts with a repeated hash have
     their (hash, position) pairs sorted; a position whose neighbour in that
     order has its hash begins a repeated window.
     """
-    keys = F.expr(
-        f"transform(sequence(0, size(words__) - {SPAN}), i -> xxhash64("
-        + ", ".join(f"get(words__, i + {k})" for k in range(SPAN)) + "))")
-    rows = rows.withColumn("keys__", on(F.when(F.size("words__") >= SPAN, keys)))
-    rows = rows.withColumn("pairs__", F.expr(
-        "CASE WHEN size(keys__) > size(array_distinct(keys__)) THEN "
-        "sort_array(transform(keys__, (k, i) -> struct(k, i))) END"))
-    rows = rows.withColumn("starts__", F.expr(
-        "CASE WHEN pairs__ IS NOT NULL THEN sort_array(transform(filter(transform(pairs__, (x, j) -> struct(x.i AS i, "
-        "coalesce(x.k = get(pairs__, j - 1).k, false) OR coalesce(x.k = get(pairs__, j + 1).k, false) AS twice)), "
-        "y -> y.twice), z -> z.i)) END"))
-    count = F.expr(
-        "CASE WHEN starts__ IS NULL THEN 0L ELSE aggregate(transform(starts__, (p, j) -> "
-        f"least({SPAN}, coalesce(get(starts__, j + 1) - p, {SPAN}))), 0L, (a, x) -> a + x) END")
-    return rows.withColumn("n_repeat_words", on(count)).drop("keys__", "pairs__", "starts__")
+    keys = (f"transform(sequence(0, size(words__) - {SPAN}), i -> xxhash64("
+            + ", ".join(f"get(words__, i + {k})" for k in range(SPAN)) + "))")
+    pairs = "sort_array(transform(k, (h, i) -> struct(h AS h, i AS i)))"
+    starts = ("sort_array(transform(filter(transform(p, (x, j) -> struct(x.i AS i, coalesce(x.h = get(p, j - 1).h, false) "
+              "OR coalesce(x.h = get(p, j + 1).h, false) AS twice)), y -> y.twice), z -> z.i))")
+    covered = f"aggregate(transform(s, (a, j) -> least({SPAN}, coalesce(get(s, j + 1) - a, {SPAN}))), 0L, (t, u) -> t + u)"
+    return (f"CASE WHEN size(words__) < {SPAN} THEN 0L ELSE "
+            + _let(keys, "k", "CASE WHEN size(k) = size(array_distinct(k)) THEN 0L ELSE "
+                   + _let(pairs, "p", _let(starts, "s", covered)) + " END") + " END")
+
+
+# SQL over text__ and words__.
+MEASURES: dict[str, str] = {
+    "n_words": "cast(size(words__) AS bigint)",
+    "word_chars": _without(SPACE_CHARS),
+    "n_symbols": f"cast(length(text__) AS bigint) - {_without(SYMBOLS)}",
+    "n_lines": f"cast(size({_lines()}) AS bigint)",
+    "n_dup_lines": _let(_lines(), "ls", "cast(size(ls) - size(array_distinct(ls)) AS bigint)"),
+    "n_repeat_words": _repeat_words(),
+}
+
+
+def _rejects(rule: Rule) -> str:
+    """The rule's test with its measures written out, so that it is evaluated only where the cascade gets to it."""
+    sql = rule.rejects
+    for name in sorted(rule.measures, key=len, reverse=True):
+        sql = re.sub(rf"\b{name}\b", lambda m, n=name: f"({MEASURES[n]})", sql)
+    return sql
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
+    """``docs`` with text__ and words__. The words come out of a generator, so no later filter evaluates them again."""
     rows = docs.withColumn("text__", text_or_empty())
-    return rows.withColumn("words__", words_of(F.col("text__")))
+    return rows.select("*", F.explode(F.array(words_of(F.col("text__")))).alias("words__"))
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
@@ -109,29 +109,28 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     _prepared(sample).agg(F.sum(F.size("words__"))).collect()  # warm-up
     for rule in rules:
         t0 = time.perf_counter()
-        rejected = measure(_prepared(sample), rule.measures).agg(F.sum(F.expr(rule.rejects).cast("int"))).collect()[0][0]
+        rejected = _prepared(sample).agg(F.sum(F.expr(_rejects(rule)).cast("int"))).first()[0]
         cost = time.perf_counter() - t0
         found.append({"rule": rule, "cost": cost, "selectivity": (rejected or 0) / rows})
     return sorted(found, key=lambda x: (-x["selectivity"] / x["cost"], x["cost"]))
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with ``rejected_by__``: the first rule of the cascade that rejects the row, null for kept rows."""
-    rows = _prepared(docs).withColumn("rejected_by__", F.lit(None).cast("string"))
-    for step in estimate(docs, rules, sample_rows):
-        rule = step["rule"]
-        alive = F.col("rejected_by__").isNull()
-        rows = measure(rows, rule.measures, alive)
-        rows = rows.withColumn("rejected_by__", F.when(alive & F.expr(rule.rejects), F.lit(rule.name))
-                               .otherwise(F.col("rejected_by__")))
-    return rows.select(*docs.columns, "rejected_by__")
+    """``docs`` with ``rejected_by__``: the first rule of the cascade that rejects the row, null for kept rows.
+
+    One CASE in the cascade's order: a later rule's measures aren't computed
+    for a row that an earlier rule has rejected.
+    """
+    order = [x["rule"] for x in estimate(docs, rules, sample_rows)]
+    case = "CASE " + " ".join(f"WHEN {_rejects(r)} THEN '{r.name}'" for r in order) + " END"
+    return _prepared(docs).select(*docs.columns, F.expr(case).alias("rejected_by__"))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Every measure and the cascade's verdict per row: doc_id, the measures, base_failed, kept, rejected_by."""
     order = [x["rule"] for x in estimate(docs, rules, sample_rows)]
-    rows = measure(_prepared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), MEASURES)
-    rows = rows.select("doc_id", *MEASURES)
+    rows = _prepared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = rows.select("doc_id", *[F.expr(sql).alias(name) for name, sql in MEASURES.items()])
     verdict = F.lit(None).cast("string")
     for rule in reversed(order):
         verdict = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(verdict)
