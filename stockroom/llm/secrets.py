@@ -30,6 +30,8 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+_=-]{20,}"
 # Nats per transition in favour of random strings.
 THRESHOLD = 0.6
+# Pseudo-transitions that smooth each character's row.
+SMOOTHING = 10
 # Bound of the training sample, in rows.
 SAMPLE_ROWS = 20_000
 
@@ -75,8 +77,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
 
     Labelled strings come from at most about ``sample_rows`` rows. Random ones
     are the values inside pattern spans; ordinary ones the words of four or
-    more characters of texts without any span. Counts start at one half, so an
-    empty sample gives ratios of zero and no further span.
+    more characters of texts without any span. A sample without either gives
+    ratios of zero and so no further span.
     """
     total = docs.count()
     rows = docs.select("text").sample(False, min(1.0, sample_rows / max(1, total)), 23)
@@ -89,18 +91,23 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
         f"transform(sequence(1, length(s) - 1), i -> struct({_class('substr(s, i, 1)')} AS a, "
         f"{_class('substr(s, i + 1, 1)')} AS b))")).alias("step"))
     counted = steps.groupBy("label", "step.a", "step.b").agg(F.sum("n").alias("n"))
-    tables = [[0.5] * (CLASSES * CLASSES) for _ in range(2)]
-    seen = [0, 0]
+    tables = [[0] * (CLASSES * CLASSES) for _ in range(2)]
     for label, a, b, n in counted.collect():  # at most two rows per pair of classes
         tables[label][a * CLASSES + b] += n
-        seen[label] += n
-    if not all(seen):
+    if not all(map(sum, tables)):
         return [0.0] * (CLASSES * CLASSES)
+    logs = [_log_transitions(t) for t in tables]
+    return [random - ordinary for ordinary, random in zip(*logs)]
+
+
+def _log_transitions(counts: list[int]) -> list[float]:
+    """Log-probability of every transition; a row is smoothed towards how often each character occurs at all."""
+    total = sum(counts)
+    share = [(sum(counts[b::CLASSES]) + 0.5) / (total + 0.5 * CLASSES) for b in range(CLASSES)]
     out = []
     for a in range(CLASSES):
-        sums = [sum(t[a * CLASSES:(a + 1) * CLASSES]) for t in tables]
-        for b in range(CLASSES):
-            out.append(math.log(tables[1][a * CLASSES + b] / sums[1]) - math.log(tables[0][a * CLASSES + b] / sums[0]))
+        row = counts[a * CLASSES:(a + 1) * CLASSES]
+        out += [math.log((n + SMOOTHING * p) / (sum(row) + SMOOTHING)) for n, p in zip(row, share)]
     return out
 
 

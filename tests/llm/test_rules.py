@@ -1,0 +1,141 @@
+"""Quality rules, exact dedup and secret scans."""
+
+import random
+
+import brute
+from corners import corner_texts
+from pyspark.sql import functions as F
+
+from stockroom.llm import exact, quality, secrets
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _key(row):
+    return tuple((x is None, x if x is not None else 0) for x in row)
+
+
+def test_measures_of_corner_cases(corner):
+    got = sorted(((r["doc_id"], *[r[m] for m in MEASURES]) for r in quality.judge(corner).collect()), key=_key)
+    assert got == sorted(((d, *brute.quality(t)) for d, t in corner_texts()), key=_key)
+
+
+def test_cascade_verdict_does_not_depend_on_the_order(corner):
+    want = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in quality.judge(corner).filter("kept").collect())
+    for rules in (quality.RULES, quality.RULES[::-1]):
+        kept = quality.cascade(corner, rules).filter("rejected_by__ IS NULL")
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == want
+        assert kept.columns == [*corner.columns, "rejected_by__"]
+
+
+def test_rules_are_ordered_by_rejection_per_cost(corner):
+    found = quality.estimate(corner)
+    ratios = [x["selectivity"] / x["cost"] for x in found]
+    assert ratios == sorted(ratios, reverse=True) and len(found) == len(quality.RULES)
+
+
+def test_quality_of_random_repeats(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice("abc") + rng.choice("de") for _ in range(rng.randint(0, 60)))
+              + rng.choice(["", "\nx\nx\n \nx", "\n\n"])) for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[m] for m in MEASURES) for r in quality.judge(df).collect()}
+    assert got == {d: brute.quality(t) for d, t in texts}
+
+
+def test_empty_tables(no_docs):
+    assert quality.judge(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
+    assert exact.exact_dedup(no_docs).count() == 0 and exact.keep_one(no_docs).count() == 0
+    assert secrets.report(no_docs).count() == 0 and secrets.redact(no_docs).count() == 0
+
+
+def test_exact_groups_of_corner_cases(corner):
+    got = sorted((tuple(r) for r in exact.exact_dedup(corner, hash_all=True).collect()), key=_key)
+    assert got == sorted(brute.exact(corner_texts()), key=_key)
+
+
+def test_refinement_reads_only_surviving_groups_in_full(spark):
+    same = "x" * 100
+    rows = [(1, "short"), (2, same + "a"), (3, same + "b"), (4, same + "a"), (5, "y" * 101), (6, "z" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"] is not None)
+           for r in exact.exact_dedup(df).collect()}
+    assert got == {1: (1, 1, True, False), 2: (2, 2, True, True), 3: (3, 1, True, True), 4: (2, 2, False, True),
+                   5: (5, 1, True, False), 6: (6, 1, True, False)}
+
+
+def test_keep_one_keeps_whole_rows(corner):
+    kept = exact.keep_one(corner)
+    assert kept.columns == corner.columns
+    want = [(d, s) for d, _, _, k, s in brute.exact(corner_texts()) if k]
+    got = [(r["doc_id"], r["s"]) for r in kept.select("doc_id", F.sha2(exact.normalised(F.coalesce("text", F.lit(""))), 256)
+                                                      .alias("s")).collect()]
+    assert sorted(got, key=_key) == sorted(want, key=_key)
+
+
+def test_base_spans_of_corner_cases(corner):
+    got = sorted(((r["doc_id"], r["base_spans"]) for r in secrets.report(corner).collect()), key=_key)
+    assert got == sorted(((d, brute.spans_text(brute.base_spans(t))) for d, t in corner_texts()), key=_key)
+
+
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(5)
+    parts = ["token", "SECRET", "api_key", "apikey", "passwd", "password", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH1234567890",
+             "deadbeef", "0123456789abcdef", "x", "é", "🙂", "zz+/=.", "\n", "  "]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["base_spans"] for r in secrets.report(df).collect()}
+    assert got == {d: brute.spans_text(brute.base_spans(t)) for d, t in texts}
+
+
+def _labelled(rng, n, kind):
+    """Texts with a random string in an assignment (labelled by the pattern), or ordinary words."""
+    words = ["configuration", "handler", "request", "module", "performance", "validation", "get_user_name", "the", "window"]
+    out = []
+    for _ in range(n):
+        text = " ".join(rng.choice(words) for _ in range(20))
+        if kind:
+            text += " token=" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+        out.append(text)
+    return out
+
+
+def test_models_tell_random_strings_from_identifiers(spark):
+    rng = random.Random(6)
+    train = [(i, t) for i, t in enumerate(_labelled(rng, 150, 1) + _labelled(rng, 150, 0))]
+    model = secrets.train(spark.createDataFrame(train, "doc_id long, text string"))
+    held = []
+    for i in range(40):
+        held.append((i, "see " + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+                                         for _ in range(30)) + " there"))
+        held.append((100 + i, f"call get_request_handler_module_{i} in performance_validation_window2 now"))
+    df = spark.createDataFrame(held, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_random"] for r in secrets.report(df, model).collect()}
+    hit = sum(got[i] == 1 for i in range(40) if any(c.isdigit() for c in held[2 * i][1]))
+    assert hit >= 0.9 * sum(any(c.isdigit() for c in held[2 * i][1]) for i in range(40))
+    assert all(got[100 + i] == 0 for i in range(40))
+    span = secrets.report(df, model).filter("doc_id = 0").first()["spans"]
+    assert span == "random:4:34"
+
+
+def test_redaction(spark, corner):
+    out = secrets.redact(corner)
+    assert out.columns == corner.columns
+    got = {(r["doc_id"], r["text"]): r["n_chars"] for r in out.collect()}
+    for d, t in corner_texts():
+        want, at = "", 0
+        for a, _, b in brute.base_spans(t):
+            if a >= at:
+                want += t[at:a] + "<SECRET>"
+            at = max(at, b)
+        if t is not None:
+            want += t[at:]
+        key = (d, None if t is None else want)
+        assert key in got and got[key] == (None if t is None else len(want))
+
+
+def test_native_plans(spark):
+    from stockroom.llm.queries import queries
+    for name in ("op3_quality", "op10_secrets"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
