@@ -82,6 +82,20 @@ def split_authorized(requests: DataFrame, user_store: DataFrame, action: str
             a.filter(~F.col("allowed")).select(*cols, "reason"))
 
 
+def for_callers(listing: DataFrame, callers: DataFrame, user_store: DataFrame, action: str
+                ) -> tuple[DataFrame, DataFrame]:
+    """A listing as each caller (user_id, store_id) may read it, and the callers turned away.
+
+    Every list and detail handler first tests the caller's membership. Rows of
+    ``listing`` (with ``store_id``) come with ``caller_id``, once for every
+    caller of their store that the guard lets through; the rest are returned
+    with the reason.
+    """
+    ok, denied = split_authorized(callers.select("user_id", "store_id").distinct(), user_store, action)
+    rows = listing.join(ok.withColumnRenamed("user_id", "caller_id"), "store_id")
+    return rows.select("caller_id", *listing.columns), denied
+
+
 def accept_user_requests(requests: DataFrame, users: DataFrame, stores: DataFrame
                          ) -> tuple[DataFrame, DataFrame]:
     """Join requests: user must exist, then store, then the role be valid.

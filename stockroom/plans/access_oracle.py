@@ -15,6 +15,21 @@ SELECT r.*, us.role,
 FROM {{action_requests}} r LEFT JOIN {{user_store}} us ON r.user_id = us.user_id AND r.store_id = us.store_id
 """)
 
+oracle("list_suppliers_for_callers", """
+SELECT q.user_id AS caller_id, s.* FROM {store_pairs} q
+JOIN {user_store} g ON g.user_id = q.user_id AND g.store_id = q.store_id JOIN {suppliers} s ON s.store_id = q.store_id
+""")
+oracle("list_products_for_callers", """
+SELECT q.user_id AS caller_id, p.* FROM {store_pairs} q
+JOIN {user_store} g ON g.user_id = q.user_id AND g.store_id = q.store_id AND g.role IN ('admin', 'manager', 'staff')
+JOIN {products} p ON p.store_id = q.store_id
+""")
+oracle("list_products_denied", """
+SELECT q.user_id, q.store_id, CASE WHEN g.role IS NULL THEN 'Access denied' ELSE 'Insufficient permissions' END AS reason
+FROM {store_pairs} q LEFT JOIN {user_store} g ON g.user_id = q.user_id AND g.store_id = q.store_id
+WHERE g.role IS NULL OR g.role NOT IN ('admin', 'manager', 'staff')
+""")
+
 _MEMBERSHIP = """
 SELECT r.user_id, r.store_id, r.role,
        CASE WHEN u.user_id IS NULL THEN 'User does not exist'
