@@ -10,8 +10,8 @@ from ..session import scratch_dir
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
-# A side is broadcast only when its counted rows stay under this; beyond it the
-# same join runs as a shuffle join.
+# A side is broadcast only when its counted rows (of a few short columns) stay
+# under this; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 200_000
 
 

@@ -3,12 +3,12 @@
 Level one looks at windows of half the asked length. Every window of the full
 length contains several of those; the one with the least hash is its anchor, so
 equal windows have equal anchors at equal places, and only anchors (about one
-position in six) need to be counted. Windows whose anchor is repeated are the
-candidates that level two extends to the full length; with a longer length
-asked, the levels go on doubling until it is reached or no candidate survives
-(``levels``). What survives the last level is a window that occurs twice; all
-but its first occurrence (least doc_id, then earliest start) is removed, and a
-word goes when any removed window covers it.
+position in six) need to be counted. Windows whose anchor is repeated, and only
+they, are extended to twice that length, the asked one, by level two. What
+survives it is a window that occurs twice; all but its first occurrence (least
+doc_id, then earliest start) is removed, and a word goes when any removed window
+covers it. The doubling ends there: a longer repeated window is made of repeated
+windows of the asked length, so further levels would remove no more words.
 
 Documents equal in all their words are settled first, by a hash of the whole
 word sequence: all but the first lose every window, so the windows of a large
@@ -148,7 +148,7 @@ def _cover(length: int) -> str:
 
 
 def repeated_words(docs: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(d, t, n_words, covered) of the rows that lose words; ``covered``: word intervals, null for all words."""
+    """(d, t, covered) of the rows that lose words; ``covered``: word intervals, null for all words."""
     profile = stored(_profile(docs, length), "substring-profile")
     long = profile.filter(F.col("n_words") >= length)
 
