@@ -10,9 +10,10 @@ from ..session import scratch_dir
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
-# A side is broadcast only when its counted rows (of a few short columns) stay
-# under this; beyond it the same join runs as a shuffle join.
+# A side is broadcast only when its counted rows (of a few short columns) and the
+# elements of its arrays stay under these; beyond, the same join is a shuffle join.
 BROADCAST_ROWS = 200_000
+BROADCAST_ELEMENTS = 2_000_000
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -26,9 +27,11 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """A stored side of a join, hinted for broadcast only if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, *arrays: str) -> DataFrame:
+    """A stored side of a join, hinted for broadcast only if its counted rows and array elements allow it."""
+    elements = sum((F.coalesce(F.size(a), F.lit(0)) for a in arrays), F.lit(0))
+    rows, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(elements), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and held <= BROADCAST_ELEMENTS else df
 
 
 def text_or_empty(name: str = "text") -> Column:

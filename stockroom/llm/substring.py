@@ -172,7 +172,7 @@ def repeated_words(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     candidates = stored(found.select("d", "t", runs.alias("runs"), variant.alias("variant")), "substring-candidates")
 
     # level two: the full windows under those anchors
-    texts = _keyed(docs).join(small_side(candidates), ["d", "t"]).select("d", "variant", "text", "runs")
+    texts = _keyed(docs).join(small_side(candidates, "runs"), ["d", "t"]).select("d", "variant", "text", "runs")
     windows = _windows(texts, length)
     first = windows.filter("NOT again").groupBy("key", "check").agg(
         F.min("d").alias("first_d"), F.max("d").alias("last_d")).filter("last_d > first_d").drop("last_d")
@@ -211,5 +211,5 @@ def remove_repeated(docs: DataFrame, length: int = WINDOW) -> DataFrame:
                      pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     rows = _keyed(docs).withColumn("doc_id", F.nullif("d", F.lit(LAST_ID)))
-    rows = rows.join(small_side(lost), ["d", "t"], "left").select("doc_id", "text", "lost", "covered")
+    rows = rows.join(small_side(lost, "covered"), ["d", "t"], "left").select("doc_id", "text", "lost", "covered")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
