@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..sources.schemas import MONEY
 
 LEDGER_COLS = ["change_id", "store_id", "product_id", "type", "quantity", "unit_price", "created_by",
@@ -235,7 +236,9 @@ def audit_header_entries(header_changes: DataFrame, lines: DataFrame, products:
                                   created_by=F.col("user_id"), reference_id=F.col("header_id"),
                                   notes=line_notes, created_at=F.col("ts"))
     _, bad_lines = _in_store(line_entries, products)
-    bad_changes = bad_lines.select("change_id").distinct()
+    # found once and checkpointed: three branches below use it, and the update lines
+    # behind it would be joined again for each
+    bad_changes = cut(bad_lines.select("change_id").distinct())
     rejects.append(h.join(bad_changes, "change_id", "left_semi").select(
         "change_id", "store_id", F.lit(None).cast("bigint").alias("product_id"),
         F.lit("Product not found").alias("reason")))
