@@ -85,6 +85,41 @@ def test_article_keeps_shared_paragraphs_and_drops_boxes():
     assert H.texts_of_group(pages)[0] == "T 0\nA 0\nShared paragraph\nlast 0"
 
 
+def _plain(i):
+    return _page(f"<div id=top>Constant top</div><div id=content><h1>Title {i}</h1><p>First {i}<p>Second {i}</div><div>Copyright</div>")
+
+
+def test_copies_keep_their_text_without_article_element():
+    one = _page("<div><h1>Copied</h1><p>Its only text</div>")
+    assert H.texts_of_group([one] * 6) == ["Copied\nIts only text"] * 6
+    # copies whose menus differ are copies too
+    menus = [one.replace("<body>", f"<body><nav>Menu {i}</nav>") for i in range(6)]
+    assert H.texts_of_group(menus) == ["Copied\nIts only text"] * 6
+    # and so are copies among other pages, few or most of the group
+    for others in (1, 8):
+        got = H.texts_of_group([*[one] * 6, *[_plain(i) for i in range(others)], *menus])
+        assert got[:6] == got[-6:] == ["Copied\nIts only text"] * 6
+    # the template of the other pages is found as without copies
+    want = [f"Title {i}\nFirst {i}\nSecond {i}" for i in range(8)]
+    assert H.texts_of_group([_plain(i) for i in range(8)]) == want
+    assert H.texts_of_group([*[_plain(3)] * 30, *[_plain(i) for i in range(8)]])[30:] == want
+    # copies alone don't make a template, however many
+    assert "Copyright" in H.texts_of_group([_plain(0), _plain(1), *[_plain(2)] * 30])[0]
+
+
+def test_copies_keep_their_text_in_article_boxes():
+    one = _page("<nav>n</nav><article><div class=body><h1>Copied</h1><p>Its only text</div><div>Box</div></article>")
+    other = [_page(f"<nav>n</nav><article><div class=body><h1>T {i}</h1><p>x {i}</div><div>Box</div></article>") for i in range(6)]
+    assert H.texts_of_group([one] * 6) == ["Copied\nIts only text\nBox"] * 6
+    assert H.texts_of_group([*[one] * 6, *other])[:7] == ["Copied\nIts only text"] * 6 + ["T 0\nx 0"]
+
+
+def test_article_keeps_boxes_of_shared_prose():
+    pages = [_page(f"""<article><h1>T {i}</h1><div class=body><div><p>Shared paragraph</div></div><div>Constant box</div>
+<div><ul><li><a href=a>Share</a><li><a href=b>Print</a></ul></div></article>""") for i in range(6)]
+    assert H.texts_of_group(pages)[0] == "T 0\nShared paragraph"
+
+
 def test_simple_tree_matching_counts_pairs():
     def tree(label, *children):
         x = H.Outline(label, None)
