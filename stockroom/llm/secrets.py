@@ -2,8 +2,9 @@
 
 The patterns find spans of three kinds (``assign``, ``access``, ``hex``), each
 leftmost and non-overlapping. Two first-order Markov models over characters are
-trained on labelled strings of a bounded sample of rows: strings inside pattern
-spans are random, words outside them are ordinary. A long run of key characters
+trained on labelled strings of bounded samples, one of the rows with pattern
+spans and one of those without: strings inside pattern spans are random, words of
+rows without any are ordinary. A long run of key characters
 outside the pattern spans is a further span (``random``) when its mean
 log-likelihood ratio per transition says random. DataFrame functions only.
 
@@ -24,6 +25,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a maximal run of 18 or more, as AKIA[A-Z0-9]+ with shorter ones dropped
 HEX = r"[0-9a-f]{16,}"         # likewise for [0-9a-f]+ and 16
+# A text with a span of any kind has a match of this.
+LABELLED = f"{ASSIGN[:-2]}{{{ASSIGN_LEAST},}})|{ACCESS}|{HEX}"
 KINDS = ("assign", "access", "hex", "random")
 
 # Runs the models judge: so many key characters, digits and letters both among them.
@@ -32,7 +35,7 @@ CANDIDATE = r"[A-Za-z0-9+_=-]{20,}"
 THRESHOLD = 0.6
 # Pseudo-transitions that smooth each character's row.
 SMOOTHING = 10
-# Bound of the training sample, in rows.
+# Bound of the training sample, in rows of each label.
 SAMPLE_ROWS = 20_000
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
@@ -75,15 +78,18 @@ def _class(char: str) -> str:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
     """Log-likelihood ratio (random over ordinary) of every character transition, row by row.
 
-    Labelled strings come from at most about ``sample_rows`` rows. Random ones
-    are the values inside pattern spans; ordinary ones the words of four or
-    more characters of texts without any span. A sample without either gives
-    ratios of zero and so no further span.
+    Random strings are the values inside pattern spans, of at most about
+    ``sample_rows`` of the rows that have one, however rare these are; ordinary
+    ones are the words of four or more characters of as many rows without any
+    span. A table without either gives ratios of zero and so no further span.
     """
-    total = docs.count()
-    rows = docs.select("text").sample(False, min(1.0, sample_rows / max(1, total)), 23)
-    rows = stored(with_patterns(rows).select("text__", F.col("base__.value").alias("values")), "secrets-sample")
-    ordinary = rows.filter("size(values) = 0").select(
+    rows = docs.select(text_or_empty().alias("text"))
+    rows = rows.select("text", F.col("text").rlike(LABELLED).alias("labelled"))
+    total, labelled = rows.agg(F.count(F.lit(1)), F.count_if("labelled")).first()
+    share = [min(1.0, sample_rows / max(1, n)) for n in (total - labelled, labelled)]
+    rows = rows.filter(F.rand(23) < F.when(F.col("labelled"), share[1]).otherwise(share[0]))
+    rows = stored(with_patterns(rows).select("labelled", "text__", F.col("base__.value").alias("values")), "secrets-sample")
+    ordinary = rows.filter("NOT labelled").select(
         F.lit(0).alias("label"), F.explode(F.split("text__", SPACE_RUN)).alias("s")).filter("length(s) >= 4")
     random = rows.select(F.lit(1).alias("label"), F.explode("values").alias("s"))
     strings = random.unionByName(ordinary).groupBy("label", "s").agg(F.count(F.lit(1)).alias("n"))

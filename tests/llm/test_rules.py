@@ -118,6 +118,28 @@ def test_models_tell_random_strings_from_identifiers(spark):
     assert span == "random:4:34"
 
 
+def test_rare_labels_train_beyond_the_sample_size(spark):
+    rng = random.Random(7)
+    texts = _labelled(rng, 4000, 0)
+    texts[500:4000:500] = _labelled(rng, 7, 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bounded = secrets.train(df, sample_rows=20)
+    assert any(bounded)
+    held = spark.createDataFrame([(1, "see q8ZrT5vXw2LmB7kPd9HsNj4GfYc3 there"),
+                                  (2, "call get_user_name_handler_2_validation now")], "doc_id long, text string")
+    assert [r["n_random"] for r in secrets.report(held, bounded).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_every_text_with_a_span_is_labelled(spark, corner):
+    rng = random.Random(8)
+    parts = ["token", "SECRET", "api_key", '"', " ", ":", "=", "AKIA", "ABCDEFGH1234567", "deadbeef", "0123456789", "x", "zz+/=."]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").unionByName(corner.select("doc_id", "text"))
+    rows = secrets.with_patterns(df)
+    assert rows.filter("size(base__) > 0").count() == rows.filter("size(base__) > 0").filter(
+        F.col("text__").rlike(secrets.LABELLED)).count() > 0
+
+
 def test_redaction(spark, corner):
     out = secrets.redact(corner)
     assert out.columns == corner.columns
