@@ -3,7 +3,7 @@
 import pytest
 
 from oracle_compare import compare, duck
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 from stockroom.plans.oracle import oracle_sql
 from stockroom.plans.registry import queries

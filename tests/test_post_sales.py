@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stockroom.operators import orders as O
 from stockroom.operators.access import PERMISSIONS
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 
 
 def brute_force(requests, products, customers, user_store):
