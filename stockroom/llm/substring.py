@@ -10,10 +10,10 @@ doc_id, then earliest start) is removed, and a word goes when any removed window
 covers it. The doubling ends there: a longer repeated window is made of repeated
 windows of the asked length, so further levels would remove no more words.
 
-Documents equal in all their words are settled first, by a hash of the whole
+Documents equal in all their words are settled first, by a SHA-256 of the whole
 word sequence: all but the first lose every window, so the windows of a large
-group of copies are never shuffled. Hashes are 64-bit while they only choose
-candidates, 96-bit where they decide.
+group of copies are never shuffled. Window hashes are 64-bit while they only
+choose candidates, 96-bit where they decide, over 64-bit hashes of the words.
 
 Results for special rows: a null text has no words; a null ``doc_id`` counts as
 larger than all others; rows that share a ``doc_id`` remove nothing from each
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import small_side, stored, text_or_empty
-from .wordhash import Hasher, chunks, cut_words
+from .wordhash import Hasher, chunks, cut_words, sequence_keys
 
 WINDOW = 20
 LAST_ID = (1 << 63) - 1
@@ -83,7 +83,7 @@ def _profile(docs: DataFrame, length: int) -> DataFrame:
                 data, doc, first, end = cut_words(texts)
                 word = _hasher(0).words(data, first, end)
                 bounds = _per_doc(doc, n)
-                seq = [_hasher(s).windows(word, bounds[:-1], bounds[1:]).view(np.int64) for s in (2, 3)]
+                seq = sequence_keys(texts)
                 _, at, least = _anchors(word, doc, length)
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = at[1:] != at[:-1]

@@ -1,13 +1,19 @@
 """Word and window hashes of a batch of texts, by numpy over their UTF-8 bytes.
 
-The word separators are all ASCII, so words can be cut on bytes. A word's hash
-is a polynomial over per-byte random values modulo 2**64, read off a running
-sum; a window's hash is the same over its mixed word hashes. Each ``Hasher``
-seed gives an independent family; two of them make a 128-bit key.
+The word separators are all ASCII, so words can be cut on bytes. The hash of a
+word of up to LONG_BYTES bytes is a polynomial over per-byte random values modulo
+2**64, read off a running sum; a window's hash is the same over its mixed word
+hashes. Such a polynomial is sound for short rows only: two long rows of two
+letters can be built that agree under every base, since base**(2**i) - 1 holds
+ever more powers of two. So longer words are hashed by BLAKE2b, ``windows`` is for
+windows of at most LONG_BYTES words, and whole sequences have a digest of their own
+(:func:`sequence_keys`). Each ``Hasher`` seed gives another family.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +24,8 @@ _LOWER[65:91] += 32
 
 # Texts are handled in groups of about this many bytes (one longer text alone).
 CHUNK_BYTES = 1_000_000
+# Rows up to this length are hashed by the polynomial.
+LONG_BYTES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,6 +74,7 @@ class Hasher:
         self.byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.bases = [int(rng.integers(1, 2**61)) * 8 + 5 for _ in range(2)]
         self.tables: list = [None, None]
+        self.key = seed.to_bytes(8, "little")
 
     def _powers(self, which: int, n: int):
         table = self.tables[which]
@@ -88,8 +97,20 @@ class Hasher:
         return (total[end] - total[first]) * down[first]
 
     def words(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self._spans(0, self.byte[data], first, end) + (end - first).astype(np.uint64))
+        size = end - first
+        value = mix(self._spans(0, self.byte[data], first, end) + size.astype(np.uint64))
+        for i in np.flatnonzero(size > LONG_BYTES):
+            digest = hashlib.blake2b(data[first[i]:end[i]], digest_size=8, key=self.key).digest()
+            value[i] = int.from_bytes(digest, "little")
+        return value
 
     def windows(self, word: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the words [first, end) for each pair."""
+        """Hash of the words [first, end) for each pair, at most LONG_BYTES words apart."""
         return mix(self._spans(1, word, first, end) + (end - first).astype(np.uint64))
+
+
+def sequence_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the SHA-256 of each text's words joined by one space, as two signed numbers."""
+    digests = b"".join([hashlib.sha256(b" ".join(t.split())).digest()[:16] for t in texts.cast(pa.binary()).to_pylist()])
+    halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
