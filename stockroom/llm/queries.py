@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, html_extract, minhash, packing, quality, secrets, substring, token_counts, warc
+from . import bpe, chat, exact, html_extract, minhash, packing, quality, secrets, substring, token_counts, warc, whitening
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -102,10 +102,15 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every usable embedding."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
         op1_bpe, op2_chat, op3_quality, op4_warc, op5_packing, op6_substring_dedup, op7_minhash_dedup, op8_html_extract,
-        op9_exact_dedup, op10_secrets, op12_token_counts)}
+        op9_exact_dedup, op10_secrets, op12_token_counts, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
