@@ -229,7 +229,7 @@ def _sum_payloads(payloads: list[bytes]) -> bytes:
     return np.sum([np.frombuffer(p) for p in payloads], axis=0).tobytes()
 
 
-def _gathered(fit: DataFrame, parts: int, dim: int, centre: np.ndarray, of_rows) -> np.ndarray:
+def _gathered(fit: DataFrame, dim: int, centre: np.ndarray, of_rows) -> np.ndarray:
     """The sum over all rows of ``of_rows``, which gives a flat array for a matrix of centred rows."""
 
     def run(batches):
@@ -243,6 +243,7 @@ def _gathered(fit: DataFrame, parts: int, dim: int, centre: np.ndarray, of_rows)
             yield pa.record_batch([pa.array([_part()], pa.int64()), pa.array([total.tobytes()], pa.binary())],
                                   names=["part", "payload"])
 
+    parts = fit.rdd.getNumPartitions()  # of the scan; nothing runs
     return np.frombuffer(_fold(fit.mapInArrow(run, "part long, payload binary"), parts, _sum_payloads))
 
 
@@ -295,9 +296,8 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, id_column: str = "vec_
     usable = usable.filter(F.size("x") == dim)
     fit = stored(usable.select("x").distinct(), "whitening-fit")
     parts = -(-fit.count() // ROWS_PER_TASK)
-    dealt = fit.repartition(parts, "x")
 
-    local = stored(spectra(dealt, dim), "whitening-spectra")
+    local = stored(spectra(fit.repartition(parts, "x"), dim), "whitening-spectra")
     n = local.agg(F.sum("n")).first()[0]
     per_dim = local.select(F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum(F.col("s").cast("decimal(38,0)")))
     sums = [int(s) for _, s in sorted(per_dim.collect())]  # one row per dimension
@@ -314,7 +314,7 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, id_column: str = "vec_
     traces = []
 
     def multiply(basis: np.ndarray) -> np.ndarray:
-        got = _gathered(dealt, parts, dim, centre, lambda x: np.append((x.T @ (x @ basis)).ravel(), (x * x).sum()))
+        got = _gathered(fit, dim, centre, lambda x: np.append((x.T @ (x @ basis)).ravel(), (x * x).sum()))
         traces.append(got[-1] / n)
         return got[:-1].reshape(dim, -1) / n
 
@@ -329,7 +329,7 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, id_column: str = "vec_
         w = x @ vectors
         return np.concatenate([w.sum(0), (w.T @ w).ravel()])
 
-    got = _gathered(dealt, parts, dim, centre, moments) / n
+    got = _gathered(fit, dim, centre, moments) / n
     error = float(np.abs(got[good:].reshape(good, good) - np.outer(got[:good], got[:good]) - np.eye(good)).max())
     explained = values / trace
 
