@@ -111,6 +111,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM g
 """
 
+COLLOCATIONS = f"""
+WITH t AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT r, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i
+  FROM (SELECT r, lang, regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM t)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+grams AS (SELECT lang, k AS words, list_slice(words, i, i + k - 1) AS ids FROM g, (SELECT unnest([1, 2, 3, 4]) AS k)
+  WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, words, ids, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE words > 1 AND a >= 30),
+cuts AS (SELECT lang, words, ids, a, unnest(range(1, words)) AS k FROM c),
+s AS (SELECT cuts.*, x.a AS l, y.a AS r, (CAST(cuts.a AS HUGEINT) * 2000000) // (CAST(x.a AS HUGEINT) + y.a) AS score FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.ids = list_slice(cuts.ids, 1, k)
+  JOIN f y ON y.lang = cuts.lang AND y.ids = list_slice(cuts.ids, k + 1, cuts.words)),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ids ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.words > b.words
+  AND 100 * CAST(c.a AS HUGEINT) >= 80 * CAST(b.a AS HUGEINT)
+  AND (list_slice(c.ids, 1, b.words) = b.ids OR list_slice(c.ids, 2, b.words + 1) = b.ids
+    OR c.words >= b.words + 2 AND list_slice(c.ids, 3, b.words + 2) = b.ids)))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM (SELECT *, array_to_string(ids, ' ') AS phrase FROM kept)) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op2_chat": CHAT,
     "op3_quality": QUALITY,
@@ -118,4 +144,5 @@ ORACLE: dict[str, str] = {
     "op6_substring_dedup": SUBSTRING,
     "op7_minhash_dedup": NEAR,
     "op9_exact_dedup": EXACT,
+    "op11_collocations": COLLOCATIONS,
 }

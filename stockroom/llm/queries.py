@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact, html_extract, minhash, packing, quality, secrets, substring, token_counts, warc, whitening
+from . import (
+    bpe, chat, collocations, exact, html_extract, minhash, packing, quality, secrets, substring, token_counts, warc, whitening)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +98,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two to four words in each language of all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it passes the limit of 2048 tokens."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), word_vocabulary())
@@ -110,7 +116,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
         op1_bpe, op2_chat, op3_quality, op4_warc, op5_packing, op6_substring_dedup, op7_minhash_dedup, op8_html_extract,
-        op9_exact_dedup, op10_secrets, op12_token_counts, op13_whitening)}
+        op9_exact_dedup, op10_secrets, op11_collocations, op12_token_counts, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

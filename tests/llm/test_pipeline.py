@@ -28,7 +28,7 @@ def test_queries_match_their_sql(spark):
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
     names = set(queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in [*range(1, 11), 12, 13]}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and "pipeline" not in oracle_sql()
 
 
