@@ -6,8 +6,8 @@ occurrences can't be part of a phrase that counts, so only the others get number
 the whole corpus; a block gets them back through its dictionary, so tokens are never
 shuffled and no dictionary of the corpus is broadcast.
 
-An n-gram of up to four words is its word numbers side by side in a word of fixed
-width. An invertible permutation (a Feistel network over the two halves) spreads
+An n-gram is its word numbers side by side in a word of fixed width: two numbers
+for pairs, four for longer phrases. An invertible permutation (a Feistel network over the two halves) spreads
 these evenly. The leading bits of the result are the quotient, the bits after them
 the full remainder: a counting quotient filter keeps per quotient how many
 remainders it has, the remainders in order and a counter of each, so nothing is
@@ -46,7 +46,7 @@ TOP = 2000
 INSIDE = 80
 # Text in a block, about; entries in a merged slice, on average at most; slices a task writes, as bits.
 BLOCK_BYTES = 8_000_000
-SLICE_ENTRIES = 4_000_000
+SLICE_ENTRIES = 2_000_000
 LEVEL_BITS = 8
 # Bits of the bitmap of frequent pairs, as a power of two: 8 MB.
 BITMAP = 26
@@ -160,7 +160,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 def coded_blocks(blocks: DataFrame, entries: DataFrame, words: DataFrame) -> DataFrame:
     """(block, stream) with the numbers of ``words`` (lang, word, id); 0 for rare words and between pieces."""
-    own = entries.join(small_side(words.select("lang", "word", "id")), ["lang", "word"])
+    own = entries.select("block", "local", "lang", "word").join(words.select("lang", "word", "id"), ["lang", "word"])
     lexicon = own.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("pairs"))
     lexicon = stored(lexicon.select("block", F.col("pairs.local").alias("local"), F.col("pairs.id").alias("id")),
                      "collocations-lexicon")
@@ -175,7 +175,7 @@ def coded_blocks(blocks: DataFrame, entries: DataFrame, words: DataFrame) -> Dat
                 yield pa.record_batch([batch.column(0).slice(i, 1), pa.array([id_of[stream].tobytes()], pa.binary())],
                                       names=["block", "stream"])
 
-    rows = blocks.select("block", "stream").join(small_side(lexicon, "local"), "block")
+    rows = blocks.select("block", "stream").join(lexicon, "block")
     return stored(rows.mapInArrow(run, "block long, stream binary"), "collocations-coded")
 
 
@@ -210,7 +210,7 @@ class Permutation:
 
 
 def _to_bytes(x: np.ndarray, bits: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :-(-bits // 8)]).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :-(-bits // 8)]).tobytes()
 
 
 def _from_bytes(raw: bytes, n: int, bits: int) -> np.ndarray:
@@ -279,13 +279,13 @@ def _sliced(left, right, count, half: int, prefix: int, source: int) -> pa.Recor
 
 
 class Shape:
-    """Widths of a corpus: bits of a word number, and leading bits that tell the final slices apart."""
+    """Widths of n-grams: bits of a word number, word numbers in a half, and leading bits that tell the slices apart."""
 
-    def __init__(self, largest_id: int, occurrences: int):
-        self.id_bits = max(1, int(largest_id).bit_length())
+    def __init__(self, largest_id: int, occurrences: int, in_half: int):
+        self.id_bits, self.in_half = max(1, int(largest_id).bit_length()), in_half
         if self.id_bits > 32:
             raise ValueError("more than 2**32 frequent words")
-        self.half = 2 * self.id_bits
+        self.half = in_half * self.id_bits
         slices = max(1, -(-occurrences // SLICE_ENTRIES))
         self.occurrences, self.slice_bits = occurrences, min(self.half, (slices - 1).bit_length())
 
@@ -329,13 +329,14 @@ def merged(filters: DataFrame, shape: Shape, least: int) -> DataFrame:
         filters = stored(filters.groupBy("slice", F.pmod("source", F.lit(batches)).alias("batch"))
                          .applyInArrow(_recut(half, prefix, finer, batches), FILTER), "collocations-filters")
         prefix = finer
-    permutation, width, mask = Permutation(half), np.uint64(shape.id_bits), np.uint64((1 << shape.id_bits) - 1)
+    permutation, mask = Permutation(half), np.uint64((1 << shape.id_bits) - 1)
+    places = [np.uint64(shape.id_bits * i) for i in reversed(range(shape.in_half))]
 
     def frequent(table: pa.Table) -> pa.Table:
         left, right, count = added(*_decoded(table, half, prefix))
         often = count >= least
         left, right = permutation.undo(left[often], right[often])
-        ids = np.stack([left >> width, left & mask, right >> width, right & mask], axis=1).astype(np.int64)
+        ids = np.stack([x >> at & mask for x in (left, right) for at in places], axis=1).astype(np.int64)
         used = ids > 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used.sum(1))]), pa.int32()), pa.array(ids[used]))
         return pa.table({"ids": lists, "a": pa.array(count[often], pa.int64())})
@@ -354,8 +355,8 @@ def _pairs(ids: np.ndarray, id_bits: int):
 def pair_grams(id_bits: int):
     def grams(ids: np.ndarray):
         pair, there = _pairs(ids, id_bits)
-        left, count = np.unique(pair[there], return_counts=True)
-        return left, np.zeros_like(left), count
+        value, count = np.unique(pair[there], return_counts=True)
+        return value >> np.uint64(id_bits), value & np.uint64((1 << id_bits) - 1), count
 
     return grams
 
@@ -444,17 +445,13 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     words = stored(number_rows(often, ["lang", "word"], "id"), "collocations-words")
     totals = stored(entries.groupBy("lang").agg(F.sum("seen").alias("n")), "collocations-totals")
     largest, occurrences = words.agg(F.coalesce(F.max("id"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
-    shape = Shape(largest, occurrences)
+    two, four = (Shape(largest, occurrences, n) for n in (1, 2))
     coded = coded_blocks(blocks, entries, words)
 
-    filters = stored(block_filters(coded, shape, pair_grams(shape.id_bits)), "collocations-filters")
-    pairs = stored(merged(filters, shape, least), "collocations-pairs")
-    shared = docs.sparkSession.sparkContext.broadcast(pair_bitmap(pairs, shape.id_bits))
-    id_bits = shape.id_bits
-    filters = stored(block_filters(coded, shape, lambda ids: longer_grams(id_bits, shared.value)(ids)), "collocations-filters")
-    grams = (words.select(F.array("id").alias("ids"), "a").unionByName(pairs)
-             .unionByName(merged(filters, shape, least)))
-    grams = stored(grams, "collocations-grams")
+    pairs = stored(merged(block_filters(coded, two, pair_grams(two.id_bits)), two, least), "collocations-pairs")
+    shared, id_bits = docs.sparkSession.sparkContext.broadcast(pair_bitmap(pairs, two.id_bits)), two.id_bits
+    longer = merged(block_filters(coded, four, lambda ids: longer_grams(id_bits, shared.value)(ids)), four, least)
+    grams = stored(words.select(F.array("id").alias("ids"), "a").unionByName(pairs).unionByName(longer), "collocations-grams")
 
     phrases = stored(not_inside(scored(grams), grams), "collocations-scored")
     named = small_side(words.select("lang", "word", "id"))

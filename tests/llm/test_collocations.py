@@ -78,10 +78,10 @@ def test_equals_plain_counting(spark, seed):
 def test_many_slices_and_levels_and_a_full_bitmap(spark, monkeypatch):
     rows = _corpus(3)
     want = plain(rows, least=3, top=50)
-    for name, value in {"SLICE_ENTRIES": 40, "LEVEL_BITS": 2, "BLOCK_BYTES": 1500, "CHUNK_BYTES": 300}.items():
+    for name, value in {"SLICE_ENTRIES": 20, "LEVEL_BITS": 2, "BLOCK_BYTES": 1500, "CHUNK_BYTES": 300}.items():
         monkeypatch.setattr(C, name, value)
     monkeypatch.setattr(C, "pair_bitmap", lambda pairs, id_bits: np.full(4096, 255, np.uint8))  # every pair hits
-    assert C.Shape(20, 4000).slice_bits > 3 * C.LEVEL_BITS
+    assert C.Shape(20, 4000, 2).slice_bits > 3 * C.LEVEL_BITS
     assert C.blocks_of(_frame(spark, rows).coalesce(1)).count() > 5
     assert _got(spark, rows, least=3, top=50) == want
 
