@@ -13,20 +13,28 @@ def largest(df: DataFrame, column: str = "id") -> int:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("bigint")).first()[0]
 
 
-def number_rows(df: DataFrame, order: list[str | Column], name: str, above: int = 0) -> DataFrame:
-    """Add ``name`` = ``above`` + 1, 2, ... in ``order``.
+def number_rows(df: DataFrame, order: list[str | Column] | None, name: str, above: int = 0,
+                weight: str | None = None) -> DataFrame:
+    """Add ``name`` = ``above`` + 1, 2, ... in ``order`` (None: any order, and no shuffle).
 
     The rows are range-sorted and checkpointed, so the numbers can't change
     when a lost task is run again. A row's number is its partition's offset --
-    a running sum over one row per partition -- plus its place there.
+    a running sum over one row per partition -- plus its place there. With
+    ``weight``, ``{weight}_before`` is that column's sum over all rows with lower
+    numbers, found the same way.
     """
-    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("_place", F.monotonically_increasing_id()))  # partition << 33 | place
-    placed = cut(placed)
-    part = F.shiftright("_place", 33).cast("int")
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    if order is not None:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(df.withColumn("_place", F.monotonically_increasing_id()))  # partition << 33 | place
+    placed = placed.withColumn("_part", F.shiftright("_place", 33).cast("int"))
+    sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    number = F.lit(above) + F.col("_offset") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
-    return (placed.withColumn("_part", part).join(offsets, "_part")
-            .withColumn(name, number.cast("bigint")).drop("_place", "_part", "_offset"))
+    offsets = placed.groupBy("_part").agg(*sums).select("_part", *[
+        F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_offset") for c in ("_n", "_w")[:len(sums)]])
+    number = F.lit(above) + F.col("_n_offset") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    out = placed.join(offsets, "_part").withColumn(name, number.cast("bigint"))
+    if weight:
+        inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        inner = F.coalesce(F.sum(weight).over(inside), F.lit(0))
+        out = out.withColumn(f"{weight}_before", (F.col("_w_offset") + inner).cast("bigint")).drop("_w_offset")
+    return out.drop("_place", "_part", "_n_offset")

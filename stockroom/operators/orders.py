@@ -83,10 +83,11 @@ def _truthy(c: Column) -> Column:
     return c.isNotNull() & (c != 0)
 
 
-def _change_records(df: DataFrame, table: str, op: str, before: Column | None, after: Column | None) -> DataFrame:
+def _change_records(df: DataFrame, table: str, op: str | None, before: Column | None, after: Column | None) -> DataFrame:
+    """Change records of ``df``; without an ``op`` each row has its own, and its number ``_n`` goes along."""
     img = LINE_CHANGE["before"].dataType
-    return df.select(F.lit(table).alias("table"),
-                     F.lit(op).alias("op"),
+    return df.select(*([] if op else ["_n"]), F.lit(table).alias("table"),
+                     (F.lit(op) if op else F.col("op")).alias("op"),
                      (before if before is not None else F.lit(None)).cast(img).alias("before"),
                      (after if after is not None else F.lit(None)).cast(img).alias("after"),
                      F.col("store_id").cast("bigint"), F.col("user_id").cast("bigint"),
@@ -99,9 +100,8 @@ def _image(id_: str, order: str, product: str, qty: str, price: str) -> Column:
 
 
 def number_changes(records: DataFrame, last_change_id: int) -> DataFrame:
-    """Change records with a ``change_id`` of their own, above the last one given so far."""
-    line = F.coalesce(F.col("after.id"), F.col("before.id"))
-    numbered = number_rows(records.withColumn("_line", line), ["table", "_line", "op"], "change_id", last_change_id)
+    """Change records with a ``change_id`` of their own, above the last one given so far, in no order."""
+    numbered = number_rows(records, None, "change_id", last_change_id)
     return numbered.select("change_id", "table", "op", "before", "after", "store_id", "user_id", "ts")
 
 
@@ -239,7 +239,7 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
                 .unionByName(several))
 
     # -- accepted output
-    acc_heads = number_rows(heads.join(acc, key, "left_semi"), ["requested_at", key], "id", largest(t.sales))
+    acc_heads = _numbered(heads.join(acc, key, "left_semi"), lines, largest(t.sales))
     # the customer id is stored as given (0 only skips the customer check)
     sales = evolve_schema(acc_heads.select("id", "store_id", "customer_id",
                                            "user_id", "payment_method", "notes",
@@ -287,16 +287,25 @@ def _post_tail(demand: DataFrame, state: DataFrame, key: str) -> DataFrame:
             .select(key, F.coalesce("verdict", "status").alias("status")))
 
 
+def _numbered(heads: DataFrame, lines: DataFrame, last_id: int) -> DataFrame:
+    """Accepted headers with their ``id`` in posting order, and ``_lines_before``, the lines of those before them."""
+    n = lines.groupBy("request_id").agg(F.count(F.lit(1)).alias("_lines"))
+    heads = heads.join(n, "request_id", "left").fillna(0, ["_lines"])
+    return number_rows(heads, ["requested_at", "request_id"], "id", last_id, weight="_lines")
+
+
 def _new_lines(lines: DataFrame, heads: DataFrame, kind: str, last_id: int, last_change_id: int
                ) -> tuple[DataFrame, DataFrame]:
     """Lines (request_id, pos, ...) of the new orders ``heads``, numbered in order, and their 'I' change records.
 
-    A new line's change record has the line's number, counted from ``last_change_id``.
+    A line's number is that of its order's first line plus its place there, so
+    the lines need no order of their own. Its change record has the same number,
+    counted from ``last_change_id``.
     """
     heads = heads.select("request_id", F.col("id").alias(f"{kind}_id"), "store_id", "user_id",
-                         F.col("requested_at").alias("ts"))
-    rows = number_rows(lines.join(heads, "request_id"), [f"{kind}_id", "pos"], "_n")
-    rows = rows.withColumn("id", F.col("_n") + F.lit(last_id).cast("bigint"))
+                         F.col("requested_at").alias("ts"), "_lines_before")
+    rows = lines.join(heads, "request_id").withColumn("_n", F.col("_lines_before") + F.col("pos") + 1)
+    rows = rows.withColumn("id", (F.col("_n") + F.lit(last_id)).cast("bigint"))
     records = _change_records(rows, f"{kind}_items", "I", None,
                               _image("id", f"{kind}_id", "product_id", "quantity", "unit_price"))
     ids = (F.col("after.id") - F.lit(last_id) + F.lit(last_change_id)).cast("bigint")
@@ -337,7 +346,7 @@ def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None
                       (F.col("line_reason").isNotNull(), F.col("line_reason"))]:
         reason = F.when(cond, msg) if reason is None else reason.when(cond, msg)
     heads = heads.withColumn("reason", reason)
-    ok = number_rows(heads.filter(F.col("reason").isNull()), ["requested_at", key], "id", largest(t.purchases))
+    ok = _numbered(heads.filter(F.col("reason").isNull()), lines, largest(t.purchases))
     rejects = heads.filter(F.col("reason").isNotNull()).select(key, "reason").unionByName(several)
     purchases = evolve_schema(ok.select("id", "store_id", "supplier_id", "user_id", "notes",
                                         F.col("requested_at").alias("created_at"),
@@ -401,42 +410,41 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
         for c in heads_t.columns])
     patched = evolve_schema(patched, "sales" if sale else "purchases")
 
-    # line diff for requests with items. The accepted batch is checkpointed
-    # once, so the branches below share it instead of re-deriving it.
+    # line diff for requests with items: one full outer join of the old and the new lines by order and product. The
+    # accepted batch is checkpointed once, so both sides share it instead of re-deriving it.
     with_items = cut(ok.filter(F.col("items").isNotNull())
                      .select(key, "store_id", "user_id", F.col("requested_at").alias("ts"), "items"))
-    new = _lines(with_items, key, [])
-    with_items = with_items.drop("items")
-    old = lines_t.join(with_items.select(key), key, "left_semi")
-    first_old = old.groupBy(key, "product_id").agg(F.min("id").alias("id"))
-    new_products = new.select(key, "product_id").distinct()
-    old_tagged = (old.join(first_old.withColumn("_first", F.lit(True)), [key, "product_id", "id"], "left")
-                  .join(new_products.withColumn("_kept", F.lit(True)), [key, "product_id"], "left"))
-    m = (old_tagged.filter(F.col("_first") & F.col("_kept"))
-         .select(key, "product_id", F.col("id").alias("old_id"), F.col("quantity").alias("old_q"),
-                 F.col("unit_price").alias("old_p"))
-         .join(new.select(key, "product_id", "pos", F.col("quantity").alias("new_q"),
-                          F.col("unit_price").alias("new_p")), [key, "product_id"], "right")
-         .join(with_items, key))
-    upd = m.filter(F.col("old_id").isNotNull())
-    ins = number_rows(m.filter(F.col("old_id").isNull()), [key, "pos"], "id", largest(lines_t))
-    removed = old_tagged.filter(F.col("_kept").isNull()).join(with_items, key)
-    untouched = old_tagged.filter(F.col("_kept") & F.col("_first").isNull()).select(*lines_t.columns)
+    head = ["store_id", "user_id", "ts"]
+    new = _lines(with_items, key, head)
+    new = new.select(key, "product_id", "pos", F.col("quantity").alias("new_q"), F.col("unit_price").alias("new_p"), *head)
+    old = lines_t.join(with_items.drop("items"), key).select(
+        key, "product_id", F.col("id").alias("old_id"), F.col("quantity").alias("old_q"), F.col("unit_price").alias("old_p"),
+        *[F.col(c).alias(f"old_{c}") for c in head])
+    m = old.join(new, [key, "product_id"], "full_outer")
+    m = m.select(key, "product_id", "pos", "old_id", "old_q", "old_p", "new_q", "new_p",
+                 *[F.coalesce(c, f"old_{c}").alias(c) for c in head])
+    # of several old lines of a product the lowest is the one that is matched; the join's partitions already hold them
+    first = F.min("old_id").over(Window.partitionBy(key, "product_id"))
+    op = (F.when(F.col("old_id").isNull(), "I").when(F.col("pos").isNull(), "D")
+          .when(F.col("old_id") == F.col("_first"), "U"))
+    m = m.withColumn("_first", first).withColumn("op", op).drop("_first")
+    # one numbering for both: inserted lines come first, so their numbers give their ids too
+    last = largest(lines_t)
+    m = cut(m)
+    done = number_rows(m.filter(F.col("op").isNotNull()), [F.col("op") != "I", F.col(key), F.col("pos"), F.col("old_id")], "_n")
+    done = done.withColumn("id", F.when(F.col("op") == "I", F.col("_n") + F.lit(last)).otherwise(F.col("old_id")).cast("bigint"))
     tbl = "sale_items" if sale else "purchase_items"
-    keep_p = "old_p" if sale else "new_p"
-    changes = (_change_records(upd, tbl, "U", _image("old_id", key, "product_id", "old_q", "old_p"),
-                               _image("old_id", key, "product_id", "new_q", keep_p))
-               .unionByName(_change_records(ins, tbl, "I", None, _image("id", key, "product_id", "new_q", "new_p")))
-               .unionByName(_change_records(removed, tbl, "D",
-                                            _image("id", key, "product_id", "quantity", "unit_price"), None)))
-    changes = number_changes(changes, last_change_id)
+    keep_p = F.when(F.col("op") == "U", F.col("old_p" if sale else "new_p")).otherwise(F.col("new_p"))
+    done = done.withColumn("keep_p", keep_p)
+    records = _change_records(done, tbl, None, F.when(F.col("op") != "I", _image("id", key, "product_id", "old_q", "old_p")),
+                              F.when(F.col("op") != "D", _image("id", key, "product_id", "new_q", "keep_p")))
+    changes = records.select((F.col("_n") + F.lit(last_change_id)).cast("bigint").alias("change_id"), *records.columns[1:])
     # final lines of the updated orders: untouched duplicates, updated, inserted
     final_lines = evolve_schema(
-        untouched
-        .unionByName(upd.select(F.col("old_id").alias("id"), key, "product_id",
-                                F.col("new_q").cast("int").alias("quantity"), F.col(keep_p).alias("unit_price")))
-        .unionByName(ins.select("id", key, "product_id", F.col("new_q").cast("int").alias("quantity"),
-                                F.col("new_p").alias("unit_price"))),
+        m.filter(F.col("op").isNull()).select(F.col("old_id").alias("id"), key, "product_id", F.col("old_q").alias("quantity"),
+                                              F.col("old_p").alias("unit_price"))
+        .unionByName(done.filter("op <> 'D'").select("id", key, "product_id", F.col("new_q").cast("int").alias("quantity"),
+                                                     F.col("keep_p").alias("unit_price"))),
         tbl)
     return Outcome(patched, rejects, ledger=final_lines, extra=changes)
 
@@ -461,7 +469,7 @@ def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame |
     several valid requests for one order the one with the least user id
     deletes it; the others find no order. ``rows`` = remaining headers,
     ``ledger`` = remaining lines, ``extra`` = 'D' change records of the
-    deleted lines.
+    deleted lines, ``keys`` = ids of the deleted orders.
     """
     sale = kind == "sale"
     key, heads_t, lines_t = (("sale_id", t.sales, t.sale_items) if sale
@@ -490,7 +498,8 @@ def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame |
     ch = gone_lines.join(ok.withColumn("ts", _ts(as_of)), key)
     changes = _change_records(ch, "sale_items" if sale else "purchase_items", "D",
                               _image("id", key, "product_id", "quantity", "unit_price"), None)
-    return Outcome(remaining_heads, rejects, ledger=remaining_lines, extra=number_changes(changes, last_change_id))
+    return Outcome(remaining_heads, rejects, ledger=remaining_lines, extra=number_changes(changes, last_change_id),
+                   keys=ok.select(F.col(key).alias("id")))
 
 
 def reverse_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = None, as_of=None,

@@ -48,6 +48,10 @@ SCHEMAS: dict[str, T.StructType] = {
                                   ("notes", S), ("created_at", TS)),
 }
 
+# Stored totals of orders: one row per sale or purchase. ``known``: its header has been seen.
+TOTALS = _st(("id", L), ("store_id", L), ("total_amount", T.DecimalType(38, 2)), ("total_items", L),
+             ("known", T.BooleanType()))
+
 # Column defaults added by the schema updates of the source
 # (ADD COLUMN ... DEFAULT ...). Columns not listed default to NULL.
 DEFAULTS: dict[str, dict[str, object]] = {
@@ -56,6 +60,26 @@ DEFAULTS: dict[str, dict[str, object]] = {
 }
 
 
+def stored_schema(table: str, absent: list[str] | None = None) -> T.StructType:
+    """The schema to read a stored table with, without the columns ``absent``.
+
+    A column that was added with a default carries it as its existence default:
+    a file written before the column was there gives the default, a file that has
+    the column gives what was written, NULL included. So files of all ages can lie
+    in one folder.
+    """
+    fields = []
+    for f in SCHEMAS[table].fields:
+        if f.name in (absent or []):
+            continue
+        default = DEFAULTS.get(table, {}).get(f.name)
+        if default is not None:
+            literal = f"'{default}'" if isinstance(default, str) else f"CAST({default} AS {f.dataType.simpleString()})"
+            f = T.StructField(f.name, f.dataType, True, {"EXISTS_DEFAULT": literal})
+        fields.append(f)
+    return T.StructType(fields)
+
+
 def evolve_schema(df: DataFrame, table: str) -> DataFrame:
     """Conform ``df`` to the canonical schema of ``table``.
 
@@ -69,7 +93,9 @@ def evolve_schema(df: DataFrame, table: str) -> DataFrame:
     cols: list[Column] = []
     for f in schema.fields:
         if f.name in have:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            c = F.col(f.name).cast(f.dataType)
+            # a declared existence default belongs to the files, not to what is made of them
+            cols.append(c.alias(f.name, metadata={}) if df.schema[f.name].metadata else c.alias(f.name))
         else:
             cols.append(F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name))
     return df.select(*cols)

@@ -16,10 +16,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from . import fixture_sql
-from .schemas import SCHEMAS, evolve_schema
+from .schemas import SCHEMAS, evolve_schema, stored_schema
 
 
 class Tables:
@@ -86,8 +85,10 @@ def load_tables(spark: SparkSession, root: str, tables: list[str] | None = None,
     """Read canonical tables written as ``{root}/{table}`` parquet folders.
 
     The schema is given, never inferred: no file footer is read to plan a
-    query. ``predate`` declares, per table, the columns that its files are too
-    old to have; :func:`evolve_schema` fills those with their defaults.
+    query. Files may be of different ages: one that is too old to have a column
+    gives its declared default (:func:`~stockroom.sources.schemas.stored_schema`).
+    ``predate`` declares, per table, columns that no file has, so that they aren't
+    asked for at all.
     """
     names = tables or list(SCHEMAS)
     absent = predate or {}
@@ -95,8 +96,7 @@ def load_tables(spark: SparkSession, root: str, tables: list[str] | None = None,
     def reader(name: str):
         def build(t: Tables) -> DataFrame:
             path = os.path.join(root, name)
-            schema = StructType([f for f in SCHEMAS[name].fields if f.name not in absent.get(name, [])])
-            return evolve_schema(t.spark.read.schema(schema).parquet(path), name)
+            return evolve_schema(t.spark.read.schema(stored_schema(name, absent.get(name))).parquet(path), name)
         return build
 
     return Tables(spark, {n: reader(n) for n in names})
