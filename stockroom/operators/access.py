@@ -120,7 +120,8 @@ def update_user_roles(requests: DataFrame, user_store: DataFrame) -> tuple[DataF
     Returns (new ``user_store`` snapshot, rejects). Several valid requests for
     one membership apply in ``request_id`` order (the last one stays).
     """
-    us = user_store.select("user_id", "store_id", F.lit(True).alias("_m"))
+    # a membership that is stored twice answers a request once
+    us = user_store.select("user_id", "store_id").distinct().withColumn("_m", F.lit(True))
     j = requests.join(us, ["user_id", "store_id"], "left")
     reason = (F.when(F.col("_m").isNull(), "User is not associated with this store")
               .when(~F.col("role").isin(*MEMBER_ROLES), "Invalid role"))
@@ -129,8 +130,8 @@ def update_user_roles(requests: DataFrame, user_store: DataFrame) -> tuple[DataF
     valid = j.filter(F.col("reason").isNull())
     # last valid request per membership: partial max, then join back (no hot-group window)
     last_id = valid.groupBy("user_id", "store_id").agg(F.max("request_id").alias("request_id"))
-    last = valid.join(last_id, ["user_id", "store_id", "request_id"], "left_semi").select(
-        "user_id", "store_id", F.col("role").alias("new_role"))
+    last = (valid.join(last_id, ["user_id", "store_id", "request_id"], "left_semi")
+            .groupBy("user_id", "store_id").agg(F.max("role").alias("new_role")))
     snap = (user_store.join(last, ["user_id", "store_id"], "left")
             .select("user_id", "store_id", F.coalesce("new_role", "role").alias("role")))
     return snap, bad

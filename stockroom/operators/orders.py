@@ -532,3 +532,20 @@ def stock_delta(changes: DataFrame) -> DataFrame:
     from .ledger import stock_ledger
     return (stock_ledger(changes).groupBy("product_id")
             .agg(F.sum("quantity").cast("bigint").alias("delta")))
+
+
+def batch_changes(out: Outcome, t: Tables, kind: str, as_of=None) -> dict:
+    """What a posted, updated or reversed batch does to the stored tables, for
+    :func:`~stockroom.sources.snapshots.apply_batch`: products that moved, orders and lines that are new, changed or gone.
+
+    ``keys`` of a reversal are the ids of the deleted orders; of any other batch ``rows`` and ``ledger`` are new versions.
+    """
+    from ..sources.snapshots import Change
+    heads, lines = f"{kind}s", f"{kind}_items"
+    moved = t.products.join(out.extra.select(F.coalesce("after.product_id", "before.product_id").alias("id")).distinct(),
+                            "id", "left_semi")
+    gone = out.extra.filter("op = 'D'").select(F.col("before.id").alias("id"))
+    deleted = out.keys is not None and out.keys.columns == ["id"]
+    return {"products": Change(next_products(moved, out.extra, as_of).select(*t.products.columns)),
+            heads: Change(out.rows.limit(0) if deleted else out.rows, out.keys if deleted else None),
+            lines: Change(out.ledger.limit(0) if deleted else out.ledger, gone)}

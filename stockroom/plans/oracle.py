@@ -195,7 +195,7 @@ GROUP BY p.id, p.store_id
 
 def _load_all() -> None:
     for mod in ("listing_oracle", "ledger_oracle", "catalog_oracle", "order_oracle",
-                "check_oracle", "access_oracle"):
+                "check_oracle", "access_oracle", "snapshot_oracle"):
         importlib.import_module(f"{__package__}.{mod}")
 
 

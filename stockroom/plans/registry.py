@@ -53,7 +53,7 @@ def register(name: str):
 def _load_all() -> None:
     # Importing the plan modules fills REGISTRY.
     for module in ("report_plans", "listing_plans", "ledger_plans", "catalog_plans", "order_plans",
-                   "check_plans", "access_plans", "stream_plans", "source_plans"):
+                   "check_plans", "access_plans", "stream_plans", "source_plans", "snapshot_plans", "sql_plans"):
         importlib.import_module(f"{__package__}.{module}")
 
 
