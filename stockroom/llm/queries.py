@@ -57,10 +57,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC archives, read those back and merge their indexes.
 
-    The table has no capture times; the stand-in is one second per page id.
+    The table has no capture times; the stand-in is one second per page id, over again after 10**9 of them.
     """
     pages = _table(spark, sf_dir, "pages").select(
-        "page_id", "url", "html", F.timestamp_seconds(F.col("page_id") + 1_700_000_000).alias("captured"))
+        "page_id", "url", "html", F.timestamp_seconds(F.pmod("page_id", F.lit(10**9)) + 1_700_000_000).alias("captured"))
     rows = warc.capture_history(pages)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
