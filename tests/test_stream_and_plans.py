@@ -39,6 +39,8 @@ def test_no_cartesian_products(spark):
     q = queries()
     skip = {"post_sales", "post_sales_lines", "post_sales_verdicts", "post_sales_single_line",
             "stream_stock_ledger", "stream_stock_on_hand", "change_stream"}
+    # those that run whole batches and read back what was written: a scan is all that is left to plan
+    skip |= {n for n in q if n.startswith("stream_") or n.endswith(("_snapshot", "_totals_current"))}
     for name in sorted(set(q) - skip):
         plan = _plan(q[name](spark, "/root/testdata/sf0.001"))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
