@@ -3,17 +3,17 @@
 A request for one row becomes an operator over a set of rows: detail
 lookups take a frame of ``(store_id, id)`` keys and semi-join it; listings
 answer for all stores at once with optional filters, and paging is per
-store (or per supplier) with a window ``row_number`` whose ``rn <= k``
-filter Spark turns into a per-group limit *before* the shuffle.
+store (or per supplier), see :mod:`stockroom.functions.pages`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters as flt
 from ..functions.money import count_rows, line_total, sum_money
+from ..functions.pages import NEAR_ROWS, page_of_each
 from ..sources.tables import Tables
 
 
@@ -142,22 +142,20 @@ def purchase_items_detail(t: Tables, purchase_keys: DataFrame | None = None) ->
 
 # ---- suppliers ---------------------------------------------------------------
 
-def _paged(df: DataFrame, part: list[str], order: list[Column], page_no: int, limit: int) -> DataFrame:
-    """Rows ``(page-1)*limit+1 .. page*limit`` of each ``part`` group in ``order``."""
-    page_no, limit = flt.check_paging(page_no, limit)
-    lo, hi = (page_no - 1) * limit, page_no * limit
-    w = Window.partitionBy(*part).orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= hi)
-            .filter(F.col("_rn") > lo).drop("_rn"))
-
+def list_suppliers(t: Tables, store_id=None, search=None, page_no: int = 1, limit: int = 10,
+                   near_rows: int = NEAR_ROWS) -> DataFrame:
+    """Suppliers matching ``search`` (name, contact, email), by name, one page per store.
 
-def list_suppliers(t: Tables, store_id=None, search=None, page_no: int = 1, limit: int = 10) -> DataFrame:
-    """Suppliers matching ``search`` (name, contact, email), by name, one page per store."""
+    Pages beyond ``near_rows`` rows are found by rank (:mod:`~stockroom.functions.pages`).
+    """
     s = flt.where(t.suppliers, flt.eq_if("store_id", store_id),
                   flt.search_any(["name", "contact_info", "email"], search))
-    if store_id is not None:
-        return flt.page(s, [F.col("name").asc_nulls_last(), F.col("id")], page_no, limit)
-    return _paged(s, ["store_id"], [F.col("name").asc_nulls_last(), F.col("id")], page_no, limit)
+    order = [F.col("name").asc_nulls_last(), F.col("id")]
+    if store_id is None:
+        return page_of_each(s, ["store_id"], order, ["name", "id"], page_no, limit, near_rows)
+    if page_no * limit <= near_rows:
+        return flt.page(s, order, page_no, limit)
+    return page_of_each(s, [], order, ["name", "id"], page_no, limit, near_rows).orderBy(*order)
 
 
 def supplier_page_info(t: Tables, store_id=None, page_no: int = 1, limit: int = 10) -> DataFrame:
@@ -178,14 +176,15 @@ def supplier_detail(t: Tables, keys: DataFrame) -> DataFrame:
 
 
 def supplier_purchases(t: Tables, start=None, end=None, page_no: int = 1, limit: int = 10,
-                       supplier_keys: DataFrame | None = None) -> DataFrame:
+                       supplier_keys: DataFrame | None = None, near_rows: int = NEAR_ROWS) -> DataFrame:
     """Each supplier's purchases (store-scoped) with total and line count, newest first, paged."""
     p = flt.where(t.purchases, flt.ts_range("created_at", start, end))
     if supplier_keys is not None:
         k = supplier_keys.select("store_id", F.col("id").alias("supplier_id"))
         p = p.join(k, ["store_id", "supplier_id"], "left_semi")
     # the page first: only its purchases' lines are summed
-    p = _paged(p, ["store_id", "supplier_id"], [F.col("created_at").desc_nulls_first(), F.col("id")], page_no, limit)
+    p = page_of_each(p, ["store_id", "supplier_id"], [F.col("created_at").desc_nulls_first(), F.col("id")],
+                     ["created_at", "id"], page_no, limit, near_rows)
     tot = _line_totals(t.purchase_items, "purchase_id", p)
     return p.join(tot, p["id"] == tot["purchase_id"], "left").select(
         *[p[c] for c in p.columns],

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.components import components
 from ..functions.ids import largest, number_rows
 from ..functions.lineage import cut, cut_and_count
 from ..functions.prefix import BUCKET, bucketed, sum_before
@@ -54,10 +55,10 @@ def _lines(req: DataFrame, key: str, extra: list[str]) -> DataFrame:
         F.col("item.quantity").alias("quantity"), F.col("item.unit_price").alias("unit_price"))
 
 
-# post_sales: after so many set-based rounds a rest of at most so many open
-# requests is decided one by one in one task, which bounds the rounds.
+# post_sales: after so many set-based rounds every other one decides the open
+# requests one by one, independent parts side by side, so many lines of a part at a time.
 SET_ROUNDS = 4
-TAIL_REQUESTS = 100_000
+GROUP_ROWS = 100_000
 
 SEVERAL = "Several requests for one order in a batch"
 
@@ -128,8 +129,9 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     least one request and the loop ends; the verdicts equal one-by-one
     posting (for positive quantities, an order's lines of one product pass
     in turn iff their sum fits). Orders that wait for one another in a long
-    chain would cost a round each, so after SET_ROUNDS rounds a rest of up to
-    TAIL_REQUESTS open requests is decided one by one. The driver only counts open requests per
+    chain would cost a round each, so from SET_ROUNDS rounds on every other one
+    goes through the parts that wait for one another, each by itself
+    (:func:`_post_by_component`). The driver only counts open requests per
     round; the state is checkpointed each round
     (:func:`~stockroom.functions.lineage.cut`) to cut the lineage.
 
@@ -185,11 +187,10 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
                 .otherwise(F.col("status")).alias("status")), "status = 'open'")
     rounds = 0
     while n_open > 0:  # ends: each round decides at least the earliest open request
-        if rounds >= SET_ROUNDS and n_open <= TAIL_REQUESTS:
-            rounds += 1
-            state = cut(_post_tail(demand, state, key))
-            break
         rounds += 1
+        if rounds > SET_ROUNDS and (rounds - SET_ROUNDS) % 2 == 1:
+            state, n_open = cut_and_count(_post_by_component(demand, state, key), "status = 'open'")
+            continue
         d = demand.join(state, key)
         if rounds > 1:
             # only products with an open request can change a verdict: later
@@ -253,19 +254,29 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     return out
 
 
-def _post_tail(demand: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """``state`` with the open requests decided one by one, in one task.
+def _post_by_component(demand: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """``state`` with open requests decided one by one, those that share no contended product side by side.
 
-    Called for at most TAIL_REQUESTS open requests, however long the chain of
-    orders that wait for one another. What they see of the stock -- the
-    opening less the accepted orders before them -- comes from the running
-    sums; the task only adds what it accepts itself.
+    A product is contended if an open line of it may fail; only through such
+    products does a request wait for another, so the components of that
+    graph are independent. Each gives its first GROUP_ROWS lines in posting
+    order, in whole requests; the earliest open requests need no later one. What
+    they see of the stock, the opening less the accepted orders before them,
+    comes from the running sums; a task only adds what it accepts itself. It
+    holds whole components of 2 * GROUP_ROWS lines, and one order, at most.
     """
-    d = demand.join(state, key)
+    d = demand.filter(F.col("stock").isNotNull()).join(state.filter("status <> 'rejected'"), key)
     d = d.join(d.filter("status = 'open'").select("product_id").distinct(), "product_id", "left_semi")
     d = d.withColumn("lo", F.when(F.col("status") == "accepted", F.col("q")).otherwise(F.lit(0)))
-    d = sum_before(d, "product_id", "requested_at", [key], ["lo"]).filter("status = 'open'")
-    rows = d.select(key, "requested_at", "product_id", (F.col("stock") - F.col("lo_before")).alias("left"), "q")
+    d = sum_before(d.withColumn("hi", F.col("q")), "product_id", "requested_at", [key], ["hi", "lo"])
+    d = d.filter("status = 'open'")
+    contended = d.filter("stock - hi_before < q").select("product_id").distinct()
+    rows = cut(d.join(contended, "product_id", "left_semi")
+               .select(key, "requested_at", "product_id", (F.col("stock") - F.col("lo_before")).alias("left"), "q"))
+    if rows.count() <= GROUP_ROWS:  # one group, whatever the components
+        grouped = rows.withColumn("_group", F.lit(0).cast("bigint"))
+    else:
+        grouped = rows.join(_groups(rows, key), key)
 
     def decide(group):
         import pandas as pd
@@ -275,18 +286,31 @@ def _post_tail(demand: DataFrame, state: DataFrame, key: str) -> DataFrame:
         out = []
         for request, lines in group.groupby(key, sort=False):
             lines = list(zip(lines["product_id"], lines["left"], lines["q"]))
-            ok = all(left is None or left != left or left - taken.get(p, 0) >= q for p, left, q in lines)
+            ok = all(left - taken.get(p, 0) >= q for p, left, q in lines)
             if ok:
                 for p, _, q in lines:
                     taken[p] = taken.get(p, 0) + q
             out.append((request, "accepted" if ok else "rejected"))
         return pd.DataFrame(out, columns=[key, "verdict"])
 
-    verdict = rows.groupBy(F.lit(0).alias("all")).applyInPandas(decide, f"{key} long, verdict string")
+    verdict = grouped.groupBy("_group").applyInPandas(decide, f"{key} long, verdict string")
     return (state.join(verdict, key, "left")
             .select(key, F.coalesce("verdict", "status").alias("status")))
 
 
+def _groups(rows: DataFrame, key: str) -> DataFrame:
+    """(key, ``_group``) of the first GROUP_ROWS lines of each component of ``rows`` in posting order."""
+    requests = rows.groupBy(key, "requested_at").agg(F.min("product_id").alias("a"), F.count(F.lit(1)).alias("_lines"))
+    links = rows.join(requests.select(key, "a"), key).select("a", F.col("product_id").alias("b"))
+    part = components(links).withColumnRenamed("node", "a")
+    requests = (requests.join(part, "a", "left")
+                .select(key, "requested_at", "_lines", F.coalesce("component", "a").alias("component")))
+    placed = number_rows(requests, ["component", "requested_at", key], "_n", weight="_lines")
+    start = placed.groupBy("component").agg(F.min("_lines_before").alias("_start"))
+    return (placed.join(start, "component").filter(F.col("_lines_before") - F.col("_start") < GROUP_ROWS)
+            .select(key, F.expr(f"_start div {GROUP_ROWS}").alias("_group")))
+
+
 def _numbered(heads: DataFrame, lines: DataFrame, last_id: int) -> DataFrame:
     """Accepted headers with their ``id`` in posting order, and ``_lines_before``, the lines of those before them."""
     n = lines.groupBy("request_id").agg(F.count(F.lit(1)).alias("_lines"))

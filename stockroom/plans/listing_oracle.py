@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .listing_plans import (MAX_PRICE, MIN_PRICE, PAYMENT_METHOD, PRODUCT_SEARCH, SP_LIMIT, SP_PAGE,
-                            SP_START, SUPPLIER_LIMIT, SUPPLIER_PAGE, SUPPLIER_SEARCH, WILDCARD_SEARCH)
+from .listing_plans import (LATE_LIMIT, LATE_PAGE, MAX_PRICE, MIN_PRICE, PAST_PAGE, PAYMENT_METHOD, PRODUCT_SEARCH,
+                            SP_LIMIT, SP_PAGE, SP_START, SUPPLIER_LIMIT, SUPPLIER_PAGE, SUPPLIER_SEARCH, WILDCARD_SEARCH)
 from .oracle import MONEY, ORACLE, oracle
 from .registry import RANGE_END, RANGE_START
 
@@ -134,8 +134,7 @@ SELECT s.* FROM {suppliers} s
 WHERE EXISTS (SELECT 1 FROM {supplier_keys} k WHERE k.store_id = s.store_id AND k.id = s.id)
 """)
 
-_slo, _shi = (SP_PAGE - 1) * SP_LIMIT, SP_PAGE * SP_LIMIT
-oracle("supplier_purchases", f"""
+_SUPPLIER_PURCHASES = f"""
 SELECT * EXCLUDE (rn) FROM (
   SELECT x.*, row_number() OVER (PARTITION BY x.store_id, x.supplier_id ORDER BY x.created_at DESC, x.id) AS rn
   FROM (
@@ -145,15 +144,33 @@ SELECT * EXCLUDE (rn) FROM (
     WHERE p.created_at >= TIMESTAMP '{SP_START} 00:00:00'
     GROUP BY ALL
   ) x
-) y WHERE rn > {_slo} AND rn <= {_shi}
+) y WHERE rn """
+oracle("supplier_purchases", f"{_SUPPLIER_PURCHASES} BETWEEN {(SP_PAGE - 1) * SP_LIMIT + 1} AND {SP_PAGE * SP_LIMIT}")
+_late = f"BETWEEN {(LATE_PAGE - 1) * LATE_LIMIT + 1} AND {LATE_PAGE * LATE_LIMIT}"
+oracle("supplier_purchases_late_page", f"{_SUPPLIER_PURCHASES} {_late}")
+oracle("list_suppliers_late_page", f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY s.store_id ORDER BY s.name, s.id) AS rn FROM {{suppliers}} s
+) x WHERE rn {_late}
+""")
+oracle("list_suppliers_store_late_page", f"""
+SELECT * FROM {{suppliers}} WHERE store_id = 3 ORDER BY name, id LIMIT {LATE_LIMIT} OFFSET {(LATE_PAGE - 1) * LATE_LIMIT}
 """)
-oracle("supplier_purchases_count", f"""
-SELECT s.store_id, s.id AS supplier_id, cast(count(DISTINCT p.id) as bigint) AS total, {SP_PAGE} AS page,
-       {SP_LIMIT} AS "limit", cast(ceil(count(DISTINCT p.id) / {SP_LIMIT}) as bigint) AS pages
+def _purchases_count(page: int, limit: int, more: str = "") -> str:
+    return f"""
+SELECT s.store_id, s.id AS supplier_id, cast(count(DISTINCT p.id) as bigint) AS total, {page} AS page,
+       {limit} AS "limit", cast(ceil(count(DISTINCT p.id) / {limit}) as bigint) AS pages{more}
 FROM {{suppliers}} s LEFT JOIN {{purchases}} p ON p.supplier_id = s.id AND p.store_id = s.store_id
   AND p.created_at >= TIMESTAMP '{SP_START} 00:00:00'
 GROUP BY s.store_id, s.id
-""")
+"""
+
+
+oracle("supplier_purchases_count", _purchases_count(SP_PAGE, SP_LIMIT))
+# ranks begin after all purchases of a supplier
+oracle("supplier_purchases_past_end", _purchases_count(
+    PAST_PAGE, LATE_LIMIT, f", cast(greatest(0, least({LATE_LIMIT}, count(DISTINCT p.id) - {(PAST_PAGE - 1) * LATE_LIMIT})) "
+    "as bigint) AS rows_on_page"))
 
 oracle("list_categories", "SELECT * FROM {categories}")
 oracle("category_detail", """

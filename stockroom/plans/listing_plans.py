@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import documents as D
 from ..operators import listings as L
 from .registry import RANGE_END, RANGE_START, register
@@ -12,6 +14,8 @@ WILDCARD_SEARCH = "%b_lt"
 PAYMENT_METHOD = "1-URGENT"
 SUPPLIER_SEARCH, SUPPLIER_PAGE, SUPPLIER_LIMIT = "supplier", 2, 2
 SP_START, SP_PAGE, SP_LIMIT = "1996-06-01", 2, 5
+# Pages beyond the first NEAR rows of their group are found by rank; PAST's page is empty for all.
+NEAR, LATE_PAGE, LATE_LIMIT, PAST_PAGE = 4, 3, 3, 1_000_000
 
 register("list_products")(lambda t: L.list_products(
     t, search=PRODUCT_SEARCH, min_price=MIN_PRICE, max_price=MAX_PRICE, in_stock="true"))
@@ -43,3 +47,19 @@ register("category_detail")(lambda t: L.category_detail(t, t.category_keys))
 register("user_stores")(lambda t: L.user_stores(t))
 register("store_detail")(lambda t: L.store_detail(t, t.store_pairs))
 register("store_users")(lambda t: L.store_users(t))
+register("list_suppliers_late_page")(lambda t: L.list_suppliers(
+    t, page_no=LATE_PAGE, limit=LATE_LIMIT, near_rows=NEAR))
+register("list_suppliers_store_late_page")(lambda t: L.list_suppliers(
+    t, store_id=3, page_no=LATE_PAGE, limit=LATE_LIMIT, near_rows=NEAR))
+register("supplier_purchases_late_page")(lambda t: L.supplier_purchases(
+    t, start=SP_START, page_no=LATE_PAGE, limit=LATE_LIMIT, near_rows=NEAR))
+
+
+@register("supplier_purchases_past_end")
+def _past_end(t):
+    """A page behind every supplier's last one: each envelope with the number of rows on the page."""
+    page = L.supplier_purchases(t, start=SP_START, page_no=PAST_PAGE, limit=LATE_LIMIT)
+    n = page.groupBy("store_id", "supplier_id").agg(F.count(F.lit(1)).alias("_n"))
+    info = L.supplier_purchases_count(t, start=SP_START, page_no=PAST_PAGE, limit=LATE_LIMIT)
+    return info.join(n, ["store_id", "supplier_id"], "left").select(
+        *info.columns, F.coalesce("_n", F.lit(0).cast("bigint")).alias("rows_on_page"))
