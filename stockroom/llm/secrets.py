@@ -5,8 +5,10 @@ leftmost and non-overlapping. Two first-order Markov models over characters are
 trained on labelled strings of bounded samples, one of the rows with pattern
 spans and one of those without: strings inside pattern spans are random, words of
 rows without any are ordinary. A long run of key characters
-outside the pattern spans is a further span (``random``) when its mean
-log-likelihood ratio per transition says random. DataFrame functions only.
+outside the pattern spans, or what these leave of it, is a further span
+(``random``) when its mean log-likelihood ratio per transition says random.
+DataFrame functions only; spans are gathered in blocks, so that a text's cost
+grows with its length, not with the square of its spans.
 
 Results for special rows: a null or empty text has no spans; a null or repeated
 ``doc_id`` is scanned row by row. Positions are code points, ends exclusive.
@@ -41,25 +43,55 @@ SAMPLE_ROWS = 20_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 CLASSES = len(ALPHABET) + 1  # class 0: any other character
 
-SPAN_TYPE = "array<struct<start:int,rank:int,end:int>>"
+# Spans and pieces are gathered in blocks of so many before the blocks are put together.
+BLOCK = 256
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is so evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _blocks(array: str) -> str:
+    """SQL for the array named ``array``, not empty, cut into arrays of BLOCK elements."""
+    return f"transform(sequence(0, (size({array}) - 1) div {BLOCK}), b -> slice({array}, b * {BLOCK} + 1, {BLOCK}))"
 
 
 def _found(pattern: str, rank: int, text: str = "text__", least: int = 0) -> str:
     """SQL for the spans of the matches of ``pattern``: between two matches lies one piece of the split text."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    spans = "array<struct<start:int,rank:int,end:int,value:string>>"
     hits = (f"zip_with(split({text}, '{quoted}', -1), regexp_extract_all({text}, '{quoted}', 0), "
             "(p, h) -> named_struct('piece', p, 'hit', h, 'value', h))")
     if least:
         hits = (f"zip_with({hits}, regexp_extract_all({text}, '{quoted}', 2), "
                 "(x, v) -> named_struct('piece', x.piece, 'hit', x.hit, 'value', v))")
-    return (
-        f"CASE WHEN {text} RLIKE '{quoted}' THEN filter(aggregate({hits}, "
-        f"named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,rank:int,end:int,value:string>>)), "
-        f"(a, x) -> named_struct('at', a.at + length(x.piece) + coalesce(length(x.hit), 0), 'out', "
-        f"CASE WHEN x.hit IS NULL THEN a.out ELSE concat(a.out, array(named_struct("
-        f"'start', a.at + length(x.piece), 'rank', {rank}, 'end', a.at + length(x.piece) + length(x.hit), "
-        f"'value', x.value))) END), a -> a.out), "
-        f"s -> length(s.value) >= {least}) ELSE cast(array() AS array<struct<start:int,rank:int,end:int,value:string>>) END")
+    block = (
+        f"aggregate(block, named_struct('at', a.at, 'out', cast(array() AS {spans})), "
+        f"(c, x) -> named_struct('at', c.at + length(x.piece) + coalesce(length(x.hit), 0), 'out', "
+        f"CASE WHEN x.hit IS NULL THEN c.out ELSE concat(c.out, array(named_struct("
+        f"'start', c.at + length(x.piece), 'rank', {rank}, 'end', c.at + length(x.piece) + length(x.hit), "
+        f"'value', x.value))) END))")
+    step = _let("r", block, "named_struct('at', r.at, 'out', concat(a.out, array(r.out)))")
+    found = _let("hits", hits, f"flatten(aggregate({_blocks('hits')}, "
+                               f"named_struct('at', 0, 'out', cast(array() AS array<{spans}>)), "
+                               f"(a, block) -> {step}, a -> a.out))")
+    return (f"CASE WHEN {text} RLIKE '{quoted}' THEN filter({found}, s -> length(s.value) >= {least}) "
+            f"ELSE cast(array() AS {spans}) END")
+
+
+def _replaced(text: str, spans: str, whole: str, rest: str) -> str:
+    """SQL for ``text`` with its ``spans`` (some, by start) replaced by ``whole``, or by ``rest`` where one overlaps
+    those before it; both may use the span ``s`` and ``c.at``, where the text is done up to."""
+    block = (
+        "aggregate(block, named_struct('at', a.at, 'out', ''), (c, s) -> CASE WHEN s.start < c.at "
+        f"THEN named_struct('at', greatest(c.at, s.end), 'out', concat(c.out, {rest})) "
+        f"ELSE named_struct('at', s.end, 'out', concat(c.out, substr(part, c.at - a.at + 1, s.start - c.at), {whole})) END)")
+    reach = "substr(a.rest, 1, greatest(0, array_max(transform(block, s -> s.end)) - a.at))"
+    step = _let("part", reach, _let("r", block, "named_struct('at', r.at, 'rest', substr(a.rest, r.at - a.at + 1), "
+                                                "'out', concat(a.out, array(r.out)))"))
+    return (f"aggregate({_blocks(spans)}, named_struct('at', 0, 'rest', {text}, 'out', cast(array() AS array<string>)), "
+            f"(a, block) -> {step}, a -> concat_ws('', a.out, a.rest))")
 
 
 def with_patterns(docs: DataFrame) -> DataFrame:
@@ -93,9 +125,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[float]:
         F.lit(0).alias("label"), F.explode(F.split("text__", SPACE_RUN)).alias("s")).filter("length(s) >= 4")
     random = rows.select(F.lit(1).alias("label"), F.explode("values").alias("s"))
     strings = random.unionByName(ordinary).groupBy("label", "s").agg(F.count(F.lit(1)).alias("n"))
-    steps = strings.select("label", "n", F.explode(F.expr(
-        f"transform(sequence(1, length(s) - 1), i -> struct({_class('substr(s, i, 1)')} AS a, "
-        f"{_class('substr(s, i + 1, 1)')} AS b))")).alias("step"))
+    steps = strings.select("label", "n", F.split("s", "").alias("c")).select("label", "n", F.explode(F.expr(
+        f"transform(sequence(1, size(c) - 1), i -> struct({_class('c[i - 1]')} AS a, {_class('c[i]')} AS b))")).alias("step"))
     counted = steps.groupBy("label", "step.a", "step.b").agg(F.sum("n").alias("n"))
     tables = [[0] * (CLASSES * CLASSES) for _ in range(2)]
     for label, a, b, n in counted.collect():  # at most two rows per pair of classes
@@ -123,16 +154,18 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = T
         model = train(docs)
     rows = with_patterns(docs)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    rows = rows.withColumn("runs__", F.when(F.col("text__").rlike(CANDIDATE), F.expr(
-        f"filter({_found(CANDIDATE, 3)}, s -> s.value RLIKE '[0-9]' AND s.value RLIKE '[A-Za-z]' "
-        "AND NOT exists(base__, b -> b.start < s.end AND s.start < b.end))")))
-    score = (f"aggregate(sequence(1, length(s.value) - 1), 0.0D, (t, i) -> t + get(table__, "
-             f"{_class('substr(s.value, i, 1)')} * {CLASSES} + {_class('substr(s.value, i + 1, 1)')}))")
+    blank = _replaced("text__", "base__", "repeat(' ', s.end - s.start)", "repeat(' ', greatest(0, s.end - c.at))")
+    rows = rows.withColumn("outside__", F.when(F.col("text__").rlike(CANDIDATE), F.expr(
+        f"CASE WHEN size(base__) > 0 THEN {blank} ELSE text__ END")))
+    rows = rows.withColumn("runs__", F.expr(
+        f"filter({_found(CANDIDATE, 3, 'outside__')}, s -> s.value RLIKE '[0-9]' AND s.value RLIKE '[A-Za-z]')"))
+    score = _let("c", "split(s.value, '')", "aggregate(sequence(1, size(c) - 1), 0.0D, (t, i) -> t + get(table__, "
+                 f"{_class('c[i - 1]')} * {CLASSES} + {_class('c[i]')}))")
     rows = rows.withColumn("table__", F.when(F.size("runs__") > 0, table))
     rows = rows.withColumn("random__", F.expr(
         f"CASE WHEN size(runs__) > 0 THEN filter(runs__, s -> {score} >= {threshold} * (length(s.value) - 1)) END"))
     return (rows.withColumn("spans__", F.when(F.size("random__") > 0, F.sort_array(F.concat("base__", "random__")))
-                            .otherwise(F.col("base__"))).drop("runs__", "table__", "random__"))
+                            .otherwise(F.col("base__"))).drop("outside__", "runs__", "table__", "random__"))
 
 
 def joined(spans: str) -> Column:
@@ -157,12 +190,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>", threshold: float = THRESHOLD
     """
     rows = scan(docs, None, threshold)
     changed = F.size("spans__") > 0
-    # pieces of text between the spans: a span begins at the furthest end so far at the earliest
-    text = F.expr(
-        "aggregate(spans__, named_struct('at', 0, 'out', ''), (a, s) -> CASE WHEN s.start < a.at "
-        "THEN named_struct('at', greatest(a.at, s.end), 'out', a.out) "
-        f"ELSE named_struct('at', s.end, 'out', concat(a.out, substr(text__, a.at + 1, s.start - a.at), '{mark}')) END, "
-        "a -> concat(a.out, substr(text__, a.at + 1)))")
+    text = F.expr(_replaced("text__", "spans__", f"'{mark}'", "''"))
     rows = rows.withColumn("new_text__", F.when(changed, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
