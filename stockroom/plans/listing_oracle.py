@@ -154,8 +154,10 @@ SELECT * EXCLUDE (rn) FROM (
 ) x WHERE rn {_late}
 """)
 oracle("list_suppliers_store_late_page", f"""
-SELECT * FROM {{suppliers}} WHERE store_id = 3 ORDER BY name, id LIMIT {LATE_LIMIT} OFFSET {(LATE_PAGE - 1) * LATE_LIMIT}
+SELECT * FROM {{suppliers}} WHERE store_id = 3 ORDER BY name, id LIMIT {SUPPLIER_LIMIT} OFFSET {(SUPPLIER_PAGE - 1) * SUPPLIER_LIMIT}
 """)
+
+
 def _purchases_count(page: int, limit: int, more: str = "") -> str:
     return f"""
 SELECT s.store_id, s.id AS supplier_id, cast(count(DISTINCT p.id) as bigint) AS total, {page} AS page,

@@ -50,7 +50,7 @@ register("store_users")(lambda t: L.store_users(t))
 register("list_suppliers_late_page")(lambda t: L.list_suppliers(
     t, page_no=LATE_PAGE, limit=LATE_LIMIT, near_rows=NEAR))
 register("list_suppliers_store_late_page")(lambda t: L.list_suppliers(
-    t, store_id=3, page_no=LATE_PAGE, limit=LATE_LIMIT, near_rows=NEAR))
+    t, store_id=3, page_no=SUPPLIER_PAGE, limit=SUPPLIER_LIMIT, near_rows=0))
 register("supplier_purchases_late_page")(lambda t: L.supplier_purchases(
     t, start=SP_START, page_no=LATE_PAGE, limit=LATE_LIMIT, near_rows=NEAR))
 
