@@ -13,6 +13,19 @@ def largest(df: DataFrame, column: str = "id") -> int:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("bigint")).first()[0]
 
 
+def number_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Add ``name`` = 0, 1, ... in ``order`` among the rows of one ``key``.
+
+    The rows of a key may lie in any number of tasks: they are numbered as one
+    range-sorted run (:func:`number_rows`), less the key's first number. Rows
+    without a key are left out.
+    """
+    placed = number_rows(df.filter(F.col(key).isNotNull()), [key, *order], "_number")
+    first = placed.groupBy(key).agg(F.min("_number").alias("_first"))
+    return (placed.join(first, key).withColumn(name, (F.col("_number") - F.col("_first")).cast("bigint"))
+            .drop("_number", "_first"))
+
+
 def number_rows(df: DataFrame, order: list[str | Column] | None, name: str, above: int = 0,
                 weight: str | None = None) -> DataFrame:
     """Add ``name`` = ``above`` + 1, 2, ... in ``order`` (None: any order, and no shuffle).

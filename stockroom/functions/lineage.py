@@ -1,4 +1,4 @@
-"""Cutting lineage: reliable checkpoints.
+"""Cutting lineage: reliable checkpoints and kept tables.
 
 They write to the shared folder named by ``spark.checkpoint.dir`` and give a
 frame whose plan is a leaf, so iterative jobs keep short plans and a lost
@@ -26,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet under the shared checkpoint folder and read back.
+
+    For a frame that several jobs read: each reads the columns it needs, none
+    derives them again, and no executor holds them in its cache.
+    """
+    from ..session import scratch_dir
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_and_count(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
     """:func:`cut` whose checkpoint is written by the job that counts the rows
     matching ``condition`` (one computation for both)."""

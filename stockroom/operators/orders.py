@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.components import components
-from ..functions.ids import largest, number_rows
-from ..functions.lineage import cut, cut_and_count
+from ..functions.ids import largest, number_rows, number_within
+from ..functions.lineage import cut, cut_and_count, keep
 from ..functions.prefix import BUCKET, bucketed, sum_before
 from ..sources.changes import LINE_CHANGE
 from ..sources.schemas import MONEY, evolve_schema
@@ -39,8 +39,25 @@ def short_msg(name: Column) -> Column:
     return F.concat(F.lit("Not enough stock for product "), name)
 
 
-def nest_items(headers: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """Request rows with ``items`` = their lines in ``line_no`` order (NULL if none)."""
+# nest_items: so many lines at most in one array of a posted request.
+PART_LINES = 1_000
+
+
+def nest_items(headers: DataFrame, lines: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Request rows with ``items`` = their lines in ``line_no`` order (NULL if none).
+
+    With ``most``, a request of more lines comes in several rows of at most so many; ``first_pos`` is the place
+    of a row's first line in its request. The posting operators read these; no task holds a request whole.
+    """
+    if most is not None:
+        order = ["line_no", "product_id", "quantity", "unit_price"]
+        placed = number_within(lines.select(key, *order), key, order, "_pos")
+        per = placed.groupBy(key, F.expr(f"_pos div {most}").alias("_part")).agg(
+            F.array_sort(F.collect_list(F.struct("_pos", *order[1:]))).alias("_items"))
+        return (headers.join(per, key, "left")
+                .withColumn("items", F.transform("_items", lambda x: F.struct(*[x[c].alias(c) for c in order[1:]])))
+                .withColumn("first_pos", F.coalesce(F.col("_part") * most, F.lit(0)).cast("bigint"))
+                .drop("_items", "_part"))
     item = F.struct("line_no", "product_id", "quantity", "unit_price")
     per = lines.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     items = F.transform("_items", lambda x: F.struct(x["product_id"].alias("product_id"),
@@ -49,9 +66,19 @@ def nest_items(headers: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     return headers.join(per, key, "left").withColumn("items", items).drop("_items")
 
 
+def _posted(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of posted requests, written once, and those of them that stand for a request: its first ones."""
+    if "first_pos" not in requests.columns:
+        requests = requests.withColumn("first_pos", F.lit(0).cast("bigint"))
+    requests = keep(requests, "requests")
+    return requests, requests.filter("first_pos = 0").withColumn("_no_items", F.col("items").isNull()).drop("items", "first_pos")
+
+
 def _lines(req: DataFrame, key: str, extra: list[str]) -> DataFrame:
-    return req.select(key, *extra, F.posexplode("items").alias("pos", "item")).select(
-        key, *extra, "pos", F.col("item.product_id").alias("product_id"),
+    pos = F.col("first_pos") + F.col("pos") if "first_pos" in req.columns else F.col("pos")
+    first = ["first_pos"] if "first_pos" in req.columns else []
+    return req.select(key, *extra, *first, F.posexplode("items").alias("pos", "item")).select(
+        key, *extra, pos.cast("int").alias("pos"), F.col("item.product_id").alias("product_id"),
         F.col("item.quantity").alias("quantity"), F.col("item.unit_price").alias("unit_price"))
 
 
@@ -142,9 +169,10 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     theirs above ``last_change_id``.
     """
     key = "request_id"
-    requests, several = single_requests(requests, key, [key])
-    heads = requests.select(key, "store_id", "user_id", "customer_id", "payment_method", "notes",
-                            "requested_at", F.col("items").isNull().alias("_no_items"))
+    requests, heads = _posted(requests)
+    heads, several = single_requests(heads, key, [key])
+    heads = heads.select(key, "store_id", "user_id", "customer_id", "payment_method", "notes", "requested_at", "_no_items")
+    requests = requests.join(heads.select(key), key, "left_semi")
     # -- header checks
     if user_store is not None:
         auth = authorize_requests(heads.select(key, "user_id", "store_id"), user_store, "create_sale")
@@ -156,7 +184,7 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     head_reason = (head_reason.when(cust_bad, F.lit(INVALID_CUSTOMER)) if head_reason is not None
                    else F.when(cust_bad, F.lit(INVALID_CUSTOMER)))
     head_reason = head_reason.when(F.col("_no_items"), F.lit("Items are required"))
-    heads = heads.withColumn("head_reason", head_reason).drop("_cust")
+    heads = keep(heads.withColumn("head_reason", head_reason).drop("_cust"), "heads")
 
     # -- lines with their product
     prod = t.products.select(F.col("id").alias("product_id"), "store_id", F.col("quantity").alias("stock"),
@@ -348,16 +376,17 @@ def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None
     are given as in :func:`post_sales`, in (requested_at, request_id) order.
     """
     key = "request_id"
-    requests, several = single_requests(requests, key, [key])
-    heads = requests.select(key, "store_id", "user_id", "supplier_id", "notes", "requested_at",
-                            F.col("items").isNull().alias("_no_items"))
+    requests, heads = _posted(requests)
+    heads, several = single_requests(heads, key, [key])
+    heads = heads.select(key, "store_id", "user_id", "supplier_id", "notes", "requested_at", "_no_items")
+    requests = requests.join(heads.select(key), key, "left_semi")
     if user_store is not None:
         auth = authorize_requests(heads.select(key, "user_id", "store_id"), user_store, "create_purchase")
         heads = heads.join(auth.select(key, F.col("reason").alias("_access")), key, "left")
     sup = t.suppliers.select(F.col("id").alias("supplier_id"), "store_id").withColumn("_sup", F.lit(True))
     heads = heads.join(sup, ["supplier_id", "store_id"], "left")
     prod = t.products.select(F.col("id").alias("product_id"), "store_id").withColumn("_found", F.lit(True))
-    lines = _lines(requests, key, ["store_id"]).join(prod, ["product_id", "store_id"], "left")
+    lines = keep(_lines(requests, key, ["store_id"]).join(prod, ["product_id", "store_id"], "left"), "lines")
     first_bad = (lines.filter(F.col("_found").isNull())
                  .groupBy(key).agg(F.min(F.struct("pos", "product_id")).alias("_m"))
                  .select(key, not_found_msg(F.col("_m.product_id")).alias("line_reason")))
@@ -369,7 +398,7 @@ def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None
                       (F.col("_no_items"), F.lit("Items are required")),
                       (F.col("line_reason").isNotNull(), F.col("line_reason"))]:
         reason = F.when(cond, msg) if reason is None else reason.when(cond, msg)
-    heads = heads.withColumn("reason", reason)
+    heads = keep(heads.withColumn("reason", reason), "heads")
     ok = _numbered(heads.filter(F.col("reason").isNull()), lines, largest(t.purchases))
     rejects = heads.filter(F.col("reason").isNotNull()).select(key, "reason").unionByName(several)
     purchases = evolve_schema(ok.select("id", "store_id", "supplier_id", "user_id", "notes",
@@ -418,7 +447,7 @@ def _apply_updates(requests: DataFrame, t: Tables, kind: str, user_store: DataFr
                       (F.col("_head").isNull(), "Sale not found" if sale else "Purchase not found"),
                       (F.col("_dup"), "Duplicate product in items")]:
         reason = F.when(cond, F.lit(msg)) if reason is None else reason.when(cond, F.lit(msg))
-    req = req.withColumn("reason", reason)
+    req = keep(req.withColumn("reason", reason), "updates")
     ok, several = single_requests(req.filter(F.col("reason").isNull()), key, [key, "store_id"])
     rejects = req.filter(F.col("reason").isNotNull()).select(key, "store_id", "reason").unionByName(several)
 
@@ -509,7 +538,7 @@ def _reverse(requests: DataFrame, t: Tables, kind: str, user_store: DataFrame |
     msg = "Sale not found" if sale else "Purchase not found"
     reason = F.when(F.col("_head").isNull(), F.lit(msg)) if reason is None else reason.when(
         F.col("_head").isNull(), F.lit(msg))
-    req = req.withColumn("reason", reason)
+    req = keep(req.withColumn("reason", reason), "reversals")
     valid = req.filter(F.col("reason").isNull())
     ok = (valid.groupBy(key, "store_id").agg(F.min("user_id").alias("user_id"), F.count(F.lit(1)).alias("_n")))
     late = (ok.filter("_n > 1").withColumn("_k", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n"))))
