@@ -14,8 +14,9 @@ constant boxes (without paragraphs, headings, lists or tables, or nearly all
 links) are dropped, so that a paragraph that many articles share stays.
 
 Trees are aligned as outlines: inline markup folded into its block, runs of
-equal siblings and of running text into one node. Siblings too many for the
-quadratic alignment are matched in order.
+equal siblings and of running text into one node. Siblings are aligned exactly
+however many they are; the table of an alignment is kept in part and made again
+where it is read.
 
 Results for special rows: a null html is empty and has empty text; pages
 without a usable url form a host of their own; a null or repeated ``page_id`` is
@@ -29,6 +30,7 @@ import html as entities
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,7 +39,7 @@ from .common import small_side, stored
 GROUP = 32
 CONSTANT_PAGES = 4        # a node on fewer distinct pages is never called constant
 CONSTANT_SHARE = 0.8      # of the pages that have it
-SIBLING_PAIRS = 40_000    # beyond that, siblings are matched in order
+WIDE = 64                 # so many siblings are aligned a row at a time by numpy, fewer one by one; the pairs are the same
 DEEPEST = 60              # levels of the outline
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s "
@@ -256,7 +258,7 @@ class Page:
 
 class Outline:
     """A node of an outline, or of the template (with what the pages' nodes say there)."""
-    __slots__ = ("label", "marks", "parent", "children", "said", "text", "to", "pages", "texts")
+    __slots__ = ("label", "marks", "parent", "children", "said", "text", "to", "pages", "texts", "shape")
 
     def __init__(self, label: str, parent: Outline | None, marks: frozenset = frozenset()):
         self.label, self.marks, self.parent = label, marks, parent
@@ -264,6 +266,7 @@ class Outline:
         self.said: list[str] = []
         self.text, self.to = 0, None
         self.pages, self.texts = 0, None
+        self.shape = -1
         if parent is not None:
             parent.children.append(self)
 
@@ -290,50 +293,89 @@ def match(a: Outline, b: Outline, memo: dict) -> int:
         return 0
     if not a.children or not b.children:
         return 1
-    key = (id(a), id(b))
+    key = (a.shape, b.shape)
     if key not in memo:
-        memo[key] = 1 + _align(a, b, memo)[-1][-1]
+        memo[key] = 1 + Alignment(a, b, memo).best
     return memo[key]
 
 
-def _align(a: Outline, b: Outline, memo: dict) -> list[list[int]]:
-    table = [[0] * (len(b.children) + 1)]
-    for x in a.children:
-        above, row = table[-1], [0]
-        for j, y in enumerate(b.children):
+class Alignment:
+    """The table of best matchings of the first children of ``a`` with the first children of ``b``.
+
+    Every entry follows from the row before, so only each ``step``-th row is kept; the rows between
+    are made again, step by step, when the pairs are read back from the end. Weights depend on the
+    shapes of the two children only.
+    """
+
+    def __init__(self, a: Outline, b: Outline, memo: dict):
+        self.a, self.b, self.memo = a.children, b.children, memo
+        self.step = int(len(self.a) ** 0.5) + 1
+        self.weights: dict = {}
+        self.wide = len(self.b) >= WIDE
+        row = np.zeros(len(self.b) + 1, dtype=np.int32) if self.wide else [0] * (len(self.b) + 1)
+        if self.wide:
+            first = {y.shape: y for y in self.b}  # one child of each shape
+            place = {shape: k for k, shape in enumerate(first)}
+            self.kinds, self.at = list(first.values()), np.array([place[y.shape] for y in self.b])
+        self.kept = {0: row}
+        for i, x in enumerate(self.a, 1):
+            row = self._next(row, x)
+            if i % self.step == 0:
+                self.kept[i] = row
+        self.best = int(row[-1])
+
+    def _weight(self, x: Outline):
+        """What pairing ``x`` with each child of ``b`` gives; 0: their labels differ."""
+        if x.shape not in self.weights:
+            if self.wide:
+                w = np.array([match(x, y, self.memo) for y in self.kinds], dtype=np.int32)[self.at]
+            else:
+                w = [match(x, y, self.memo) for y in self.b]
+            self.weights[x.shape] = w
+        return self.weights[x.shape]
+
+    def _next(self, above, x: Outline):
+        w = self._weight(x)
+        if self.wide:
+            row = above.copy()
+            np.maximum(row[1:], above[:-1] + w, out=row[1:])  # without a pair it is at most the entry above
+            return np.maximum.accumulate(row, out=row)
+        row = [0]
+        for j, k in enumerate(w):
             best = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if x.label == y.label:
-                w = above[j] + match(x, y, memo)
-                if w > best:
-                    best = w
+            if k and above[j] + k > best:
+                best = above[j] + k
             row.append(best)
-        table.append(row)
-    return table
+        return row
+
+    def pairs(self) -> list[tuple[Outline, Outline]]:
+        m, n, out = len(self.a), len(self.b), []
+        while m and n:
+            first = (m - 1) // self.step * self.step
+            rows = [self.kept[first]]
+            for x in self.a[first:m]:
+                rows.append(self._next(rows[-1], x))
+            while m > first and n:
+                here, above = rows[m - first], rows[m - first - 1]
+                if here[n] == above[n]:
+                    m -= 1
+                elif here[n] == here[n - 1]:
+                    n -= 1
+                else:
+                    m, n = m - 1, n - 1
+                    out.append((self.a[m], self.b[n]))
+        return out[::-1]
+
+
+def _shape(top: Outline, shapes: dict) -> None:
+    """Number the shapes (labels alone) of ``top`` and all below; equal shapes have equal numbers."""
+    for x in reversed(top.order()):
+        x.shape = shapes.setdefault((x.label, tuple(c.shape for c in x.children)), len(shapes))
 
 
 def _pairs(a: Outline, b: Outline, memo: dict) -> list[tuple[Outline, Outline]]:
     """The children of matched nodes that the alignment pairs."""
-    m, n = len(a.children), len(b.children)
-    if m * n > SIBLING_PAIRS:
-        out, j = [], 0
-        for x in a.children:
-            k = j
-            while k < n and k < j + 50 and b.children[k].label != x.label:
-                k += 1
-            if k < n and b.children[k].label == x.label:
-                out.append((x, b.children[k]))
-                j = k + 1
-        return out
-    table, out = _align(a, b, memo), []
-    while m and n:
-        if table[m][n] == table[m - 1][n]:
-            m -= 1
-        elif table[m][n] == table[m][n - 1]:
-            n -= 1
-        else:
-            m, n = m - 1, n - 1
-            out.append((a.children[m], b.children[n]))
-    return out[::-1]
+    return Alignment(a, b, memo).pairs() if a.children and b.children else []
 
 
 def induce(pages: list[Page]) -> Outline:
@@ -343,8 +385,11 @@ def induce(pages: list[Page]) -> Outline:
     """
     template = Outline("#root", None)
     counted: set[int] = set()
+    shapes: dict = {}
+    memo: dict = {}
     for page in pages:
-        memo: dict = {}
+        _shape(template, shapes)
+        _shape(page.outline, shapes)
         vote = page.outline.text not in counted
         counted.add(page.outline.text)
         stack = [(template, page.outline)]
@@ -355,8 +400,7 @@ def induce(pages: list[Page]) -> Outline:
                 t.pages += 1
                 t.texts = t.texts if t.texts is not None else Counter()
                 t.texts[o.text] += 1
-            big = len(t.children) * len(o.children) > SIBLING_PAIRS
-            found = {id(y): x for x, y in _pairs(t, o, memo if not big else {})}
+            found = {id(y): x for x, y in _pairs(t, o, memo)}
             place = 0
             for y in o.children:
                 x = found.get(id(y))
@@ -366,7 +410,7 @@ def induce(pages: list[Page]) -> Outline:
                     t.children.insert(place, x)
                     place += 1
                 else:
-                    place = t.children.index(x, place) + 1 if not big else place
+                    place = t.children.index(x, place) + 1
                 stack.append((x, y))
     return template
 
