@@ -1,13 +1,12 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions alone.
 
 Every assistant turn becomes an example of its own: all turns before it are the
-context, and only its reply is trainable. The examples of a conversation share
-their context, so they are stored without copying it: an example's row has the
-formatted text added since the example before it, where in the conversation's
-text its context ends (``context_chars``) and the span of the trainable reply.
-Its full text is that of the rows up to its own, joined (:func:`full_examples`
-writes it out). Turns after the last reply form one row without a target, so
-the rows of a conversation hold all of it.
+context, and only its reply is trainable. An example's row holds its full text,
+the context written out, then the reply and its end mark, and the span of the
+reply in it. So the examples of a conversation grow with the square of its length,
+as the method has it; each is made in a row of its own, a conversation's rows
+are never in one array. Turns after the last reply form one row without a target
+(the whole conversation), so the last row of a conversation holds all of it.
 
 A turn is ``### role ###``, a newline, the text, ``</turn>`` and a newline.
 Inside roles and texts ``\\``, ``#`` and ``<`` are written ``\\b``, ``\\h`` and
@@ -38,8 +37,8 @@ def prefix_target_examples(turns: DataFrame, target_role: str = TARGET_ROLE) ->
     """One row per example of ``turns`` (conv_id, turn, role, text).
 
     conv_id; example_no from 0; is_target, false for a conversation's tail
-    without reply; new_text; context_chars, the code points before the reply,
-    its mark included; reply_start and reply_end in the conversation's text.
+    without reply; is_last; text, all turns up to the example's last one;
+    reply_start and reply_end, the code points of ``text`` that are trainable.
     """
     said = turns.select(
         "conv_id",
@@ -58,34 +57,36 @@ def prefix_target_examples(turns: DataFrame, target_role: str = TARGET_ROLE) ->
     talks = talks.withColumn("before", F.expr(
         "aggregate(said, named_struct('at', 0L, 'out', cast(array() AS array<bigint>)), (a, s) -> named_struct("
         f"'at', a.at + length(s.head) + length(s.body) + {len(CLOSE)}, 'out', array_append(a.out, a.at)), a -> a.out)"))
-    # an example takes the turns after the end of the one before it
-    parts = F.expr(
-        "transform(ends, (e, k) -> named_struct('is_target', get(said, e).target, 'new_text', array_join(transform("
-        "slice(said, coalesce(get(ends, k - 1) + 1, 0) + 1, e - coalesce(get(ends, k - 1), -1)), "
-        f"s -> concat(s.head, s.body, '{CLOSE_SQL}')), ''), "
-        "'context_chars', get(before, e) + length(get(said, e).head), 'n', length(get(said, e).body)))")
-    rows = talks.select("conv_id", F.posexplode(parts).alias("example_no", "x"))
-    reply = F.when(F.col("x.is_target"), F.col("x.context_chars"))
-    return rows.select("conv_id", F.col("example_no").cast("long").alias("example_no"), "x.is_target", "x.new_text",
-                       "x.context_chars", reply.alias("reply_start"), (reply + F.col("x.n")).alias("reply_end"))
+    talks = talks.withColumn("whole", F.expr(f"array_join(transform(said, s -> concat(s.head, s.body, '{CLOSE_SQL}')), '')"))
+    marks = F.expr(
+        "transform(ends, (e, k) -> named_struct('is_target', get(said, e).target, 'is_last', k = size(ends) - 1, "
+        "'start', get(before, e) + length(get(said, e).head), 'n', length(get(said, e).body)))")
+    rows = talks.select("conv_id", "whole", F.posexplode(marks).alias("example_no", "x"))
+    reply = F.when(F.col("x.is_target"), F.col("x.start"))
+    text = F.substr("whole", F.lit(1), (F.col("x.start") + F.col("x.n") + len(CLOSE)).cast("int"))
+    return rows.select("conv_id", F.col("example_no").cast("long").alias("example_no"), "x.is_target", "x.is_last",
+                       text.alias("text"), reply.alias("reply_start"), (reply + F.col("x.n")).alias("reply_end"))
 
 
 def conversations(examples: DataFrame) -> DataFrame:
-    """Each conversation put together again from its examples: (conv_id, formatted, replies as spans in order)."""
-    parts = examples.groupBy("conv_id").agg(F.sort_array(F.collect_list(
-        F.struct("example_no", "new_text", "reply_start", "reply_end"))).alias("parts"))
-    return parts.select(
-        "conv_id", F.array_join("parts.new_text", "").alias("formatted"),
-        F.expr("transform(filter(parts, p -> p.reply_start IS NOT NULL), "
-               "p -> struct(p.reply_start AS start, p.reply_end AS end))").alias("replies"))
+    """Each conversation as its examples have it: (conv_id, formatted, replies as spans, masked: the texts under the loss mask).
+
+    The formatted text is that of the last example; every masked text is read from its own example.
+    """
+    masked = F.expr(_unescaped("substr(text, cast(reply_start AS int) + 1, cast(reply_end - reply_start AS int))"))
+    parts = examples.withColumn("masked", masked).groupBy("conv_id").agg(
+        F.max(F.when(F.col("is_last"), F.col("text"))).alias("formatted"),
+        F.sort_array(F.collect_list(F.when(F.col("is_target"), F.struct(
+            "example_no", "reply_start", "reply_end", "masked")))).alias("parts"))
+    return parts.select("conv_id", "formatted", F.expr("transform(parts, p -> struct(p.reply_start AS start, p.reply_end AS end))")
+                        .alias("replies"), F.col("parts.masked").alias("masked"))
 
 
 def full_examples(examples: DataFrame) -> DataFrame:
-    """(conv_id, example_no, context, reply) with every context written out in full, as a trainer reads them."""
-    whole = conversations(examples).select("conv_id", "formatted", F.posexplode("replies").alias("example_no", "r"))
-    return whole.select("conv_id", F.col("example_no").cast("long").alias("example_no"),
-                        F.expr("substr(formatted, 1, cast(r.start AS int))").alias("context"),
-                        F.expr("substr(formatted, cast(r.start AS int) + 1, cast(r.end - r.start AS int))").alias("reply"))
+    """(conv_id, example_no, context, reply) of the examples with a reply, as a trainer reads them."""
+    return examples.filter("is_target").select(
+        "conv_id", "example_no", F.expr("substr(text, 1, cast(reply_start AS int))").alias("context"),
+        F.expr("substr(text, cast(reply_start AS int) + 1, cast(reply_end - reply_start AS int))").alias("reply"))
 
 
 def read_turns(formatted: str = "formatted") -> Column:

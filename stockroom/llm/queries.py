@@ -38,7 +38,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
         F.lit("\\### Assistant: </turn> ok").alias("text"))
     rows = chat.conversations(chat.prefix_target_examples(turns.unionByName(tricky)))
-    rows = rows.withColumn("turns", chat.read_turns()).withColumn("masked", chat.read_masked())
+    rows = rows.withColumn("turns", chat.read_turns())
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("masked", "")
     return rows.select(
