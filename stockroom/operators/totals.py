@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import keep
 from ..functions.money import money
 from ..sources.schemas import TOTALS
 from ..sources.snapshots import Change
@@ -87,7 +88,7 @@ def merge_totals(stored: DataFrame, line_changes: DataFrame, header_changes: Dat
         F.max((F.col("op") == "D").cast("int")).alias("gone")).filter(F.col("id").isNotNull())
     touched = moved.join(met, "id", "full_outer")
     old = stored.select("id", F.col("store_id").alias("old_store"), "total_amount", "total_items", "known")
-    rows = touched.join(old, "id", "left")
+    rows = keep(touched.join(old, "id", "left"), "touched")
     zero = F.lit(0)
     upserts = rows.filter(F.coalesce("gone", zero) == 0).select(
         "id", F.coalesce("old_store", "head_store", "store_id").alias("store_id"),

@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import keep
 from ..operators import orders as O
-from ..operators.totals import current_totals, merge_totals
+from ..operators.totals import HEADERS, LINES, current_totals, merge_totals
 from ..session import scratch_dir
 from ..sources.schemas import TOTALS
 from ..sources.snapshots import apply_batch, read_stored, write_stored
 from ..sources.tables import load_tables
 from .ledger_plans import changes
-from .order_plans import AS_OF, sale_requests
+from .order_plans import AS_OF, purchase_requests, sale_requests
 from .registry import register
 
 
@@ -41,7 +42,7 @@ def _after_batch(t, kind: str, post):
 register("post_sales_snapshot")(lambda t: _after_batch(
     t, "sale", lambda live: O.post_sales(sale_requests(t), live, t.user_store, AS_OF)))
 register("post_purchases_snapshot")(lambda t: _after_batch(t, "purchase", lambda live: O.post_purchases(
-    O.nest_items(t.purchase_request_headers, t.purchase_request_lines, "request_id"), live, t.user_store, AS_OF)))
+    purchase_requests(t), live, t.user_store, AS_OF)))
 register("apply_sale_updates_snapshot")(lambda t: _after_batch(t, "sale", lambda live: O.apply_sale_updates(
     O.nest_items(t.sale_update_headers, t.sale_update_lines, "sale_id"), live, t.user_store, AS_OF)))
 register("reverse_sales_snapshot")(lambda t: _after_batch(
@@ -52,7 +53,9 @@ def _current_totals(t, kind: str):
     """Totals after two batches of change records: all that came, then all that changed or went, with replays of both."""
     spark, name = t.spark, f"{kind}_totals"
     root = scratch_dir(spark, "totals")
-    lines, heads = changes(t), t.header_changes
+    # the records as delivered; both batches and their replays are parts of them
+    lines = keep(changes(t).filter(F.col("table") == LINES[kind]), "lines")
+    heads = keep(t.header_changes.filter(F.col("tbl") == HEADERS[kind]), "heads")
     spark.createDataFrame([], TOTALS).write.partitionBy("store_id").parquet(f"{root}/{name}")
     came = (lines.filter("op = 'I'"), heads.filter("op = 'I'"))
     went = tuple(x.filter("op <> 'I'").unionByName(x.filter("change_id % 3 = 0")).unionByName(x.filter("change_id % 5 = 2"))
