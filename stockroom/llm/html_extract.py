@@ -266,7 +266,7 @@ class Outline:
         self.said: list[str] = []
         self.text, self.to = 0, None
         self.pages, self.texts = 0, None
-        self.shape = -1
+        self.shape = -id(self)  # its own until shapes are numbered
         if parent is not None:
             parent.children.append(self)
 
