@@ -51,7 +51,8 @@ def nest_items(headers: DataFrame, lines: DataFrame, key: str, most: int | None
     """
     if most is not None:
         order = ["line_no", "product_id", "quantity", "unit_price"]
-        placed = number_within(lines.select(key, *order), key, order, "_pos")
+        # written once: the range sort reads its rows twice, first for a sample
+        placed = number_within(keep(lines.select(key, *order), "request-lines"), key, order, "_pos")
         per = placed.groupBy(key, F.expr(f"_pos div {most}").alias("_part")).agg(
             F.array_sort(F.collect_list(F.struct("_pos", *order[1:]))).alias("_items"))
         return (headers.join(per, key, "left")

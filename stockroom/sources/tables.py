@@ -17,6 +17,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lineage import keep
 from . import fixture_sql
 from .schemas import SCHEMAS, evolve_schema, stored_schema
 
@@ -57,6 +58,16 @@ class Tables:
     def names(self) -> list[str]:
         return list(self._builders)
 
+    def written(self, *names: str) -> "Tables":
+        """A new bundle with ``names`` written once, one after the other, under the shared checkpoint folder.
+
+        For tables that one job reads several times; what is mapped from them reads the written rows as well.
+        """
+        out = self
+        for n in names:
+            out = out.replace(**{n: keep(out[n], n)})
+        return out
+
 
 def _raw_builder(sf_dir: str, name: str):
     return lambda t: t.spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
