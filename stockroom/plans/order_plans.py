@@ -14,6 +14,7 @@ AS_OF = "2024-06-30 00:00:00"  # NOW() of the batch
 
 
 def sale_requests(t) -> DataFrame:
+    t = t.written("sale_request_headers")  # their lines are found by them
     return O.nest_items(t.sale_request_headers, t.sale_request_lines, "request_id", O.PART_LINES)
 
 

@@ -19,6 +19,7 @@ def _counted(spark, df):
 
 
 @pytest.mark.parametrize("query, tables", [
+    ("post_sales_verdicts", ["sale_request_headers"]),
     ("post_sales_single_line", ["sale_request_headers", "sale_request_lines", "single_sale_request_lines"]),
 ])
 def test_what_is_read_several_times_is_derived_once(spark, t_small, query, tables):
