@@ -97,6 +97,8 @@ register("post_purchases_rejects")(lambda t: _post_purchases(t).rejects)
 
 
 def _updates(t, kind):
+    # the batch and the operator read the stored orders and lines several times
+    t = t.written(f"{kind}s", f"{kind}_items")
     if kind == "sale":
         req = O.nest_items(t.sale_update_headers, t.sale_update_lines, "sale_id")
         return O.apply_sale_updates(req, t, t.user_store, AS_OF)

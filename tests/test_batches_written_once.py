@@ -21,6 +21,9 @@ def _counted(spark, df):
 @pytest.mark.parametrize("query, tables", [
     ("post_sales_verdicts", ["sale_request_headers"]),
     ("post_sales_single_line", ["sale_request_headers", "sale_request_lines", "single_sale_request_lines"]),
+    ("apply_sale_updates", ["sales", "sale_items"]),
+    ("apply_sale_updates_rejects", ["sales", "sale_items"]),
+    ("apply_purchase_updates", ["purchases", "purchase_items"]),
 ])
 def test_what_is_read_several_times_is_derived_once(spark, t_small, query, tables):
     counted = {name: _counted(spark, t_small[name]) for name in tables}
