@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+# number_within: so many rows of a key at most in one cell of a join.
+RUN_ROWS = 100_000
+
 
 def largest(df: DataFrame, column: str = "id") -> int:
     """The largest value of a key column (0 for an empty table): one partial-aggregate job."""
@@ -17,13 +20,15 @@ def number_within(df: DataFrame, key: str, order: list[str], name: str) -> DataF
     """Add ``name`` = 0, 1, ... in ``order`` among the rows of one ``key``.
 
     The rows of a key may lie in any number of tasks: they are numbered as one
-    range-sorted run (:func:`number_rows`), less the key's first number. Rows
-    without a key are left out.
+    range-sorted run (:func:`number_rows`), less the key's first number, which
+    meets them in runs of RUN_ROWS numbers. Rows without a key are left out.
     """
-    placed = number_rows(df.filter(F.col(key).isNotNull()), [key, *order], "_number")
-    first = placed.groupBy(key).agg(F.min("_number").alias("_first"))
-    return (placed.join(first, key).withColumn(name, (F.col("_number") - F.col("_first")).cast("bigint"))
-            .drop("_number", "_first"))
+    placed = (number_rows(df.filter(F.col(key).isNotNull()), [key, *order], "_number")
+              .withColumn("_run", F.expr(f"_number div {RUN_ROWS}")))
+    first = placed.groupBy(key, "_run").agg(F.min("_number").alias("_first"))
+    first = first.withColumn("_first", F.min("_first").over(Window.partitionBy(key)))
+    return (placed.join(first, [key, "_run"]).withColumn(name, (F.col("_number") - F.col("_first")).cast("bigint"))
+            .drop("_number", "_first", "_run"))
 
 
 def number_rows(df: DataFrame, order: list[str | Column] | None, name: str, above: int = 0,

@@ -50,15 +50,7 @@ def nest_items(headers: DataFrame, lines: DataFrame, key: str, most: int | None
     of a row's first line in its request. The posting operators read these; no task holds a request whole.
     """
     if most is not None:
-        order = ["line_no", "product_id", "quantity", "unit_price"]
-        # written once: the range sort reads its rows twice, first for a sample
-        placed = number_within(keep(lines.select(key, *order), "request-lines"), key, order, "_pos")
-        per = placed.groupBy(key, F.expr(f"_pos div {most}").alias("_part")).agg(
-            F.array_sort(F.collect_list(F.struct("_pos", *order[1:]))).alias("_items"))
-        return (headers.join(per, key, "left")
-                .withColumn("items", F.transform("_items", lambda x: F.struct(*[x[c].alias(c) for c in order[1:]])))
-                .withColumn("first_pos", F.coalesce(F.col("_part") * most, F.lit(0)).cast("bigint"))
-                .drop("_items", "_part"))
+        return _nest_in_parts(headers, lines, key, most)
     item = F.struct("line_no", "product_id", "quantity", "unit_price")
     per = lines.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     items = F.transform("_items", lambda x: F.struct(x["product_id"].alias("product_id"),
@@ -67,6 +59,45 @@ def nest_items(headers: DataFrame, lines: DataFrame, key: str, most: int | None
     return headers.join(per, key, "left").withColumn("items", items).drop("_items")
 
 
+def _nest_in_parts(headers: DataFrame, lines: DataFrame, key: str, most: int) -> DataFrame:
+    """:func:`nest_items` with at most ``most`` lines in a row; nothing is dealt by the request alone.
+
+    Lines come in blocks of ``most`` line numbers, and a block's first place is the count of the lines before it. Only
+    where that gives a block of more lines, or far more rows than needed, a request's lines are numbered first.
+    """
+    order = ["line_no", "product_id", "quantity", "unit_price"]
+    lines = keep(lines.filter(F.col(key).isNotNull())
+                 .select(key, F.expr(f"(line_no - 1) div {most}").alias("_block"), *order), "request-lines")
+    of, before = Window.partitionBy(key), Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    fits = ((F.max("_n").over(of) <= most) & (F.count("_block").over(of) == F.count(F.lit(1)).over(of))
+            & (F.count(F.lit(1)).over(of) <= 2 * F.ceil(F.sum("_n").over(of) / most)))
+    blocks = keep(lines.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
+                  .select(key, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("first_pos"),
+                          fits.alias("_fits")), "request-blocks")
+    parts = blocks.filter("_fits").select(key, "_block", "first_pos")
+    nested = F.array_sort(F.collect_list(F.struct(*order))).alias("_items")
+    if blocks.filter("NOT _fits").isEmpty():
+        per = lines.groupBy(key, "_block").agg(nested)
+    else:
+        same = (lines[key] == blocks[key]) & lines["_block"].eqNullSafe(blocks["_block"])
+        dealt = lines.join(blocks, same).select(lines["*"], "_fits")
+        numbered = keep(number_within(dealt.filter("NOT _fits").select(key, *order), key, order, "_pos")
+                        .withColumn("_block", F.expr(f"_pos div {most}")), "numbered-lines")
+        per = (dealt.filter("_fits").groupBy(key, "_block").agg(nested)
+               .unionByName(numbered.groupBy(key, "_block").agg(nested)))
+        parts = parts.unionByName(numbered.groupBy(key, "_block").agg(F.min("_pos").alias("first_pos")))
+    return (headers.join(parts, key, "left").join(per, [key, "_block"], "left")
+            .select(key, *[c for c in headers.columns if c != key],
+                    F.transform("_items", lambda x: F.struct(*[x[c].alias(c) for c in order[1:]])).alias("items"),
+                    F.coalesce("first_pos", F.lit(0)).cast("bigint").alias("first_pos")))
+
+
+def _rows_of(requests: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """The rows of the requests in ``heads``; a long request's are matched one by one."""
+    asked = requests.select(key, "first_pos").join(heads.select(key), key, "left_semi")
+    return requests.join(asked, [key, "first_pos"], "left_semi")
+
+
 def _posted(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of posted requests, written once, and those of them that stand for a request: its first ones."""
     if "first_pos" not in requests.columns:
@@ -173,7 +204,7 @@ def post_sales(requests: DataFrame, t: Tables, user_store: DataFrame | None = No
     requests, heads = _posted(requests)
     heads, several = single_requests(heads, key, [key])
     heads = heads.select(key, "store_id", "user_id", "customer_id", "payment_method", "notes", "requested_at", "_no_items")
-    requests = requests.join(heads.select(key), key, "left_semi")
+    requests = _rows_of(requests, heads, key)
     # -- header checks
     if user_store is not None:
         auth = authorize_requests(heads.select(key, "user_id", "store_id"), user_store, "create_sale")
@@ -353,11 +384,14 @@ def _new_lines(lines: DataFrame, heads: DataFrame, kind: str, last_id: int, last
 
     A line's number is that of its order's first line plus its place there, so
     the lines need no order of their own. Its change record has the same number,
-    counted from ``last_change_id``.
+    counted from ``last_change_id``. A header meets its lines in parts, so that
+    those of a long order lie in several tasks.
     """
     heads = heads.select("request_id", F.col("id").alias(f"{kind}_id"), "store_id", "user_id",
-                         F.col("requested_at").alias("ts"), "_lines_before")
-    rows = lines.join(heads, "request_id").withColumn("_n", F.col("_lines_before") + F.col("pos") + 1)
+                         F.col("requested_at").alias("ts"), "_lines_before",
+                         F.explode(F.expr(f"sequence(0L, greatest(_lines - 1, 0) div {PART_LINES})")).alias("_part"))
+    rows = (lines.withColumn("_part", F.expr(f"pos div {PART_LINES}")).join(heads, ["request_id", "_part"]).drop("_part")
+            .withColumn("_n", F.col("_lines_before") + F.col("pos") + 1))
     rows = rows.withColumn("id", (F.col("_n") + F.lit(last_id)).cast("bigint"))
     records = _change_records(rows, f"{kind}_items", "I", None,
                               _image("id", f"{kind}_id", "product_id", "quantity", "unit_price"))
@@ -380,7 +414,7 @@ def post_purchases(requests: DataFrame, t: Tables, user_store: DataFrame | None
     requests, heads = _posted(requests)
     heads, several = single_requests(heads, key, [key])
     heads = heads.select(key, "store_id", "user_id", "supplier_id", "notes", "requested_at", "_no_items")
-    requests = requests.join(heads.select(key), key, "left_semi")
+    requests = _rows_of(requests, heads, key)
     if user_store is not None:
         auth = authorize_requests(heads.select(key, "user_id", "store_id"), user_store, "create_purchase")
         heads = heads.join(auth.select(key, F.col("reason").alias("_access")), key, "left")

@@ -42,3 +42,40 @@ def test_registered_batches_hold_no_request_whole(t_small):
     bulk = O.nest_items(t_small.bulk_purchase_headers, t_small.bulk_purchase_lines, "request_id", 50)
     assert bulk.agg(F.max(F.size("items"))).first()[0] == 50
     assert "first_pos" in purchase_requests(t_small).columns
+
+
+def test_no_task_is_dealt_lines_by_the_request_alone(spark):
+    """A request's lines lie in many partitions when they are nested, and when they meet their header."""
+    heads = spark.createDataFrame([(1, 1, 3, 9, None, dt.datetime(2024, 1, 1))], HEADS)
+    lines = spark.range(1, 20_001).selectExpr("1L AS request_id", "id AS line_no", "id % 7 + 1 AS product_id",
+                                              "1 AS quantity", "cast(NULL AS decimal(10,2)) AS unit_price")
+    def spread(df):  # every column is asked for, so no join is left out
+        rows = df.select(F.spark_partition_id().alias("p"), F.xxhash64(*df.columns).alias("h"))
+        return rows.agg(F.count_distinct("p"), F.max("h")).first()[0]
+
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for c, v in zip(before, ("false", "-1")):
+        spark.conf.set(c, v)
+    try:
+        parts = O.nest_items(heads, lines, "request_id", 1_000)
+        assert spread(parts) > 1
+        out = O.post_purchases(parts, _tables(spark))
+        assert spread(out.ledger) > 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert [r["id"] for r in out.ledger.orderBy("id").select("id").collect()] == list(range(1, 20_001))
+    assert out.ledger.filter("product_id <> id % 7 + 1").count() == 0
+
+
+def test_lines_without_dense_numbers_keep_their_order(spark):
+    """Equal, missing and far numbers: the places are those of the sorted lines."""
+    heads = spark.createDataFrame([(k, 1, 3, 9, None, dt.datetime(2024, 1, 1)) for k in (1, 2, 3, 4, 5)], HEADS)
+    lines = [(1, 7, n, n, None) for n in range(9, 0, -1)] + [(2, None, n, n, None) for n in range(5)]
+    lines += [(2, n, n, n, None) for n in (3, 1, 2)] + [(3, 1_000 * n, n, n, None) for n in range(8)]
+    lines += [(4, n - 3, n, n, None) for n in range(7)]
+    lines = spark.createDataFrame(lines, LINES)
+    rows = O._lines(O.nest_items(heads, lines, "request_id", 2), "request_id", []).collect()
+    whole = O._lines(O.nest_items(heads, lines, "request_id"), "request_id", []).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, whole)) and len(whole) == 32
+    assert max(len(r["items"] or []) for r in O.nest_items(heads, lines, "request_id", 2).collect()) <= 2
