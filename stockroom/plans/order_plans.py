@@ -64,10 +64,11 @@ register("post_sales_products")(lambda t: O.next_products(t.products, _post_sale
 
 def _purchase_chain(t):
     """Two purchase batches in a row, the second over the tables that the first left."""
+    t = t.written("user_store", "purchases", "purchase_items")  # both batches are made from them and posted to them
     first = _post_purchases(t)
     t2 = t.replace(purchases=t.purchases.unionByName(first.rows),
                    purchase_items=t.purchase_items.unionByName(first.ledger),
-                   products=O.next_products(t.products, first.extra, AS_OF))
+                   products=O.next_products(t.products, first.extra, AS_OF)).written("products")
     second = O.post_purchases(O.nest_items(t.bulk_purchase_headers, t.bulk_purchase_lines, "request_id", O.PART_LINES),
                               t2, t.user_store, AS_OF, last_change_id=largest(first.extra, "change_id"))
     return first, second, t2

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.lineage import keep
 from . import fixture_sql
+from .fixture_frames import FRAMES
 from .schemas import SCHEMAS, evolve_schema, stored_schema
 
 
@@ -87,7 +88,7 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     """Canonical tables (and request batches) mapped from the test tables."""
     builders: dict = {r: _raw_builder(sf_dir, r) for r in fixture_sql.RAW_TABLES}
     for name in fixture_sql.MAPPING:
-        builders[name] = _mapped_builder(name)
+        builders[name] = FRAMES.get(name) or _mapped_builder(name)
     return Tables(spark, builders)
 
 

@@ -79,3 +79,11 @@ def test_lines_without_dense_numbers_keep_their_order(spark):
     whole = O._lines(O.nest_items(heads, lines, "request_id"), "request_id", []).collect()
     assert sorted(map(str, rows)) == sorted(map(str, whole)) and len(whole) == 32
     assert max(len(r["items"] or []) for r in O.nest_items(heads, lines, "request_id", 2).collect()) <= 2
+
+
+def test_spread_inputs_give_the_rows_of_their_text(t_small):
+    from stockroom.sources.tables import _mapped_builder
+    for name in ("bulk_purchase_lines",):
+        want, got = _mapped_builder(name)(t_small), t_small[name]
+        assert got.dtypes == want.dtypes
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
