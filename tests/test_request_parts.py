@@ -83,7 +83,7 @@ def test_lines_without_dense_numbers_keep_their_order(spark):
 
 def test_spread_inputs_give_the_rows_of_their_text(t_small):
     from stockroom.sources.tables import _mapped_builder
-    for name in ("bulk_purchase_lines",):
+    for name in ("bulk_purchase_lines", "line_changes"):
         want, got = _mapped_builder(name)(t_small), t_small[name]
         assert got.dtypes == want.dtypes
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
